@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
@@ -143,3 +143,19 @@ def in_chunks(texts: list[bytes], limit: int = 1 << 20):
         total += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+def numbered(df: DataFrame, by: str, order: list[Column], name: str, salts: int = 1, salt: Column | None = None) -> DataFrame:
+    """df with a gapless number from 0 within each value of `by`.
+
+    With more than one salt a value's rows are numbered in that many groups, and each group starts where those of
+    smaller salt end, so that no task sorts all rows of one value. df is read twice and must not change in between.
+    """
+    if salts <= 1:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("long"))
+    salted = df.withColumn("_salt", salt)
+    earlier = Window.partitionBy(by).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = salted.groupBy(by, "_salt").count().select(by, "_salt", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(by, "_salt").orderBy(*order))
+    both = salted.withColumn("_own", own).join(before, [by, "_salt"])
+    return both.select(*df.columns, (F.col("_before") + F.col("_own") - 1).cast("long").alias(name))
