@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .embedding_dedup import near_vectors
 from .near_dedup import near_groups
 from .packing import pack_documents
+from .quality_model import classify
+from .secrets import scan
 from .sentencepieces import round_trip
 from .sharding import shard_documents
 
@@ -31,10 +33,18 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_char_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -46,7 +56,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op4_minhash": op4_minhash,
+    "op5_char_network": op5_char_network,
     "op7_projection_passes": op7_projection_passes,
+    "op8_factorisation_machine": op8_factorisation_machine,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_sentencepiece": op10_sentencepiece,
 }
