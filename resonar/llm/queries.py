@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup, quality_rules
 from .embedding_dedup import near_vectors
 from .near_dedup import near_groups
 from .packing import pack_documents
@@ -29,6 +30,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op1_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +43,10 @@ def op5_char_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"))
+
+
 def op7_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -54,12 +64,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_spread": op1_line_spread,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op4_minhash": op4_minhash,
     "op5_char_network": op5_char_network,
+    "op6_rule_table": op6_rule_table,
     "op7_projection_passes": op7_projection_passes,
     "op8_factorisation_machine": op8_factorisation_machine,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_spread": line_dedup.ORACLE,
+    "op6_rule_table": quality_rules.ORACLE,
+}
