@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup, quality_rules
 from .embedding_dedup import near_vectors
+from .lm_scoring import score_documents
 from .near_dedup import near_groups
 from .packing import pack_documents
 from .quality_model import classify
@@ -26,6 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_spread": op1_line_spread,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op3_context_mixing": op3_context_mixing,
     "op4_minhash": op4_minhash,
     "op5_char_network": op5_char_network,
     "op6_rule_table": op6_rule_table,
