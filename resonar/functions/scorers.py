@@ -72,12 +72,10 @@ def _score_places(pattern: str, needle: str, text: Column, f: Column, end: Colum
     places = F.aggregate(before, F.array(end), step)
 
     def total(q: Column) -> Column:
-        add = lambda a, x: a + x
-        bonus = F.aggregate(F.transform(q, lambda x: _bonus(text, x)), F.lit(0), add)
         gap = lambda d: F.when(d == 1, ADJACENT).otherwise(GAP + GAP_MORE * (d - 2))
-        gaps = F.aggregate(F.transform(q, lambda x, i: F.when(i == 0, 0).otherwise(gap(x - F.get(q, i - 1)))), F.lit(0), add)
-        first = F.get(q, F.lit(0))
-        out = START + MATCH * len(needle) + bonus + _bonus(text, first) + gaps - 2 * (first - 1) - F.floor(size / 8)
+        # the first character's bonus counts twice; others bring the gap before them
+        each = F.transform(q, lambda x, i: let(_bonus(text, x), lambda b: F.when(i == 0, 2 * b).otherwise(b + gap(x - F.get(q, i - 1)))))
+        out = START + MATCH * len(needle) + F.aggregate(each, F.lit(0), lambda a, x: a + x) - 2 * (F.get(q, F.lit(0)) - 1) - F.floor(size / 8)
         if typed:
             out = out + F.when(F.array_join(F.transform(q, lambda x: F.substring(text, x, F.lit(1))), "") == pattern, CASE).otherwise(0)
         return out
@@ -106,9 +104,12 @@ def _exact_once(pattern: str, text: Column, case_sensitive: bool, case_bonus: bo
 
 
 def _with_rewrites(once, pattern: str, text: Column, case_sensitive: bool) -> Column:
-    """A failed comparison that involves İ is tried again with the letter composed, and then written out."""
+    """A failed comparison that involves İ is tried again with the letter composed, and then written out.
+
+    The rewrites add or take away only i, İ and the dot, so a pattern without them cannot gain from either.
+    """
     first = once(pattern, text, case_sensitive)
-    if case_sensitive:
+    if case_sensitive or not set(pattern.lower()) & set(DOTTED_TWO):
         return first
     held = F.lit(True) if DOTTED in pattern else F.contains(text, F.lit(DOTTED))
     composed_p = pattern.replace(DOTTED_TWO, DOTTED)

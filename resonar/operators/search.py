@@ -91,31 +91,37 @@ def _variants(text: str, backend: Backend, config: SearchConfig) -> list[tuple[s
     return [v for v in found if v[1] != "Normalized" or (config.normalize and not config.case_sensitive)]
 
 
-def _key_scorer(pattern: str, v: int, weight: int, kinds: list[str], config: SearchConfig, matcher: Matcher):
+def _key_list(config: SearchConfig, backend: Backend, folds: bool) -> Column:
+    """All keys of a row as (text, kind, weight), base keys first; a key that is not looked at has a null text."""
+    shown = _normalized_blocked(config, folds)
+    one = lambda text, kind: F.struct(text.alias("text"), F.lit(kind).alias("kind"), F.lit(KEY_WEIGHTS[kind]).alias("weight"))
+    base = [one(F.col("display"), "Original")]
+    if config.normalize and (shown is not None or backend.has_keys):
+        base.append(one(F.lit(None).cast("string") if shown is None else F.when(shown, F.col("norm")), "Normalized"))
+    keys = F.array(*base)
+    if not backend.has_keys:
+        return keys
+    return F.concat(keys, F.transform("keys", lambda k: F.struct(k["text"].alias("text"), k["kind"].alias("kind"), k["weight"].alias("weight"))))
+
+
+def _key_scorer(pattern: str, v: int, kind: str, weight: int, config: SearchConfig, matcher: Matcher):
     def run(key: Column, i: Column) -> Column:
         score = matcher.score(pattern, key["text"], config.case_sensitive) + key["weight"] + weight
-        return _best(F.when(key["kind"].isin(*kinds), score), v, i + _base_keys(config))
+        return _best(F.when(key["kind"].isin(*sorted(COMPATIBLE[kind])) & key["text"].isNotNull(), score), v, i)
 
     return run
 
 
 def _fuzzy(text: str, backend: Backend, config: SearchConfig, matcher: Matcher) -> Column:
     """(score, -v, -k) of the best compatible variant and key: the first of equals, variants before keys."""
-    parts, cs = [], config.case_sensitive
-    shown = _normalized_blocked(config, matcher.folds_case)
+    keys, parts = _key_list(config, backend, matcher.folds_case), []
+    most = 2 + config.max_search_keys_per_candidate * backend.has_keys
     for v, (pattern, kind, weight) in enumerate(_variants(text, backend, config)):
-        if "Original" in COMPATIBLE[kind]:
-            own = [_best(matcher.score(pattern, F.col("display"), cs) + KEY_WEIGHTS["Original"] + weight, v, F.lit(0))]
-            if shown is not None:
-                own.append(_best(F.when(shown, matcher.score(pattern, F.col("norm"), cs)) + KEY_WEIGHTS["Normalized"] + weight, v, F.lit(1)))
-            parts.append(F.array(*own))
-        kinds = sorted(COMPATIBLE[kind] - {"Original", "Normalized"})
-        if backend.has_keys and matcher.in_lambda:
-            parts.append(F.transform("keys", _key_scorer(pattern, v, weight, kinds, config, matcher)))
-        elif backend.has_keys:
-            for i in range(config.max_search_keys_per_candidate):
-                k = F.get("keys", F.lit(i))
-                parts.append(F.array(_best(F.when(k["kind"].isin(*kinds), matcher.score(pattern, k["text"], cs) + k["weight"] + weight), v, F.lit(i + _base_keys(config)))))
+        run = _key_scorer(pattern, v, kind, weight, config, matcher)
+        if matcher.in_lambda:
+            parts.append(F.transform(keys, run))
+        else:
+            parts.append(F.array(*[run(F.get(keys, F.lit(i)), F.lit(i)) for i in range(most)]))
     return _top(parts)
 
 
