@@ -1 +1,25 @@
 """Spark-native multilingual match engine."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Hands this package to the executors' Python workers, once for each application. Spark serves the file."""
+    name = spark.sparkContext.applicationId
+    if name in _shipped:
+        return
+    _shipped.add(name)
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="resonar-package-"), "resonar.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(here):
+            for own in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, own)
+                out.write(full, os.path.join("resonar", os.path.relpath(full, here)))
+    spark.sparkContext.addPyFile(path)
