@@ -94,7 +94,7 @@ def explain(results: DataFrame, index: DataFrame, query: str, *, config: SearchC
                 text = row.display if k == 0 else row.norm if extra is None else extra["text"]
                 spans = None
                 if extra is not None and extra["source_map"] is not None:
-                    spans = [None if s is None else (s["start_char"], s["end_char"]) for s in extra["source_map"]]
+                    spans = [None if s is None else (int(s["start_char"]), int(s["end_char"])) for s in extra["source_map"]]
                 found = next(((v, places) for v, kind in ways if row.key_kind in COMPATIBLE[kind] and (places := match_positions(v, text, config.case_sensitive))), None)
                 if found is None:
                     out.append((row.id, row.score, row.key_kind, query, None, None, None, text, None, None, None))

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 def _records(lines: DataFrame, nul: bool) -> DataFrame:
     """raw (binary) and display (text with invalid bytes replaced)."""
+    raw = F.col("value").cast("binary")  # a text function would replace bytes that are no UTF-8
     if nul:
         lines = lines.where(F.octet_length("value") > 0)
     else:
-        lines = lines.select(F.regexp_replace("value", r"\r\z", "").alias("value"))
-    return lines.select(F.col("value").cast("binary").alias("raw"), F.make_valid_utf8("value").alias("display"))
+        raw = F.when(F.substring(raw, -1, 1) == F.lit(b"\r"), F.substring(raw, F.lit(1), F.octet_length(raw) - 1)).otherwise(raw)
+    return lines.select(raw.alias("raw")).select("raw", F.make_valid_utf8(F.col("raw").cast("string")).alias("display"))
 
 
 def read_records(spark: SparkSession, path: str, *, nul: bool = False) -> DataFrame:
