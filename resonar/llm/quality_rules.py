@@ -37,15 +37,15 @@ class Rule:
 
 RULES = (
     Rule("short", "n_words", least=LEAST_WORDS),
-    Rule("repeated", "100.0 * n_repeat_words / n_words", most=MOST_REPEATED),
-    Rule("word_length", "1.0 * word_chars / n_words", least=2.0, most=14.0),
-    Rule("symbols", "1.0 * n_symbols / n_words", most=0.5),
-    Rule("exclamations", "1.0 * n_exclamations / n_words", most=0.5),
-    Rule("digits", "1.0 * n_digits / word_chars", most=0.4),
-    Rule("stop_words", "1.0 * n_stop_words / n_words", least=0.01, from_words=100),
-    Rule("same_lines", "1.0 * n_dup_lines / n_lines", most=0.5),
-    Rule("ellipses", "1.0 * n_ellipsis_lines / n_lines", most=0.5),
-    Rule("bullets", "1.0 * n_bullet_lines / n_lines", most=0.9),
+    Rule("repeated", "100.0 * n_repeat_words / greatest(n_words, 1)", most=MOST_REPEATED),
+    Rule("word_length", "1.0 * word_chars / greatest(n_words, 1)", least=2.0, most=14.0),
+    Rule("symbols", "1.0 * n_symbols / greatest(n_words, 1)", most=0.5),
+    Rule("exclamations", "1.0 * n_exclamations / greatest(n_words, 1)", most=0.5),
+    Rule("digits", "1.0 * n_digits / greatest(word_chars, 1)", most=0.4),
+    Rule("stop_words", "1.0 * n_stop_words / greatest(n_words, 1)", least=0.01, from_words=100),
+    Rule("same_lines", "1.0 * n_dup_lines / greatest(n_lines, 1)", most=0.5),
+    Rule("ellipses", "1.0 * n_ellipsis_lines / greatest(n_lines, 1)", most=0.5),
+    Rule("bullets", "1.0 * n_bullet_lines / greatest(n_lines, 1)", most=0.9),
 )
 BASE = ("short", "repeated")
 
