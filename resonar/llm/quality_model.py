@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, see
 
     Of repeated labels of one doc_id the smallest holds; null ids and labels are left out.
     """
-    fit_on = labels.where(f"doc_id IS NOT NULL AND quality IN (0, 1)").where(crc_of_id() % 3 != 1)
+    fit_on = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(crc_of_id() % 3 != 1)
     chosen = fit_on.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_train)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = text.join(F.broadcast(chosen), "doc_id").limit(max_train).mapInArrow(_featurise, "found binary, n_words int, quality int").toArrow()
@@ -148,34 +148,34 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, see
     return fit([(np.frombuffer(f, "<i4").astype(np.int64), n, q) for f, n, q in rows], seed)
 
 
-def _score(model):
+def _score(model, name: str):
     def run(batches):
         own = model.value
         for batch in batches:
             got = [own.score(t) for t in binary_column(batch)]
-            kept = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(got, pa.float64())], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
 
-def score(docs: DataFrame, model: FactorisationMachine, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` of docs (doc_id and text) and score, the probability of label 1. Null texts count as empty; whole texts are read."""
-    keep = keep or ["doc_id", "text"]
-    base = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    out = base.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}, score double")
-    return out.select(*keep, "score")
+def score(docs: DataFrame, model: FactorisationMachine, name: str = "score") -> DataFrame:
+    """docs and a column `name`, the probability of label 1. Null texts count as empty; whole texts are read."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), name), f"{kinds}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document, by a model trained on those that are not held out."""
+    """doc_id, held_out, score, predicted of each document, by a model trained on those that are not held out.
+
+    Rows with equal or null doc_id stay rows of their own; other columns are ignored; an empty table gives an empty
+    table. Without labels every score is 0.5.
+    """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = score(base, train(base, labels, max_train=max_train), ["doc_id", "text"]).drop("text")
+    out = score(base, train(base, labels, max_train=max_train)).drop("text")
     return out.select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
     """docs without those that score below threshold; columns stay as they are."""
     model = train(docs, labels, max_train=max_train)
-    return score(docs, model, docs.columns).where(F.col("score") >= threshold).select(*docs.columns)
+    return score(docs, model, "_quality_score").where(F.col("_quality_score") >= threshold).select(*docs.columns)
