@@ -1,0 +1,196 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from resonar.llm import bit_model, line_dedup, lm_scoring, packing, quality_model, quality_rules, secrets, sentencepieces, sharding
+
+from .helpers import SCHEMA, documents, frame
+
+WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_matrix_has_the_given_sums():
+    m = sharding.matrix([5, 0, 17, 30], 7, 1)
+    assert m.sum(axis=1).tolist() == [5, 0, 17, 30] and set(m.sum(axis=0).tolist()) <= {7, 8}
+    rng = np.random.default_rng(1)
+    big = [sharding.hypergeometric(rng, 10**10, 3 * 10**10, 10**6) for _ in range(200)]
+    assert abs(np.mean(big) - 250_000) < 150 and 300 < np.std(big) < 600
+
+
+def test_shards(spark):
+    rows = documents()
+    got = sharding.shard_documents(frame(spark, rows), shards=7).collect()
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == sorted((str(k), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for k, t in rows)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    small = sharding.shuffle(frame(spark, rows).select("doc_id", "text"), shards=3, group=10).collect()
+    assert sorted(r.slot for r in small if r.shard == 1) == list(range(sum(r.shard == 1 for r in small)))
+    assert sharding.shard_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_plan_fills_bins():
+    rng = np.random.default_rng(4)
+    counts = np.bincount(rng.integers(1, 65, 3000), minlength=65)
+    made = packing.plan(counts, 64)
+    used = Counter()
+    for held, n in made:
+        assert sum(held) <= 64
+        used.update({s: c * n for s, c in Counter(held).items()})
+    assert [used[k] for k in range(1, 65)] == counts[1:].tolist()
+    assert sum(n for _, n in made) <= math.ceil((counts * np.arange(65)).sum() / 64) * 1.02 + 1
+
+
+def test_packing_holds_every_token(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(WORD)
+    own.encode_special_tokens = True
+    rows = documents() + [(950, "H̱x I'LL don't.x A.B. <|endoftext|> İ é, É. ß.;")]
+    got = packing.pack_documents(frame(spark, rows), WORD, capacity=64, keep_ids=True).collect()
+    want = []
+    for k, t in rows:
+        ids = own.encode(t or "", add_special_tokens=False).ids + [1]
+        want += [(str(k), a // 64, a, len(ids[a : a + 64]), zlib.crc32(np.array(ids[a : a + 64], "<u4").tobytes())) for a in range(0, len(ids), 64)]
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, size in sorted(own):
+            assert offset == at
+            at += size
+        assert at <= 64
+    assert packing.pack_documents(spark.createDataFrame([], SCHEMA), WORD).count() == 0
+
+
+def test_agenda_equals_the_library():
+    own = sentencepieces.encoder(PIECE)
+    texts = [t or "" for _, t in documents()] + ["  a  b\n\nc\td", " ", "a ▁b", "<s>x</s>", "\x00x", "日本語😀", "\n\n a", "x \n y", "ﬁ②"]
+    for t in texts:
+        assert own.ids(t) == own.library.encode(t, add_eos=True)
+        for chunk in own.chunks(t):
+            marked = chunk.replace(" ", "▁")
+            assert own.merge(marked) == own._by_library([marked])[0]
+    assert own.corrected == 0
+
+
+def test_piece_round_trip(spark):
+    rows = documents()
+    got = {(str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in sentencepieces.round_trip(frame(spark, rows), PIECE).collect()}
+    lib = sentencepieces.encoder(PIECE).library
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {(str(k), len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids))) for k, t in rows for ids in [lib.encode(t or "", add_eos=True)]}
+    assert got == want
+    decoded = sentencepieces.decode(sentencepieces.encode(frame(spark, rows), PIECE), PIECE).collect()
+    assert Counter(r.text for r in decoded) == Counter(lib.decode(lib.encode(t or "")) for _, t in rows)
+
+
+def test_lines(spark):
+    shared = "this line stands on many sites"
+    rows = [(k, f"own {k}\n{shared} \n\nend {k}", "en", f"s{k}", 1) for k in range(8)] + [(50, None, None, None, None), (51, "", "en", None, 0), (None, shared, "en", "s1", 1)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[None].text == shared and got[3].text == "own 3\n\nend 3" and got[3].n_removed == 1 and got[3].n_lines == 4
+    assert got[50].text is None and got[50].n_lines == 0 and got[51].text == "" and got[51].n_lines == 1
+    few = [(k, "rare line\nx", "en", f"s{k % 3}", 1) for k in range(40)]
+    assert all(r.n_removed == 0 for r in line_dedup.dedup_lines(spark.createDataFrame(few, SCHEMA)).collect())
+    assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rules(spark):
+    again = " ".join(f"w{k}" for k in range(30))
+    rows = documents() + [(960, f"{again} {again}"), (961, "### " * 40), (962, "a\na\nb\n \nb c\n"), (963, " ".join(f"the{k} of" for k in range(30)))]
+    got = {(r.doc_id, r.n_words): r for r in quality_rules.apply_rules(frame(spark, rows)).collect()}
+    for k, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        covered = {p for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for p in range(i, i + 8)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = got[k, len(words)]
+        assert (r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words)) and not (r.kept and r.base_failed)
+    assert got[963, 60].kept and not got[961, 40].kept
+
+
+def test_secret_patterns():
+    hexes = "0123456789abcdef01"
+    text = f"a Password = '{hexes}' x token:short AKIA{'A' * 14} AKIA{'B' * 13} ſecret=abcdefghijklmn api_key: Zz9/Zz9+Zz9="
+    spans = secrets.base_spans(text)
+    assert [secrets.KINDS[k] for _, k, _ in spans] == ["assign", "hex", "access", "assign"]
+    assert secrets.redact_text("ab" + "S" * 5 + "cd", [(2, 3, 7)]) == "ab<SECRET>cd"
+    assert secrets.candidates("abcdefghijkl1 abcdefghijklmn 123456789012", []) == [(0, 13)]
+
+
+def test_network_on_findings_it_has_not_seen():
+    model, threshold = secrets.trained()
+    found, y = secrets.labelled_findings(1500, 12345)
+    p = model.probability(found)
+    assert (p[y == 1] >= threshold).mean() >= 0.95 and (p[y == 0] >= threshold).mean() <= 0.02
+    long = [("key: ", "aB3" * 2000 + "x9", " end")]
+    assert model.probability(long).shape == (1,)
+
+
+def test_scan(spark):
+    rows = documents() + [(970, "use Bearer gT7kPq2LmX9vRz4WbN8cYd5 now"), (971, 'token = "0123456789abcdef0123"')]
+    got = {(r.doc_id, r.spans): r for r in secrets.scan(frame(spark, rows)).collect()}
+    assert (970, "model:11:34") in got and got[971, "assign:0:29,hex:9:29"].n_hex == 1
+    assert secrets.redact(frame(spark, rows, clash=False)).where("doc_id = 971").first().text == '<SECRET>"'
+    assert secrets.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_quality(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(["re", "th", "an", "er"], 3))
+    rows = [(k, " ".join(word() + ("!!" if k % 4 == 0 else "") for _ in range(40))) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 4 != 0)) for k, _ in rows] + [(None, 1), (3, None)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_model.classify(frame(spark, rows + [(999, None)]), labels).collect()}
+    held = [r for k, r in got.items() if r.held_out and k < 240]
+    assert held and all(r.predicted == int(r.doc_id % 4 != 0) for r in held) and 0 <= got[999].score <= 1
+    none = quality_model.classify(frame(spark, rows[:3]), labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.5}
+    assert quality_model.quality_filter(frame(spark, rows), labels).count() == 180
+
+
+def test_sum_of_squares_is_the_sum_over_pairs():
+    rng = np.random.default_rng(7)
+    model = quality_model.FactorisationMachine(0.1, rng.normal(size=quality_model.SIZE), rng.normal(size=(quality_model.SIZE, 8)))
+    found, n = quality_model.features(b"one two three two")
+    x = quality_model._values(n)
+    pairs = sum(x[i] * x[j] * (model.latent[found[i]] @ model.latent[found[j]]) for i in range(len(found)) for j in range(i))
+    assert model.logit(found, n) == pytest.approx(0.1 + model.weight[found] @ x + pairs)
+
+
+def test_language_model(spark):
+    rows = documents(n=60)
+    got = lm_scoring.score_documents(frame(spark, rows), held=50, spelt=30).collect()
+    tokens = {k: (t or "").encode().lower().split() + [b"\n"] for k, t in rows if k != 904}
+    out = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2
+    train = Counter(w for k, t in rows if not out(k) for w in (t or "").encode().lower().split() + [b"\n"])
+    n, v = sum(train.values()), len(train)
+    for r in got:
+        if r.doc_id == 904:
+            continue
+        own = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(r.doc_id), len(own), sum(w in train for w in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in own)) and r.score < 0 and r.bits_per_byte > 0
+    assert len(got) == len(rows) and lm_scoring.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_bit_model_is_a_distribution_over_the_next_byte():
+    words = [b"the", b"then", b"of", bit_model.END]
+    counts = np.array([9, 3, 5, 2])
+    model = bit_model.BitModel(words, counts)
+    joint = np.zeros(2 * bit_model.SLOTS)
+    model.count(words, counts, joint)
+    model.set_tables(joint)
+    model.learn(words, counts)
+    first = sum(2.0 ** -model.bits([bytes([b])])[0] for b in range(256) if b not in (9, 10, 11, 12, 13, 32))
+    assert first < 1 and model.bits([b"the"])[0] < model.bits([b"zqx"])[0]
