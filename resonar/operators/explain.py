@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from ..config import COMPATIBLE, SearchConfig
 from ..functions.languages import BACKENDS, Backend
-from ..functions.normalize import fold_dashes, to_hiragana
+from ..functions.normalize import fold_dashes, has_han, has_kana, to_hiragana
 from .query import highlight_patterns
 
 EDGES = frozenset("/\\_- .")
@@ -111,6 +111,52 @@ def explain(results: DataFrame, index: DataFrame, query: str, *, config: SearchC
     return both.select("id", "display", "score", "key_kind", "key_index", "norm", "keys").mapInPandas(run, EXPLAIN)
 
 
+#: Bounds of highlighting: longer texts and patterns, and further terms, show nothing.
+LONGEST, LONGEST_PATTERN, MOST_TERMS = 512, 64, 32
+
+
+def highlight_places(display: str, key_text: str, key_kind: str, spans, ways: list[tuple[str, str]], case_sensitive: bool = False) -> list[int]:
+    """Places in display to show as matched, by (variant, kind): through the key's spans, else the text's own kana and Han characters."""
+    if len(display) > LONGEST or len(key_text) > LONGEST:
+        return []
+    out: set[int] = set()
+    for variant, kind in ways[:MOST_TERMS]:
+        if key_kind not in COMPATIBLE[kind] or len(variant) > LONGEST_PATTERN:
+            continue
+        places = match_positions(variant, key_text, case_sensitive)
+        if places is None:
+            continue
+        if key_kind in ("Original", "Normalized"):
+            out |= {k for k in places if k < len(display)}
+        elif spans is not None:
+            out |= {x for k in places if k < len(spans) and spans[k] for x in range(*spans[k])}
+        else:
+            own = {k for k, c in enumerate(display) if has_kana(c) or has_han(c)}
+            out |= own or set(range(len(display)))
+    return sorted(out)
+
+
+def highlight(results: DataFrame, index: DataFrame, query: str, *, config: SearchConfig = SearchConfig(), backend: Backend = BACKENDS["plain"]) -> DataFrame:
+    """id, display and places (array<int>) for the few rows of a result."""
+    patterns = highlight_patterns(query, config.exact) if config.extended else [query]
+    ways = [(v, kind) for p in patterns for v, kind, _ in backend.variants(p, config)]
+    base = 2 if config.normalize else 1
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            places = []
+            for row in frame.itertuples(index=False):
+                extra = None if row.key_index < base else row.keys[row.key_index - base]
+                text = row.display if row.key_index == 0 else row.norm if extra is None else extra["text"]
+                held = None if extra is None else extra["source_map"]
+                spans = None if held is None else [None if s is None else (int(s["start_char"]), int(s["end_char"])) for s in held]
+                places.append(highlight_places(row.display, text, row.key_kind, spans, ways, config.case_sensitive))
+            yield pd.DataFrame({"id": frame["id"], "display": frame["display"], "places": places})
+
+    both = results.join(index.select("id", "norm", "keys"), "id")
+    return both.select("id", "display", "key_kind", "key_index", "norm", "keys").mapInPandas(run, "id long, display string, places array<int>")
+
+
 def explain_text(row) -> str:
     """One explained row as lines of text."""
     span = lambda a, b: "n/a" if a is None or pd.isna(a) else f"{int(a)}..{int(b)}"

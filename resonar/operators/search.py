@@ -273,20 +273,44 @@ def search(index: DataFrame, query: str, *, config: SearchConfig = SearchConfig(
     return ranked(matches(index, query, config=config, backend=backend), query, config)
 
 
-def search_many(index: DataFrame, queries: dict[str, str], *, config: SearchConfig = SearchConfig(), backend: Backend = BACKENDS["plain"]) -> DataFrame:
+#: Queries scored in one scan of the index.
+TOGETHER = 16
+
+
+def _order(query: str, config: SearchConfig) -> Column:
+    keys = [F.col("id")] if config.no_sort else [-F.col("score"), *sort_columns(query, config.tiebreaks)]
+    return F.struct(*[c.cast("long").alias(f"o{k}") for k, c in enumerate(keys)])
+
+
+def _together(index: DataFrame, queries: dict[str, str], config: SearchConfig, backend: Backend) -> DataFrame:
+    """All matches of several plain queries from one scan: a row for each query that a text matches."""
+    matcher = _matcher(config)
+    near = [F.lit(True) if config.disabled else _possible(q, backend, config, matcher) for q in queries.values()]
+    some = index if any(n is None for n in near) else index.where(reduce(lambda a, b: a | b, near))
+    nothing = F.struct(F.lit(0).cast("long").alias("score"), F.lit(0).alias("v"), F.lit(0).alias("k"))
+    best = [nothing if config.disabled else _fuzzy(q, backend, config, matcher) for q in queries.values()]
+    hits = F.array(*[F.struct(F.lit(n).alias("query_id"), F.lit(i).alias("nth"), b.alias("best")) for i, (n, b) in enumerate(zip(queries, best, strict=True))])
+    out = some.withColumn("_hit", F.explode(F.filter(hits, lambda h: h["best"].isNotNull())))
+    k = -F.col("_hit.best.k")
+    out = out.select("norm", "id", "display", F.col("_hit.best.score").alias("score"), _kind(k, config).alias("key_kind"), k.alias("key_index"), F.col("_hit.query_id").alias("query_id"), F.col("_hit.nth").alias("nth"))
+    order = reduce(lambda a, i: F.when(F.col("nth") == i[0], _order(i[1], config)).otherwise(a), enumerate(queries.values()), F.lit(None))
+    return out.select("query_id", *RESULT, order.alias("_order"))
+
+
+def search_many(index: DataFrame, queries: dict[str, str], *, config: SearchConfig = SearchConfig(), backend: Backend = BACKENDS["plain"], together: int = TOGETHER) -> DataFrame:
     """query_id and the columns of search, for several queries; each query's best `limit` rows with their rank from 1.
 
-    Each query scans the stored index by itself, with its own filter pushed down; ranks are cut within each partition
-    before they are shuffled.
+    Plain queries share scans of the index, `together` in each; an extended query scans by itself, with its own filter
+    pushed down. Ranks are cut within each partition before they are shuffled.
     """
-    parts = []
-    for name, query in queries.items():
+    alone = {n: q for n, q in queries.items() if config.extended and language.is_extended(q) and not config.disabled}
+    plain = [(n, q) for n, q in queries.items() if n not in alone]
+    parts = [_together(index, dict(plain[k : k + together]), config, backend) for k in range(0, len(plain), together)]
+    for name, query in alone.items():
         found = matches(index, query, config=config, backend=backend)
-        keys = [c.alias(f"_o{k}") for k, c in enumerate([F.col("id")] if config.no_sort else [-F.col("score"), *sort_columns(query, config.tiebreaks)])]
-        parts.append(found.select(F.lit(name).alias("query_id"), *RESULT, F.struct(*keys).alias("_order")))
+        parts.append(found.select(F.lit(name).alias("query_id"), *RESULT, _order(query, config).alias("_order")))
     whole = reduce(lambda a, b: a.union(b), parts)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("_order"))
-    out = whole.withColumn("rank", rank)
+    out = whole.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_order")))
     return (out if config.limit is None else out.where(F.col("rank") <= config.limit)).drop("_order")
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from resonar.config import SearchConfig
 from resonar.functions.languages import BACKENDS, backend_for
 from resonar.operators import fields
-from resonar.operators.explain import explain, explain_text, match_positions
+from resonar.functions import width
+from resonar.operators.explain import explain, explain_text, highlight, highlight_places, match_positions
 from resonar.operators.index import all_keys, apply_aliases, build_index, newest_first, with_ids
-from resonar.operators.search import search
+from resonar.operators.outcome import filter_outcome
+from resonar.operators.search import search, search_many
 from resonar.sources import text as source
 from resonar.sources.walker import WalkerSource, parse_options, walk
 from resonar.streaming.live import LiveSearch
@@ -124,3 +126,32 @@ def test_stream_of_files(spark, tmp_path):
     assert {r.display for r in live.results(spark).collect()} == {"red 0", "red 1"}
     with pytest.raises(ValueError):
         fields.slice_records(stream, tail=1)
+
+
+def test_many_queries_in_one_scan(spark):
+    items = spark.createDataFrame(list(enumerate(["red bolt", "blue gear", "red gear", "ring"])), "id long, search_text string")
+    own = build_index(items)
+    queries = {"a": "rd", "b": "gear", "c": "'red !bolt", "d": "zz"}
+    got = search_many(own, queries, config=SearchConfig(limit=2)).collect()
+    for name, query in queries.items():
+        want = [(r.id, r.score) for r in search(own, query, config=SearchConfig(limit=2)).collect()]
+        assert [(r.id, r.score) for r in sorted((x for x in got if x.query_id == name), key=lambda x: x["rank"])] == want
+
+
+def test_highlight_and_outcome(spark):
+    items = spark.createDataFrame([(0, "北京大学.txt"), (1, "notes.txt")], "id long, search_text string")
+    own = build_index(items, backend=BACKENDS["zh"])
+    found_rows = search(own, "bj", backend=BACKENDS["zh"])
+    assert highlight(found_rows, own, "bj", backend=BACKENDS["zh"]).first().places == [0, 1]
+    assert highlight_places("カメラ x", "kamera x", "RomajiReading", None, [("kam", "Original")]) == [0, 1, 2]
+    rows = items.select("id", F.col("search_text").cast("binary").alias("raw"), F.col("search_text").alias("original"))
+    done = filter_outcome(found_rows, rows, "bj", print_query=True)
+    assert (done.output.decode(), done.code) == ("bj\n北京大学.txt\n", 0)
+    assert filter_outcome(found_rows.limit(0), rows, "bj").code == 1
+
+
+def test_width(spark):
+    assert [width.width(t) for t in ("abc", "東京", "e\u0301", "")] == [3, 4, 1, 0]
+    assert width.shorten("東京駅前", 5) == "東京…" and width.shorten("ab", 5) == "ab"
+    df = spark.createDataFrame([("ab",), ("東京",)], "t string")
+    assert [r[0] for r in df.select(width.width_col(F.col("t"))).collect()] == [2, 4]
