@@ -31,29 +31,34 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _is_alnum(c: Column) -> Column:
-    plain = c.between("a", "z") | c.between("A", "Z") | c.between("0", "9")
-    return plain | ((c > "\x7f") & c.rlike(r"[\p{IsAlphabetic}\p{N}]"))
+#: Classes of characters: s white space, d delimiter, n number, l lower, u upper, a other letter, o all else.
+_ASCII = "".join(map(chr, range(128)))
 
 
-def _is_number(c: Column) -> Column:
-    return c.between("0", "9") | ((c > "\x7f") & c.rlike(r"\p{N}"))
+def _ascii_class(c: str) -> str:
+    if c in " \t\n\r\f":
+        return "s"
+    return "d" if c in DELIMITERS else "n" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o"
 
 
-def _is_lower(c: Column) -> Column:
-    return c.between("a", "z") | ((c > "\x7f") & c.rlike(r"\p{IsLowercase}"))
+_CLASSES = "".join(map(_ascii_class, _ASCII))
 
 
-def _is_upper(c: Column) -> Column:
-    return c.between("A", "Z") | ((c > "\x7f") & c.rlike(r"\p{IsUppercase}"))
+def classes(text: Column) -> Column:
+    """One letter for each character's class, after an s for the text's start."""
+    other = text
+    steps = ((r"\x0b", " "), (r"[\p{N}&&[^\x00-\x7f]]", "0"), (r"[\p{IsLowercase}&&[^\x00-\x7f]]", "a"), (r"[\p{IsUppercase}&&[^\x00-\x7f]]", "A"))
+    for pattern, stands in (*steps, (r"[\p{IsWhite_Space}&&[^\x00-\x7f]]", " "), (r"[\p{IsAlphabetic}&&[^\x00-\x7f]]", "\u00aa"), (r"[^\x00-\x7f\u00aa]", "#")):
+        other = F.regexp_replace(other, pattern, stands)
+    plain = F.translate(text, _ASCII[1:], _CLASSES[1:])
+    return F.concat(F.lit("s"), F.when(is_ascii(text), plain).otherwise(F.translate(other, _ASCII[1:] + "\u00aa", _CLASSES[1:] + "a")))
 
 
-def _bonus(text: Column, q: Column) -> Column:
-    """What a match at 1-based place q earns by its surroundings."""
-    before, own = F.substring(text, q - 1, F.lit(1)), F.substring(text, q, F.lit(1))
-    blank = before.isin(" ", "\t", "\n", "\r", "\f") | ((before == "\x0b") & ~is_ascii(text)) | ((before > "\x7f") & before.rlike(r"\p{IsWhite_Space}"))
-    turns = (_is_lower(before) & _is_upper(own)) | (~_is_number(before) & _is_number(own))
-    return F.when((q == 1) | blank, 100).when(before.isin(*DELIMITERS), 90).when(~_is_alnum(before), 80).when(turns, 70).otherwise(0)
+def _bonus(kinds: Column, q: Column) -> Column:
+    """What a match at 1-based place q earns: by the class before it, else by a turn from one class to another."""
+    pair = F.substring(kinds, q, F.lit(2))
+    first = F.substring(kinds, q, F.lit(1))
+    return F.when(first == "s", 100).when(first == "d", 90).when(first == "o", 80).when((pair == "lu") | (pair == "ln") | (pair == "un") | (pair == "an"), 70).otherwise(0)
 
 
 def subsequence_end(pattern: str, text: Column) -> Column:
@@ -61,27 +66,32 @@ def subsequence_end(pattern: str, text: Column) -> Column:
     return reduce(lambda e, c: _at(F.lit(c), text, e + 1), pattern, F.lit(0))
 
 
-def _score_places(pattern: str, needle: str, text: Column, f: Column, end: Column, typed: bool) -> Column:
-    size = F.length(text)
+def _whole(needle: str, f: Column) -> Column:
+    return F.when(f == needle, WHOLE).when(f.startswith(needle), PREFIX).when(F.position(F.lit(needle), f) > 0, INSIDE).otherwise(0)
+
 
-    def step(places: Column, c: Column) -> Column:
-        back = F.position(c, F.reverse(f), size + 2 - F.get(places, F.lit(0)))
-        return F.array_prepend(places, size + 1 - back)
+def _gap(d: Column) -> Column:
+    return F.when(d == 1, ADJACENT).otherwise(GAP + GAP_MORE * (d - 2))
 
+
+def _score_places(pattern: str, needle: str, text: Column, f: Column, end: Column, typed: bool) -> Column:
+    size = F.length(text)
     before = F.array(*[F.lit(c) for c in reversed(needle[:-1])]) if len(needle) > 1 else F.array().cast("array<string>")
-    places = F.aggregate(before, F.array(end), step)
 
-    def total(q: Column) -> Column:
-        gap = lambda d: F.when(d == 1, ADJACENT).otherwise(GAP + GAP_MORE * (d - 2))
+    def places(back: Column) -> Column:
+        step = lambda q, c: F.array_prepend(q, size + 1 - F.position(c, back, size + 2 - F.get(q, F.lit(0))))
+        return F.aggregate(before, F.array(end), step)
+
+    def total(q: Column, kinds: Column) -> Column:
         # the first character's bonus counts twice; others bring the gap before them
-        each = F.transform(q, lambda x, i: let(_bonus(text, x), lambda b: F.when(i == 0, 2 * b).otherwise(b + gap(x - F.get(q, i - 1)))))
+        each = F.transform(q, lambda x, i: F.when(i == 0, 2).otherwise(1) * _bonus(kinds, x) + F.when(i == 0, 0).otherwise(_gap(x - F.get(q, i - 1))))
         out = START + MATCH * len(needle) + F.aggregate(each, F.lit(0), lambda a, x: a + x) - 2 * (F.get(q, F.lit(0)) - 1) - F.floor(size / 8)
         if typed:
             out = out + F.when(F.array_join(F.transform(q, lambda x: F.substring(text, x, F.lit(1))), "") == pattern, CASE).otherwise(0)
         return out
 
-    whole = F.when(f == needle, WHOLE).when(f.startswith(needle), PREFIX).when(F.position(F.lit(needle), f) > 0, INSIDE).otherwise(0)
-    return (let(places, total) + whole).cast("long")
+    found = let(F.reverse(f), places)
+    return (let(classes(text), lambda kinds: let(found, lambda q: total(q, kinds))) + _whole(needle, f)).cast("long")
 
 
 def _greedy_once(pattern: str, text: Column, case_sensitive: bool, case_bonus: bool = True) -> Column:

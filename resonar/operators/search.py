@@ -230,7 +230,6 @@ def _scored(index: DataFrame, query: str, config: SearchConfig, backend: Backend
     if not groups:
         return index.withColumn(name, best(0))
     fuzzy = _matcher(replace(config, exact=False))
-    match = lambda t: _fuzzy(t.text, backend, config, fuzzy) if t.mode == "fuzzy" else _exact(t, config, backend)
     cheap = lambda t: _possible(t.text, backend, config, fuzzy) if t.mode == "fuzzy" else _literal_filter(t, config, backend)
     needed = []
     for group in groups:
@@ -244,7 +243,7 @@ def _scored(index: DataFrame, query: str, config: SearchConfig, backend: Backend
         total, holds = F.lit(0).cast("long"), F.lit(True)
         for t, term in enumerate(group):
             c = f"_{name}_{g}_{t}"
-            out = out.withColumn(c, match(term))
+            out = out.withColumn(c, _fuzzy(term.text, backend, config, fuzzy) if term.mode == "fuzzy" else _exact(term, config, backend))
             columns.append(c)
             if term.negated:
                 holds = holds & F.col(c).isNull()
