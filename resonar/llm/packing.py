@@ -8,6 +8,7 @@ while its lengths last. Executors number the pieces of each length and look up t
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -22,8 +23,10 @@ from .wordcache import WordCache
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length that are numbered in one task, roughly.
 GROUP = 100_000
+#: Words and parts of words that a worker's cache keeps at least.
+HALF = 400_000
 _TAIL = b",.;:!?*%$#&|"
-_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _loaded: dict[str, tuple] = {}
 
 
@@ -36,30 +39,57 @@ def _tokenizer(path: str):
 
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
-        _loaded[path] = own, WordCache()
+        last = np.zeros(own.get_vocab_size(), bool)
+        last[[k for t, k in own.get_vocab().items() if t.endswith("</w>")]] = True
+        _loaded[path] = own, WordCache(HALF), last
     return _loaded[path]
 
 
-def _split(word: bytes) -> tuple[bytes, ...]:
-    """A word without its closing punctuation, and that; the tokenizer's own splitting always parts them there."""
+def _split(word: bytes) -> tuple[bytes, bytes]:
+    """A word without its closing punctuation, and that; the tokenizer's own splitting always parts a letter from it.
+
+    ASCII words are lower-cased here, as the tokenizer will do; others keep their case, as it composes before that.
+    """
     stem = word.rstrip(_TAIL)
-    return (stem, word[len(stem) :]) if stem and len(stem) < len(word) and stem[-1] in _ALNUM else (word,)
+    if len(stem) < len(word) and not (stem and (stem[-1] in _LETTERS or stem[-1] > 127 and stem.decode()[-1].isalpha())):
+        stem = word
+    return stem.lower() if stem.isascii() else stem, word[len(stem) :]
 
 
 def _learn(path: str, words: list[bytes]) -> None:
-    own, cache = _tokenizer(path)
-    parts = cache.lacking(p for w in words for p in _split(w))
-    if parts:
-        for p, e in zip(parts, own.encode_batch([p.decode() for p in parts], add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, "<u4").tobytes()
-    for w in words:
-        if len(both := _split(w)) > 1:
-            cache[w] = cache[both[0]] + cache[both[1]]
+    """Puts words into the cache; their parts, lower-cased, are kept there too."""
+    own, cache, last = _tokenizer(path)
+    split = [_split(w) for w in words]
+    new = cache.lacking({p for both in split for p in both if p})
+    # letters alone are one word to the tokenizer, and only a word's last token is marked, so many go in one text
+    plain, other = [], []
+    for p in new:
+        text = p.decode()
+        alone = text.isalpha() and (p.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
+        (plain if alone else other).append((p, text))
+    runs = [plain[k : k + 4096] for k in range(0, len(plain), 4096)]
+    for some, e in zip(runs, own.encode_batch_fast([" ".join([t for _, t in r]) for r in runs], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, "<u4")
+        cut = (4 * (np.flatnonzero(last[ids]) + 1)).tolist()
+        if len(cut) != len(some):
+            other += some
+            continue
+        data, start = ids.tobytes(), 0
+        for (p, _), end in zip(some, cut, strict=True):
+            cache[p] = data[start:end]
+            start = end
+    for (p, _), e in zip(other, own.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
+        cache[p] = np.array(e.ids, "<u4").tobytes()
+    for w, (stem, tail) in zip(words, split, strict=True):
+        if tail:
+            cache[w] = cache[stem] + cache[tail]
+        elif stem != w:
+            cache[w] = cache[stem]
 
 
 def token_bytes(path: str, text: bytes) -> bytes:
     """Little-endian 32-bit ids of a text. The tokenizer drops white space and never joins over it, so words are encoded once each."""
-    _, cache = _tokenizer(path)
+    cache = _tokenizer(path)[1]
     cache.turn()
     words = text.lower().split() if text.isascii() else text.split()
     out = []
