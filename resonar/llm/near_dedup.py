@@ -5,6 +5,9 @@ document's candidates are its neighbours that share the longest prefixes with it
 values all of them are neighbours, where many do the neighbours agree to a greater depth. Candidates are confirmed on
 full shingle sets; confirmed links are united over all orders.
 
+Where more documents share the first values than neighbours are looked at, the order alone would lose pairs. Such crowds
+are joined exactly: by their rarest shingles, as far into each set as a pair that is near enough must have met.
+
 Documents with equal shingle sets form one class, found by a digest, so groups of copies are never expanded into pairs.
 """
 
@@ -14,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, binary_column, in_chunks, shingle_sets, splitmix
@@ -90,7 +93,11 @@ _NEIGHBOURS = "a long, b long, apart int, tree int, key binary"
 
 
 def _neighbours(batches):
-    """Pairs of neighbours of one sorted run of rows. The first and last rows come out too (b null), for its borders."""
+    """Pairs of neighbours of one sorted run of rows. The first and last rows come out too (b null), for its borders.
+
+    A row that shares its first values with another more than REACH places away is paired with itself: it is in a crowd.
+    """
+    edge = REACH + 1
     held = None
     first = True
 
@@ -106,30 +113,33 @@ def _neighbours(batches):
             continue
         tree, key, node = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
         if first:
-            yield border(tree[:REACH], key[:REACH], node[:REACH])
+            yield border(tree[:edge], key[:edge], node[:edge])
             first = False
         if held:
             tree, key, node = np.concatenate((held[0], tree)), held[1] + key, np.concatenate((held[2], node))
         fresh = len(held[2]) if held else 0
         values = np.frombuffer(b"".join(key), ">u4").reshape(len(key), DEPTH)
-        for apart in range(1, REACH + 1):
+        for apart in range(1, edge + 1):
             if len(node) <= apart:
                 break
             alike = (values[apart:, :SHARED] == values[:-apart, :SHARED]).all(axis=1) & (tree[apart:] == tree[:-apart])
             at = np.flatnonzero(alike)
             at = at[at + apart >= fresh]
             x, y = node[at], node[at + apart]
+            if apart == edge:
+                x = y = np.unique(np.concatenate((x, y)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(at), apart, np.int32)), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())],
+                [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), apart, np.int32)), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary())],
                 names=["a", "b", "apart", "tree", "key"],
             )
-        held = tree[-REACH:], key[-REACH:], node[-REACH:]
+        held = tree[-edge:], key[-edge:], node[-edge:]
     if held:
         yield border(*held)
 
 
-def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, apart): pairs of classes that are neighbours in some order, with the least distance at which they are."""
+def _candidates(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b, apart): pairs of classes that are neighbours in some order, with the least distance at which they are; and
+    (node): classes that are in a crowd in some order."""
     spark = classes.sparkSession
     rows = classes.select("node", "signature").mapInArrow(_grow, "tree int, key binary, node long")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -138,8 +148,8 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     # a few rows from each partition: pairs that stand across a border
     borders = found.where("b is null").select("tree", "key", F.col("a").alias("node")).distinct()
     across = borders.coalesce(1).sortWithinPartitions("tree", "key", "node").mapInArrow(_neighbours, _NEIGHBOURS)
-    pairs = found.union(across).where("b is not null and a <> b")
-    return scratch.save(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "pairs")
+    pairs = scratch.save(found.union(across).where("b is not null").groupBy("a", "b").agg(F.min("apart").alias("apart")), "pairs")
+    return pairs.where("a <> b"), pairs.where("a = b").select(F.col("a").alias("node"))
 
 
 def _wanted(ids: DataFrame) -> bytes:
@@ -208,6 +218,100 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _spell(batches):
+    """(node, token): the shingles of each set."""
+    for batch in batches:
+        for node, whole in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            tokens = np.frombuffer(whole.as_buffer(), np.int64)
+            for k in range(0, len(tokens), 1 << 16):
+                t = tokens[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), node))], names=["token", "node"])
+
+
+def _meetings(token, node, size, place, component, percent: int):
+    """Pairs of rows of one token whose sets can still be near enough, unless they are in one component. Rows are sorted
+    by token, size and node; place is the token's place in its set, rarest first."""
+    cuts = np.flatnonzero(np.diff(token)) + 1
+    group = np.zeros(len(token), np.int64)
+    group[cuts] = 1
+    group = np.cumsum(group)
+    # of each token's rows those of the commonest component meet only the others
+    order = np.lexsort((component, group))
+    heads = np.flatnonzero(np.concatenate(([True], (np.diff(group[order]) != 0) | (np.diff(component[order]) != 0))))
+    runs = np.diff(np.append(heads, len(order)))
+    best = np.lexsort((runs, group[order[heads]]))
+    last = best[np.append(np.diff(group[order[heads]][best]) != 0, True)]
+    main = component == component[order[heads[last]]][group]
+    # the smaller set's rest, from this token on, must hold the whole overlap; so must the larger one's
+    rest = (100 + percent) * (size - place)
+    first = np.flatnonzero(rest >= 2 * percent * size)
+    key = (group << 32) | size
+    end = np.searchsorted(key, (group[first] << 32) | np.minimum(rest[first] // percent - size[first], (1 << 32) - 1), side="right")
+    for own, others in ((main[first], np.flatnonzero(~main)), (~main[first], np.arange(len(token)))):
+        y = first[own]
+        start = np.searchsorted(others, y + 1)
+        many = np.maximum(np.searchsorted(others, end[own]) - start, 0)
+        total = np.cumsum(many)
+        k = 0
+        while k < len(y):
+            stop = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + (1 << 22), side="right")))
+            n = many[k:stop]
+            at = np.repeat(start[k:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            a, b = np.repeat(y[k:stop], n), others[at]
+            ok = (component[a] != component[b]) & (rest[b] >= percent * (size[a] + size[b]))
+            a, b = node[a[ok]], node[b[ok]]
+            if len(a):
+                yield np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+            k = stop
+
+
+def _meet(percent: int):
+    def run(batches):
+        def out(columns):
+            if len(columns[0]):
+                for a, b in _meetings(*columns, percent):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy() for c in batch.columns]
+            if held:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            yield from out([c[:cut] for c in now])
+            held = [c[cut:] for c in now]
+        if held:
+            yield from out(held)
+
+    return run
+
+
+def _crowded(crowd: DataFrame, sets: DataFrame, known: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b): all pairs of classes of crowds that can be near enough and that known(node, component) has not united.
+
+    With a set's shingles in one order for all, rarest first, the first one that two sets share stands so early in both
+    that what follows can hold their overlap. Shingles that one set alone has count for the places only.
+    """
+    tokens = scratch.save(sets.join(crowd, "node").select("node", "whole").mapInArrow(_spell, "token long, node long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+    whole = Window.partitionBy("node")
+    sizes = sets.select("node", F.col("n_shingles").alias("size")).join(known, "node", "left").select("node", "size", F.coalesce("component", "node").alias("component"))
+    placed = (
+        tokens.join(often, "token")
+        .withColumn("rank", F.row_number().over(whole.orderBy("times", "token")))
+        .withColumn("shared", F.count("*").over(whole))
+        .join(sizes, "node")
+        .select("token", "node", "size", (F.col("size") - F.col("shared") + F.col("rank") - 1).alias("place"), "component")
+        .where((F.col("size") - F.col("place")) * 100 >= F.col("size") * percent)
+    )
+    out = placed.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_meet(percent), "a long, b long")
+    out = scratch.save(out.distinct(), "meetings")
+    scratch.drop(tokens)
+    return out
+
+
 def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept, and row_id, which tells apart equal doc_ids.
 
@@ -226,7 +330,7 @@ def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT)
         full.groupBy("digest").agg(F.min(F.struct("rid", "doc_id")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).select(F.col("first.rid").alias("node"), F.col("first.doc_id").alias("doc_id"), "digest", "n_shingles", "signature"),
         "classes",
     )
-    pairs = _candidates(classes, scratch)
+    pairs, crowd = _candidates(classes, scratch)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     needed = scratch.save(classes.join(nodes, "node").select("node", "doc_id", "digest", "n_shingles"), "needed")
     bits = spark.sparkContext.broadcast(_wanted(needed))
@@ -245,8 +349,11 @@ def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT)
         .select("a", "b")
     )
     more = scratch.save(_verified(rest, sets, percent), "more")
-    scratch.drop(sets)
     joined = components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)
+    if not crowd.isEmpty():
+        more = scratch.save(_verified(_crowded(crowd, sets, joined, scratch, percent), sets, percent), "crowded")
+        joined = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)
+    scratch.drop(sets)
     member = (
         classes.select("node", "digest", "n_shingles")
         .join(joined, "node", "left")

@@ -53,6 +53,16 @@ def test_near_groups_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+def test_pairs_in_a_crowd_are_linked(spark):
+    own = lambda k, n: [f"w{k}x{j}" for j in range(n)]
+    shared = own("all", 176)
+    rows = [(k, " ".join(shared + own(k, 35))) for k in range(3000)]  # 0.71 alike
+    for k in range(0, 120, 2):  # 0.77 alike
+        rows[k + 1] = k + 1, " ".join(shared + own(k, 9) + own(k + 1, 26))
+    got = {r.doc_id: r.component_id for r in near_groups(frame(spark, rows)).collect()}
+    assert got == {k: k - k % 2 if k < 120 else k for k in range(3000)}
+
+
 def test_empty_tables(spark):
     assert near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
