@@ -129,6 +129,16 @@ def test_secret_patterns():
     assert secrets.candidates("abcdefghijkl1 abcdefghijklmn 123456789012", []) == [(0, 13)]
 
 
+def test_runs_that_go_beyond_a_pattern_are_scored_whole():
+    model, threshold = secrets.trained()
+    run = "ghp_0123456789abcdefQz7LmX9vRz4WbN8cYd5"
+    text = f"use Bearer {run} now"
+    (base, every), = secrets.scan_texts([text], model, threshold)
+    assert base == [(15, 2, 31)] and every == [(11, 3, 11 + len(run)), (15, 2, 31)]
+    assert secrets.redact_text(text, every) == "use Bearer <SECRET> now"
+    assert secrets.candidates("aB3" * 9, [(0, 2, 13), (13, 2, 27)]) == []
+
+
 def test_network_on_findings_it_has_not_seen():
     model, threshold = secrets.trained()
     found, y = secrets.labelled_findings(1500, 12345)
