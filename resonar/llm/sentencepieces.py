@@ -95,7 +95,8 @@ class PieceEncoder:
         for raw, mine, theirs in zip(chunks, own, self._by_library(marked), strict=True):
             if mine != theirs:
                 self.corrected += 1
-            self.cache[raw] = " ".join(map(str, theirs)), np.array(theirs, "<i4").tobytes()
+                mine = theirs
+            self.cache[raw] = " ".join(map(str, mine)), np.array(mine, "<i4").tobytes()
 
     def chunks(self, text: str) -> list[str]:
         return _CHUNK.findall(f" {text}") if text else []

@@ -94,6 +94,15 @@ def test_piece_round_trip(spark):
     assert Counter(r.text for r in decoded) == Counter(lib.decode(lib.encode(t or "")) for _, t in rows)
 
 
+def test_ids_are_the_agendas_unless_the_library_differs(monkeypatch):
+    own = sentencepieces.PieceEncoder(PIECE)
+    mine = own.merge("▁hello")
+    for theirs, want, corrected in (([float(k) for k in mine], mine, 0), ([*mine, 7], [*mine, 7], 1)):
+        monkeypatch.setattr(own, "_by_library", lambda chunks, theirs=theirs: [theirs])  # equal ids written otherwise
+        own.learn([" hello"])
+        assert own.cache[" hello"][0] == " ".join(map(str, want)) and own.corrected == corrected
+
+
 def test_lines(spark):
     shared = "this line stands on many sites"
     rows = [(k, f"own {k}\n{shared} \n\nend {k}", "en", f"s{k}", 1) for k in range(8)] + [(50, None, None, None, None), (51, "", "en", None, 0), (None, shared, "en", "s1", 1)]
