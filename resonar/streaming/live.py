@@ -23,6 +23,8 @@ class LiveSearch:
     def __init__(self, path: str, query: str, *, config: SearchConfig = SearchConfig(), backend: Backend = BACKENDS["plain"], language: str | None = None):
         if language == "auto":
             raise ValueError("a stream has no sample to detect a language from; name one")
+        if config.limit is None:
+            raise ValueError("the best rows are held by the driver; give a limit, or search() the index() table for all")
         self.path, self.config, self.backend = path.rstrip("/"), config, backend
         self.batch_id, self.best = -1, None
         self.set_query(query)

@@ -116,6 +116,11 @@ def test_live_search_equals_one_search(spark, tmp_path):
         live.start(items, str(tmp_path / "c"))
 
 
+def test_live_search_needs_a_limit(tmp_path):
+    with pytest.raises(ValueError):
+        LiveSearch(str(tmp_path), "prd", config=SearchConfig(limit=None))
+
+
 def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(2):
