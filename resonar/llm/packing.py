@@ -27,6 +27,8 @@ GROUP = 100_000
 HALF = 400_000
 _TAIL = b",.;:!?*%$#&|"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Letters below are letters to every version of Unicode in use.
+_OLD = 0x0530
 _loaded: dict[str, tuple] = {}
 
 
@@ -38,34 +40,47 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
         last = np.zeros(own.get_vocab_size(), bool)
         last[[k for t, k in own.get_vocab().items() if t.endswith("</w>")]] = True
-        _loaded[path] = own, WordCache(HALF), last
+        marks = [x.content.encode() for x in own.get_added_tokens_decoder().values()]
+        if any(m.split() != [m] for m in marks):
+            raise ValueError("an added token holds white space, so words cannot be encoded one by one")
+        _loaded[path] = own, WordCache(HALF), last, marks
     return _loaded[path]
 
 
-def _split(word: bytes) -> tuple[bytes, bytes]:
+def _ends_in_letter(stem: bytes) -> bool:
+    """Whether the tokenizer, which composes and then lower-cases, will surely see a letter at the end of stem."""
+    if stem[-1] < 128:
+        return stem[-1] in _LETTERS
+    last = unicodedata.normalize("NFC", stem.decode())[-1].lower()[-1]
+    return last.isalpha() and ord(last) < _OLD
+
+
+def _split(word: bytes, marks: list[bytes]) -> tuple[bytes, bytes]:
     """A word without its closing punctuation, and that; the tokenizer's own splitting always parts a letter from it.
 
-    ASCII words are lower-cased here, as the tokenizer will do; others keep their case, as it composes before that.
+    ASCII words are lower-cased here, as the tokenizer will do; others keep their case, as it composes before that. Words
+    that hold an added token stay as they are: those are found before letters are lower-cased.
     """
+    if any(m in word.lower() for m in marks):
+        return word, b""
     stem = word.rstrip(_TAIL)
-    if len(stem) < len(word) and not (stem and (stem[-1] in _LETTERS or stem[-1] > 127 and stem.decode()[-1].isalpha())):
+    if len(stem) < len(word) and not (stem and _ends_in_letter(stem)):
         stem = word
     return stem.lower() if stem.isascii() else stem, word[len(stem) :]
 
 
 def _learn(path: str, words: list[bytes]) -> None:
     """Puts words into the cache; their parts, lower-cased, are kept there too."""
-    own, cache, last = _tokenizer(path)
-    split = [_split(w) for w in words]
+    own, cache, last, marks = _tokenizer(path)
+    split = [_split(w, marks) for w in words]
     new = cache.lacking({p for both in split for p in both if p})
     # letters alone are one word to the tokenizer, and only a word's last token is marked, so many go in one text
     plain, other = [], []
     for p in new:
         text = p.decode()
-        alone = text.isalpha() and (p.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
+        alone = text.isalpha() and (p.isascii() or all(c.isalpha() and ord(c) < _OLD for c in unicodedata.normalize("NFC", text).lower()))
         (plain if alone else other).append((p, text))
     runs = [plain[k : k + 4096] for k in range(0, len(plain), 4096)]
     for some, e in zip(runs, own.encode_batch_fast([" ".join([t for _, t in r]) for r in runs], add_special_tokens=False), strict=True):
@@ -89,9 +104,10 @@ def _learn(path: str, words: list[bytes]) -> None:
 
 def token_bytes(path: str, text: bytes) -> bytes:
     """Little-endian 32-bit ids of a text. The tokenizer drops white space and never joins over it, so words are encoded once each."""
-    cache = _tokenizer(path)[1]
+    _, cache, _, marks = _tokenizer(path)
     cache.turn()
-    words = text.lower().split() if text.isascii() else text.split()
+    low = text.lower()
+    words = (low if text.isascii() and not any(m in low for m in marks) else text).split()
     out = []
     for k in range(0, len(words), 50_000):
         some = words[k : k + 50_000]
