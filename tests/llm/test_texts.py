@@ -52,7 +52,6 @@ def test_packing_holds_every_token(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(WORD)
-    own.encode_special_tokens = True
     rows = documents() + [(950, "H̱x I'LL don't.x A.B. <|endoftext|> İ é, É. ß.;")]
     got = packing.pack_documents(frame(spark, rows), WORD, capacity=64, keep_ids=True).collect()
     want = []
