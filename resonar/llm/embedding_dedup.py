@@ -1,15 +1,24 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-Each pass sorts the vectors of each label by the bits of random projections and compares each vector with a window of
-its neighbours; pairs that are near enough are united over all passes. A window whose end is still a link shows a
-region denser than the window: such components are counted exactly, tile by tile, so that no link in them is missed.
-Equal vectors of one label form one class and are never expanded into pairs.
+Each pass sorts the vectors of each label by the bits of random projections. A window is a run of neighbours with equal
+leading bits, as long a prefix as its region's density asks for, so that no window holds more than `window` vectors; all
+pairs in a window are compared. How deep a vector's window is says how likely a link at exactly the threshold would be
+missed there; a vector goes on to further passes until that chance, over all its passes, is below `miss`. What is still
+above it after `most` passes is compared in blocks, so nothing is left to chance in regions that no projection parts.
+
+Vectors travel as 16-bit integers with a bound of their error; only pairs within the bound are looked up in the stored
+vectors. A vector with very many links in one window is counted against its whole component instead, block by block, and
+its links are handed on as a spanning forest, so dense regions are never written out as pairs. Equal vectors of one label
+form one class.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,169 +27,355 @@ from .common import Scratch
 from .graph import components
 
 COSINE = 0.98
-PASSES, WINDOW, SEED = 12, 32, 77
-#: Vectors on one side of a tile.
-TILE = 1024
-
-_PAIR = "a long, b long, edge boolean, pass int, label long, size int, key long, vector binary, count long"
+#: Most vectors of a window; the chance that a link may be missed; passes after which blocks take over.
+WINDOW, MISS, MOST = 4096, 1e-3, 64
+#: Links in one window beyond which a vector is counted against its component.
+MANY = 64
+#: Vectors on one side of a block of pairs.
+BLOCK, SEED, BITS = 16_384, 77, 63
 
 
 def _clean(batches):
-    """(rid, vec_id, label, size, vector): size and vector are null where the vector links with nothing."""
+    """(rid, vec_id, label, size, digest, vector): size and what follows are null where the vector links with nothing."""
     for batch in batches:
         label, rows = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        size, vector = [], []
+        size, digest, vector = [], [], []
         for own, x in zip(label, rows, strict=True):
             ok = own is not None and x is not None and len(x) > 0 and None not in x
             if ok:
-                v = np.array(x, np.float64)
+                v = np.array(x, np.float64) + 0.0  # -0 and 0 are one value
                 ok = bool(np.isfinite(v).all()) and bool(v.any())
             size.append(len(x) if ok else None)
             vector.append(v.tobytes() if ok else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int32()), pa.array(vector, pa.binary())], names=["rid", "vec_id", "label", "size", "vector"])
+            digest.append(xxhash.xxh3_128_digest(vector[-1]) if ok else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int32()), pa.array(digest, pa.binary()), pa.array(vector, pa.binary())], names=["rid", "vec_id", "label", "size", "digest", "vector"])
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    top = np.abs(vectors).max(axis=1, keepdims=True)
-    scaled = vectors / np.where(top > 0, top, 1)
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _project(passes: int, seed: int):
+_COLUMNS = {"label": pa.int64(), "size": pa.int32(), "node": pa.int64(), "code": pa.binary(), "error": pa.float64()}
+_CODED = "label long, size int, node long, code binary, error double"
+
+
+def _encode(batches):
+    """Unit vectors as 16-bit integers, and how far each is from what the integers say."""
+    for batch in batches:
+        get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+        code, error = [], []
+        for data in get("vector").to_pylist():
+            unit = _unit(np.frombuffer(data, np.float64)[None, :])[0]
+            top = np.abs(unit).max()
+            small = np.rint(unit * (32767 / top)).astype("<i2")
+            code.append(np.float64(top).tobytes() + small.tobytes())
+            error.append(float(np.sqrt(((unit - small * (top / 32767)) ** 2).sum())) + 1e-12)
+        yield pa.RecordBatch.from_arrays([get("label"), get("size"), get("node"), pa.array(code, pa.binary()), pa.array(error)], names=list(_COLUMNS))
+
+
+def _decode(codes: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    top = np.ascontiguousarray(raw[:, :8]).view(np.float64)
+    return np.ascontiguousarray(raw[:, 8:]).view("<i2") * (top / 32767)
+
+
+def _project(first: int, passes: int, seed: int):
+    """(pass, label, size, key, node): the sign bits of random projections, the first one highest."""
+
     def run(batches):
         planes: dict[int, np.ndarray] = {}
-        powers = np.uint64(1) << np.arange(62, -1, -1, dtype=np.uint64)
+        powers = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
-            sizes = batch.column(batch.schema.get_field_index("size")).to_numpy()
-            for size in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == size))
-                get = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
-                x = np.frombuffer(b"".join(get("vector").to_pylist()), np.float64).reshape(-1, size)
+            sizes, label, node, turns = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("size", "label", "node", "passes"))
+            codes = batch.column(batch.schema.get_field_index("code"))
+            for size in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == size)
+                x = _decode(codes.take(pa.array(own)).to_pylist())
                 if size not in planes:
-                    planes[size] = np.random.default_rng([seed, int(size)]).standard_normal((passes, int(size), 63))
+                    planes[size] = np.stack([np.random.default_rng([seed, size, first + k]).standard_normal((size, BITS)) for k in range(passes)])
                 for k in range(passes):
-                    key = ((x @ planes[size][k]) > 0) @ powers
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), get("label"), get("size"), pa.array(key.astype(np.int64)), get("node"), get("vector"), get("count")], names=["pass", "label", "size", "key", "node", "vector", "count"])
+                    use = turns[own] > k
+                    some = own[use]
+                    if len(some):
+                        key = ((x[use] @ planes[size][k]) > 0) @ powers
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), first + k, np.int32)), pa.array(label[some]), pa.array(np.full(len(some), size, np.int32)), pa.array(key), pa.array(node[some])], names=["pass", "label", "size", "key", "node"])
 
     return run
 
 
-def _compare(window: int, cosine: float):
-    """Links between neighbours of a sorted run; its first and last rows come out too (b null), for its borders."""
+def _windows(keys: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """keys with depth, start and block: the number of leading bits that a window shares, those bits, and a part of windows
+    that no bit divides. A region whose run of equal bits is too long goes as deep as its count and its bits ask for."""
+    run = ["pass", "label", "size", "depth", "start"]
+    start = F.expr(f"shiftright(key, {BITS} - depth)")
+    now = keys.withColumn("depth", F.lit(0)).withColumn("start", F.lit(0).cast("long"))
+    done = None
+    while True:
+        count = now.groupBy(*run).agg(F.count("*").alias("n"), F.expr("bit_or(key)").alias("any"), F.expr("bit_and(key)").alias("all"))
+        count = scratch.save(count, "runs")
+        both = now.join(count, run)
+        fits = F.col("n") <= window
+        whole = F.col("any") == F.col("all")
+        part = F.when(fits, F.lit(0)).otherwise(F.pmod(F.xxhash64("pass", "node"), F.ceil(F.col("n") / window).cast("long"))).cast("int")
+        ready = both.where(fits | whole).select(*run, part.alias("block"), (~fits).alias("cut"), "node")
+        ready = scratch.save(ready, "windows")
+        done = ready if done is None else done.union(ready)
+        if count.where((F.col("n") > window) & (F.col("any") != F.col("all"))).isEmpty():
+            return done
+        # the first bit by which the run differs, and as many more as its count would ask for if bits halved it
+        differs = F.lit(BITS) - F.ceil(F.log2(F.expr("cast(any ^ all AS double)") + 0.5)).cast("int")
+        deeper = F.least(F.lit(BITS), differs + F.ceil(F.log2(F.col("n") / window)).cast("int"))
+        now = scratch.save(both.where(~fits & ~whole).select("pass", "label", "size", "key", "node", deeper.alias("depth")).withColumn("start", start), "deeper")
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a symmetric matrix."""
+    a, b = [], []
+    fresh = np.ones(len(near), bool)
+    for root in range(len(near)):
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        todo = [root]
+        while todo:
+            x = todo.pop()
+            found = np.flatnonzero(near[x] & fresh)
+            fresh[found] = False
+            todo += found.tolist()
+            a.append(np.full(len(found), x))
+            b.append(found)
+    return np.concatenate(a), np.concatenate(b)
+
+
+_FOUND = "a long, b long, sure boolean, many boolean, miss double"
+
+
+def _found(a, b, sure, many, miss):
+    n = len(a)
+    full = lambda x, kind: pa.nulls(n, kind) if x is None else pa.array(np.broadcast_to(x, n), kind)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), full(b, pa.int64()), full(sure, pa.bool_()), full(many, pa.bool_()), full(miss, pa.float64())], names=["a", "b", "sure", "many", "miss"])
+
+
+def _in_window(node, unit, error, cosine: float, limit: int):
+    """Sure and unsure pairs of one window, and which rows have more than limit of them."""
+    n = len(node)
+    single = unit.astype(np.float32)
+    sure, count = np.zeros((n, n), bool), np.zeros(n, np.int64)
+    out = []
+    for k in range(0, n, 512):
+        s = single[k : k + 512] @ single.T
+        slack = (error[k : k + 512, None] + error[None, :] + 4e-6).astype(np.float32)
+        near = s + slack >= cosine
+        mine = sure[k : k + 512]
+        np.greater_equal(s - slack, cosine, out=mine)
+        near[np.arange(len(s)), np.arange(k, k + len(s))] = mine[np.arange(len(s)), np.arange(k, k + len(s))] = False
+        count[k : k + 512] = near.sum(axis=1)
+        a, b = np.nonzero(near & ~mine)
+        a += k
+        out.append((a[a < b], b[a < b], False))
+    many = count > limit
+    crowd = np.flatnonzero(many)
+    if len(crowd):
+        a, b = _forest(sure[np.ix_(crowd, crowd)])
+        out.append((crowd[a], crowd[b], True))
+        sure[np.ix_(crowd, crowd)] = False
+    if count.any():
+        a, b = np.nonzero(sure)
+        out.append((a[a < b], b[a < b], True))
+    return [(np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), flag) for a, b, flag in out if len(a)], many
+
+
+def _compare(cosine: float, limit: int):
+    """Pairs of each window, and for each of its vectors (b null) whether it has very many and the chance of a miss there."""
+    agree = 1 - math.acos(cosine) / math.pi
 
     def run(batches):
+        held: list[pa.RecordBatch] = []
 
-        def border(rows):
-            n = rows.num_rows
-            return pa.RecordBatch.from_arrays([rows.column(4), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), *(rows.column(k) for k in (0, 1, 2, 3, 5, 6))], names=[x.split()[0] for x in _PAIR.split(", ")])
+        def window():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            node = rows.column("node").to_numpy()
+            pairs, many = [], np.zeros(len(node), bool)
+            if len(node) > 1:
+                pairs, many = _in_window(node, _decode(rows.column("code").to_pylist()), rows.column("error").to_numpy(), cosine, limit)
+            for a, b, flag in pairs:
+                for k in range(0, len(a), 1 << 16):
+                    yield _found(a[k : k + (1 << 16)], b[k : k + (1 << 16)], flag, None, None)
+            miss = 1.0 if rows.column("cut")[0].as_py() else 1 - agree ** rows.column("depth")[0].as_py()
+            yield _found(node, None, None, many, max(miss, 1e-12))
 
-        held, first = None, True
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if first:
-                yield border(batch.slice(0, window))
-                first = False
-            fresh = held.num_rows if held is not None else 0
-            rows = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if fresh else batch
-            node = rows.column(4).to_numpy()
-            group = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in (0, 1, 2)])
-            cuts = np.concatenate(([0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1, [len(node)]))
-            vectors = rows.column(5).to_pylist()
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if hi - lo < 2 or hi <= fresh:
-                    continue
-                unit = _unit(np.frombuffer(b"".join(vectors[lo:hi]), np.float64).reshape(hi - lo, -1))
-                for k in range(max(lo, fresh), hi, 256):
-                    stop, start = min(hi, k + 256), max(lo, k - window)
-                    near = unit[k - lo : stop - lo] @ unit[start - lo : stop - lo].T >= cosine
-                    i, j = np.nonzero(near)
-                    i, j = i + k, j + start
-                    ok = (j < i) & (i - j <= window)
-                    i, j = i[ok], j[ok]
-                    if len(i):
-                        x, y, n = node[i], node[j], len(i)
-                        nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(i - j == window), *nothing], names=[x.split()[0] for x in _PAIR.split(", ")])
-            held = rows.slice(max(0, rows.num_rows - window))
-        if held is not None:
-            yield border(held)
+            group = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("pass", "label", "size", "depth", "start", "block")])
+            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                own = tuple(group[:, lo].tolist())
+                if held and own != last:
+                    yield from window()
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = own
+        if held:
+            yield from window()
 
     return run
 
 
-def _links(classes: DataFrame, scratch: Scratch, passes: int, window: int, cosine: float, seed: int) -> DataFrame:
-    """(a, b, edge): classes that are near enough and stand in one window in some pass; edge: at its very end."""
-    parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = classes.select("label", "size", "node", "vector", "count").mapInArrow(_project(passes, seed), "pass int, label long, size int, key long, node long, vector binary, count long")
-    order = ["pass", "label", "size", "key", "node"]
-    found = None
-    while True:
-        sorted_ = rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)
-        got = scratch.save(sorted_.sortWithinPartitions(*order).mapInArrow(_compare(window, cosine), _PAIR), "windows")
-        pairs = got.where("b is not null").select("a", "b", "edge")
-        found = pairs if found is None else found.union(pairs)
-        if parts == 1:
-            return found.where("a <> b").groupBy("a", "b").agg(F.max("edge").alias("edge"))
-        # the few rows at the ends of each partition are a smaller sorted run of their own
-        rows = got.where("b is null").select("pass", "label", "size", "key", F.col("a").alias("node"), "vector", "count").distinct()
-        parts //= 64
-        parts = max(1, parts)
-
-
-def _tiles(cosine: float):
+def _verify(cosine: float):
+    def run(batches):
+        for batch in batches:
+            left, right = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("va", "vb"))
+            keep = [float((_unit(np.frombuffer(x, np.float64)[None, :]) @ _unit(np.frombuffer(y, np.float64)[None, :]).T)[0, 0]) >= cosine for x, y in zip(left, right, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _blocks(rows: DataFrame, group: list[str], block: int) -> DataFrame:
+    """rows(group, node, asks, blocks, ...) as cells of pairs: each row in its own block of columns, and each row that asks
+    in one block of rows for every block of columns."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    own_asks = F.pmod(F.xxhash64("node"), F.col("ask_blocks")).cast("int")
+    columns = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("ask_blocks").cast("int") - 1)).alias("i"), own.alias("j"), F.lit(1).alias("side"))
+    asking = rows.where("asks").select("*", own_asks.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("j"), F.lit(0).alias("side"))
+    return columns.union(asking).groupBy(*group, "i", "j")
+
+
+def _counted(cosine: float):
+    """(node, links): of each asking row, how many rows of the block it links with."""
+
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        node, count = table.column("node").to_numpy(), table.column("count").to_numpy()
+        side, node, count = (table.column(c).to_numpy() for c in ("side", "node", "count"))
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(x) or not len(y):
+            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
         unit = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(node), -1))
-        if table.column("i")[0].as_py() == table.column("j")[0].as_py():
-            near = unit @ unit.T >= cosine
-            np.fill_diagonal(near, False)
-            return pa.table({"node": node, "links": (near @ count).astype(np.int64)})
+        links = np.zeros(len(x), np.int64)
+        for k in range(0, len(x), 512):
+            near = (unit[x[k : k + 512]] @ unit[y].T >= cosine) & (node[x[k : k + 512], None] != node[None, y])
+            links[k : k + 512] = near @ count[y]
+        return pa.table({"node": node[x], "links": links})
+
+    return run
+
+
+def _rest_pairs(cosine: float, limit: int):
+    """Links of the rows that ask, in one cell; a row with very many is told apart and its links come as a forest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, node = (table.column(c).to_numpy() for c in ("side", "node"))
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        near = unit[x] @ unit[y].T >= cosine
-        return pa.table({"node": np.concatenate((node[x], node[y])), "links": np.concatenate((near @ count[y], count[x] @ near)).astype(np.int64)})
+        out = []
+        if len(x) and len(y):
+            unit = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(node), -1))
+            tree = np.arange(len(y))  # of each column, the tree that crowded rows have joined it to
+            for k in range(0, len(x), 512):
+                own = x[k : k + 512]
+                near = (unit[own] @ unit[y].T >= cosine) & (node[own, None] != node[None, y])
+                crowd = np.flatnonzero(near.sum(axis=1) > limit)
+                out.append(_found(node[own[crowd]], None, None, True, 1e-12))
+                for r in crowd:  # one link to each tree holds as much together as all links do
+                    linked = np.flatnonzero(near[r])
+                    trees, first = np.unique(tree[linked], return_index=True)
+                    tree[np.isin(tree, trees)] = trees[0]
+                    near[r] = False
+                    near[r, linked[first]] = True
+                a, b = np.nonzero(near)
+                a, b = node[own[a]], node[y[b]]
+                out.append(_found(np.minimum(a, b), np.maximum(a, b), True, None, None))
+        empty = _found(np.zeros(0, np.int64), None, None, None, None)
+        return pa.Table.from_batches(out or [empty])
 
     return run
 
 
-def _dense_counts(members: DataFrame, cosine: float, tile: int) -> DataFrame:
-    """(node, links) counted over all pairs of each component of members(component, node, vector, count, blocks)."""
-    placed = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = placed.select("component", "node", "vector", "count", "own", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
-    cells = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "vector", "count")
-    return cells.groupBy("component", "i", "j").applyInArrow(_tiles(cosine), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+def _turns(n, window: int, cosine: float, miss: float):
+    """Passes that n vectors need at least, if bits halve them."""
+    agree = 1 - math.acos(cosine) / math.pi
+    depth = F.greatest(F.ceil(F.log2(n / window)), F.lit(0))
+    return F.when(depth <= 0, 1).otherwise(F.ceil(math.log(miss) / F.log(1 - F.pow(F.lit(agree), depth)))).cast("int")
 
 
-def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, seed: int = SEED, tile: int = TILE) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS, most: int = MOST, many: int = MANY, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept.
 
     Vectors are compared by cosine, in double precision, only where labels and lengths are equal. A vector that is
     null, empty, zero or holds a null or a non-finite component, or whose label is null, links with nothing. n_links
-    counts rows, so repeated vectors count each. Rows with equal or null vec_id are vectors of their own. Other columns
-    are ignored; an empty table gives an empty table.
+    counts rows, so repeated vectors count each. Rows with equal or null vec_id are vectors of their own; ties in the
+    projections share a window or its blocks. Other columns, of any name, are ignored; an empty table gives an empty
+    table. A link is missed with a chance of `miss` at most, as estimated from the depths of its vectors' windows; labels
+    of up to `window` different vectors lose none.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     base = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = scratch.save(base.mapInArrow(_clean, "rid long, vec_id long, label long, size int, vector binary"), "rows")
+    rows = scratch.save(base.mapInArrow(_clean, "rid long, vec_id long, label long, size int, digest binary, vector binary"), "rows")
     valid = rows.where("size is not null")
-    classes = scratch.save(valid.groupBy("label", "vector").agg(F.min("rid").alias("node"), F.min("vec_id").alias("least"), F.first("size").alias("size"), F.count("*").alias("count")), "classes")
-    links = scratch.save(_links(classes, scratch, passes, window, cosine, seed), "links")
+    grouped = valid.groupBy("label", "size", "digest").agg(F.min("rid").alias("node"), F.min("vec_id").alias("least"), F.count("*").alias("count"))
+    grouped = scratch.save(grouped, "classes")
+    classes = scratch.save(valid.select(F.col("rid").alias("node"), "vector").join(grouped, "node"), "class-vectors")
+    coded = scratch.save(classes.select("label", "size", "node", "vector").mapInArrow(_encode, _CODED), "coded")
+    plain = grouped.groupBy("label", "size").agg(_turns(F.count("*"), window, cosine, miss).alias("passes"))
+    active = coded.join(plain, ["label", "size"]).withColumn("passes", F.least("passes", F.lit(most)))
+    found = None
+    at, chance, rest = 0, None, None
+    while True:
+        step = active.agg(F.max("passes")).first()[0]
+        if not step:
+            break
+        keys = scratch.save(active.select("label", "size", "node", "code", "passes").mapInArrow(_project(at, step, seed), "pass int, label long, size int, key long, node long"), "keys")
+        spots = _windows(keys, window, scratch).join(coded.select("node", "code", "error"), "node")
+        order = ["pass", "label", "size", "depth", "start", "block"]
+        got = scratch.save(spots.select(*order, "cut", "node", "code", "error").repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(cosine, many), _FOUND), "found")
+        found = got if found is None else found.union(got)
+        seen = got.where("b is null").select(F.col("a").alias("node"), F.log("miss").alias("lost"))
+        chance = seen if chance is None else chance.union(seen)
+        at += step
+        open_ = scratch.save(chance.groupBy("node").agg(F.sum("lost").alias("lost")).where(F.col("lost") > math.log(miss)).select("node"), "open")
+        if at >= most:
+            rest = open_
+            break
+        active = coded.join(open_, "node").withColumn("passes", F.lit(min(at, most - at)))
+    if found is None:
+        return _named(rows, None)
+    if rest is not None and not rest.isEmpty():
+        own = classes.join(rest, "node").select("label", "size", "node", "vector")
+        sizes = own.groupBy("label", "size").agg(F.ceil(F.count("*") / block).alias("blocks"))
+        cells = _blocks(own.join(sizes, ["label", "size"]).select("*", F.lit(True).alias("asks"), F.col("blocks").alias("ask_blocks")), ["label", "size"], block)
+        found = found.union(scratch.save(cells.applyInArrow(_rest_pairs(cosine, many), _FOUND), "rest"))
+    crowded = scratch.save(found.where("many").select(F.col("a").alias("node")).distinct(), "crowded")
+    pairs = found.where("b is not null").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    pairs = scratch.save(pairs, "pairs")
+    unsure = pairs.where("not sure").select("a", "b")
+    with_ = lambda c, v: classes.select(F.col("node").alias(c), F.col("vector").alias(v))
+    checked = unsure.join(with_("a", "va"), "a").join(with_("b", "vb"), "b").mapInArrow(_verify(cosine), "a long, b long")
+    links = scratch.save(pairs.where("sure").select("a", "b").union(checked), "links")
     of = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-    comp = scratch.save(classes.select("node", "least", "count").join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
-    ends = links.where("edge").select(F.col("a").alias("node"))
-    dense = ends.distinct().join(comp, "node").select("component").distinct()
-    sizes = comp.join(dense, "component").groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
-    members = comp.select("node", "component").join(sizes, "component").join(classes.select("node", "vector", "count"), "node")
-    exact = scratch.save(_dense_counts(members, cosine, tile), "dense")
+    comp = scratch.save(grouped.select("node", "least", "count").join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
+    # of vectors with many links only a part is written as pairs: these are counted
+    dense = comp.join(crowded, "node").groupBy("component").agg(F.count("*").alias("asking"))
+    members = comp.join(dense, "component").join(crowded.withColumn("asks", F.lit(True)), "node", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"), F.ceil(F.first("asking") / block).alias("ask_blocks"))
+    cells = _blocks(members.select("component", "node", "count", "asks").join(sizes, "component").join(classes.select("node", "vector"), "node"), ["component"], block)
+    exact = cells.applyInArrow(_counted(cosine), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    exact = scratch.save(exact, "dense")
     count = comp.select("node", "count")
     both = links.select("a", "b").union(links.select("b", "a"))
-    plain = both.join(count.select(F.col("node").alias("b"), "count"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("count").alias("plain"))
+    listed = both.join(crowded.select(F.col("node").alias("a")), "a", "left_anti")
+    listed = listed.join(count.select(F.col("node").alias("b"), "count"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("count").alias("plain"))
     least = comp.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = comp.join(plain, "node", "left").join(exact, "node", "left").join(least, "component")
+    known = comp.join(listed, "node", "left").join(exact, "node", "left").join(least, "component")
     known = known.select("node", (F.coalesce("links", "plain", F.lit(0)) + F.col("count") - 1).cast("long").alias("n_links"), "component_id")
-    named = classes.select("label", "vector", "node").join(known, "node").select("label", "vector", "n_links", "component_id")
-    out = rows.join(named, ["label", "vector"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return _named(rows, grouped.select("label", "size", "digest", "node").join(known, "node"))
+
+
+def _named(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    if known is None:
+        out = rows.select("vec_id", F.lit(0).alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    else:
+        out = rows.join(known.select("label", "size", "digest", "n_links", "component_id"), ["label", "size", "digest"], "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -77,20 +77,65 @@ def test_components_in_rounds_equal_components_at_once(spark):
     assert once == rounds
 
 
+def _vectors_by_brute_force(rows, threshold=0.98):
+    ok = [k for k, (_, v, lab) in enumerate(rows) if lab is not None and v and any(v) and np.isfinite(v).all()]
+    by_label = {}
+    for k in ok:
+        by_label.setdefault((rows[k][2], len(rows[k][1])), []).append(k)
+    count, links = [0] * len(rows), []
+    for own in by_label.values():
+        x = np.array([rows[k][1] for k in own], float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= threshold
+        np.fill_diagonal(near, False)
+        for j, k in enumerate(own):
+            count[k] = int(near[j].sum())
+            first = np.flatnonzero(near[j])
+            links += [(k, own[i]) for i in first]
+    return count, _groups(len(rows), links)
+
+
+def _got(spark, rows, **settings):
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, node int")
+    got = near_vectors(df, **settings).collect()
+    return sorted((r.vec_id, r.n_links, r.component_id) for r in got)
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 16))
     rows = []
     for k, v in enumerate(base):
-        for j in range(80 if k == 0 else k % 4):  # one region is denser than a window
+        for j in range(80 if k == 0 else k % 4):  # one region is dense
             rows.append((len(rows), (v + rng.normal(size=16) * (0.02 if j else 0)).tolist(), k % 3))
-    rows += [(len(rows) + k, v, lab) for k, (v, lab) in enumerate([(None, 1), ([], 1), ([0.0] * 16, 1), ([float("nan")] * 16, 1), (rows[0][1], None), (rows[0][1], rows[0][2]), (rows[0][1], rows[0][2])])]
-    ok = [k for k, (_, v, lab) in enumerate(rows) if lab is not None and v and any(v) and np.isfinite(v).all()]
-    unit = {k: np.array(rows[k][1]) / np.linalg.norm(rows[k][1]) for k in ok}
-    links = [(a, b) for a, b in combinations(ok, 2) if rows[a][2] == rows[b][2] and unit[a] @ unit[b] >= 0.98]
-    count, group = [0] * len(rows), _groups(len(rows), links)
-    for a, b in links:
-        count[a] += 1
-        count[b] += 1
-    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile=16).collect()
-    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(k, count[k], group[k]) for k in range(len(rows))]
+    rows += [(len(rows) + k, v, lab) for k, (v, lab) in enumerate([(None, 1), ([], 1), ([0.0] * 16, 1), ([float("nan")] * 16, 1), (rows[0][1], None), (rows[0][1], rows[0][2]), (rows[0][1], rows[0][2]), ([1.0, 2.0], 1), ([2.0, 4.0], 1)])]
+    count, group = _vectors_by_brute_force(rows)
+    want = [(k, count[k], group[k]) for k in range(len(rows))]
+    assert _got(spark, rows) == want
+    # small windows, and blocks after few passes: dense counts and the exact way must agree
+    assert _got(spark, rows, window=16, most=6, many=8, block=64) == want
+
+
+def test_a_hub_keeps_all_links(spark):
+    rng = np.random.default_rng(4)
+    hub = rng.normal(size=32)
+    hub /= np.linalg.norm(hub)
+    rows = [(0, hub.tolist(), 1)]
+    for k in range(1, 1501):
+        side = rng.normal(size=32)
+        side -= (side @ hub) * hub
+        side /= np.linalg.norm(side)
+        rows.append((k, (0.981 * hub + np.sqrt(1 - 0.981**2) * side).tolist(), 1))
+    count, group = _vectors_by_brute_force(rows)
+    want = [(k, count[k], group[k]) for k in range(len(rows))]
+    assert count[0] == 1500
+    assert _got(spark, rows) == want
+    assert _got(spark, rows, window=256, most=8) == want
+
+
+def test_vectors_of_one_direction_and_ties(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=8)
+    rows = [(k, (v * (k + 1)).tolist(), 2) for k in range(60)] + [(60 + k, (v + 1e-7 * rng.normal(size=8)).tolist(), 2) for k in range(200)]
+    count, group = _vectors_by_brute_force(rows)
+    assert _got(spark, rows, window=32, most=3, many=8, block=64) == [(k, count[k], group[k]) for k in range(len(rows))]
