@@ -2,9 +2,9 @@
 
 A word is coded byte by byte and bit by bit, with a space after it. For each bit several predictors look up how often
 it was 0 and 1 after the same bits of this byte and a context: the place in the word, the last one to four bytes, and
-the whole word so far among the most frequent words. A gate, set by how much that last context has been seen and by the
-bit's place, picks the weights that combine the predictions; an adaptive map refines the result. Weights and map are
-learnt online, chunk by chunk.
+the whole word so far. Counts of the last are exact: words stand sorted, so those that share a prefix are a run. A gate,
+set by how much that last context has been seen and by the bit's place, picks the weights that combine the predictions;
+an adaptive map refines the result. Weights and map are learnt online, chunk by chunk.
 """
 
 from __future__ import annotations
@@ -15,18 +15,16 @@ from .common import mix64, splitmix
 
 #: log2 of the slots of each context's table: place in the word, last byte, last two, three, four bytes.
 TABLE_BITS = (12, 16, 18, 20, 20)
-TRIE_BITS = 21
 OFFSET = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
-#: Slots of all tables, the last for the whole word so far.
-SLOTS = int(OFFSET[-1]) + (1 << TRIE_BITS)
+SLOTS = int(OFFSET[-1])
+#: Bytes by which words are told apart into runs that one task holds whole.
+HEAD = 3
 INPUTS = len(TABLE_BITS) + 2
 LEVELS, MAP = 10, 33
 GATES = LEVELS * 8
-CHUNK = 1 << 12
+CHUNK = 1 << 13
 RATE, MAP_RATE = 0.02, 0.02
 
-_BYTE = splitmix(51, 256) | np.uint64(1)
-_PLACE = splitmix(52, 4096) | np.uint64(1)
 _NODE = splitmix(53, 256)
 _ORDER = splitmix(54, 8)
 #: What stands for the end of a text: no word holds it.
@@ -51,18 +49,15 @@ class Flat:
             back[place < k] = 0
             last |= back << np.uint64(8 * (k - 1))
             self.context.append(mix64(last ^ _ORDER[k]))
-        value = _BYTE[b] * _PLACE[place & 4095] * (np.uint64(2) * (place >> 12).astype(np.uint64) + np.uint64(1))
-        total = np.cumsum(value) - value
-        self.prefix = mix64(total - total[self.start][self.owner] + place.astype(np.uint64))
 
     def bits(self):
-        """(bit's place, slots in the joint table for each context, keys of the whole prefix, bit) for each of the eight bits."""
+        """(bit's place, slots in the joint table for each context, bit) for each of the eight bits."""
         node = np.ones(len(self.bytes), np.int64)
         for k in range(8):
             mark = _NODE[node]
             slots = [((c ^ mark) * np.uint64(0x9FB21C651E98DF25) >> np.uint64(64 - bits)).astype(np.int64) + OFFSET[j] for j, (c, bits) in enumerate(zip(self.context, TABLE_BITS, strict=True))]
             bit = (self.bytes >> (7 - k)) & 1
-            yield k, slots, mix64(self.prefix ^ mark), bit
+            yield k, slots, bit
             node = node * 2 + bit
 
 
@@ -77,66 +72,100 @@ def chunks(words: list[bytes], limit: int = CHUNK):
         yield start, len(words)
 
 
+def prefix_counts(data: np.ndarray, start: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """[bit's place, byte, 0 or 1]: how many of all occurrences n that share all bits before go on with a 0 or a 1.
+
+    Strings are bytes data[start : start + size] and stand sorted. A string that shares its prefix with no other counts
+    by itself, so only bytes at which strings are still together are looked at one by one.
+    """
+    out = np.zeros((8, len(data), 2), np.float32)
+    weight = n.astype(np.float64)
+    whole = np.repeat(weight, size)
+    every = np.arange(len(data))
+    for k in range(8):
+        out[k, every, (data >> (7 - k)) & 1] = whole
+    own, group, j = np.arange(len(start)), np.zeros(len(start), np.int64), 0
+    while len(own):
+        at = start[own] + j
+        key = (group << 8) | data[at]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        run = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
+        many, value = np.add.reduceat(weight[own], new), key[new]
+        for k in range(8):
+            lead = value >> (8 - k)
+            first = np.flatnonzero(np.diff(lead, prepend=-1))
+            part = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(lead))))
+            ones = np.add.reduceat(many * ((value >> (7 - k)) & 1), first)
+            out[k, at, 1] = ones[part][run]
+            out[k, at, 0] = (np.add.reduceat(many, first) - ones)[part][run]
+        j += 1
+        on = (np.bincount(run)[run] > 1) & (size[own] > j)
+        own, group = own[on], run[on]
+    return out
+
+
+class Heads:
+    """How often each first HEAD bytes of a word, with the space after it, occur. At most 256 ** HEAD rows."""
+
+    def __init__(self, heads: list[bytes], n: list[int]):
+        order = sorted(range(len(heads)), key=heads.__getitem__)
+        self.value = np.array([int.from_bytes(heads[k]) for k in order], np.int64)
+        self.before = np.concatenate(([0.0], np.cumsum([n[k] for k in order])))
+
+    def put(self, flat: Flat, counts: np.ndarray) -> None:
+        """Sets the counts of all words' first bytes, for which a task's own words are not enough."""
+        size = np.diff(np.append(flat.start, len(flat.bytes)))
+        head = np.zeros(len(size), np.int64)
+        for j in range(HEAD):
+            head = head << 8 | np.where(size > j, flat.bytes[np.minimum(flat.start + j, len(flat.bytes) - 1)], 0)
+        own, back = np.unique(head, return_inverse=True)
+        up_to = lambda x: self.before[np.searchsorted(self.value, x)]
+        for j in range(HEAD):
+            there = np.flatnonzero(size > j)
+            for k in range(8):
+                rest = 8 * HEAD - 8 * j - k
+                low = own >> rest << rest
+                edges = [up_to(low + half) for half in (0, 1 << (rest - 1), 1 << rest)]
+                for bit in (0, 1):
+                    counts[k, flat.start[there] + j, bit] = (edges[bit + 1] - edges[bit])[back[there]]
+
+
 def _stretch(zeros, ones, at_start):
     return np.log(ones + at_start) - np.log(zeros + at_start)
 
 
 class BitModel:
-    def __init__(self, frequent: list[bytes], counts: np.ndarray):
-        """Finds which whole-word contexts have a slot: those of frequent words, of two in one slot the more frequent."""
-        self.check = np.zeros(1 << TRIE_BITS, np.uint16)
-        if frequent:
-            flat = Flat(frequent)
-            weight = counts[flat.owner].astype(np.float64)
-            held = np.zeros(1 << TRIE_BITS)
-            for _, _, key, bit in flat.bits():
-                own, back = np.unique(key, return_inverse=True)
-                n = np.bincount(back, weight, len(own))
-                slot, check = self._at(own)
-                order = np.argsort(n, kind="stable")
-                order = order[n[order] >= held[slot[order]]]
-                self.check[slot[order]], held[slot[order]] = check[order], n[order]
-        self.table = self.trie = None
+    def __init__(self):
+        self.table = None
         # to begin with the longest context that has been seen decides
-        self.weight = np.tile([0.0, 0.0, 0.1, 0.3, 0.6, 1.0, 0.0], (GATES, 1))
+        self.weight = np.tile(np.array([0.0, 0.0, 0.1, 0.3, 0.6, 1.0, 0.0]), (GATES, 1))
         self.weight[8:, : len(TABLE_BITS)] = 0.0
         self.moved, self.mass, self.turns = np.full((GATES, INPUTS), 1e-3), np.zeros(GATES), 0
         self.map_hits = np.full((LEVELS, MAP), 1e-9)
         self.map = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, MAP))), (LEVELS, 1))
         self.seen = 0.0
 
-    @staticmethod
-    def _at(key):
-        return (key >> np.uint64(64 - TRIE_BITS)).astype(np.int64), (key & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
-
     def count(self, words: list[bytes], counts: np.ndarray, joint: np.ndarray) -> None:
         """Adds what these words show to the joint tables; entry 2 * slot + bit."""
         for lo, hi in chunks(words, 1 << 17):
             flat = Flat(words[lo:hi])
             weight = counts[lo:hi][flat.owner].astype(np.float64)
-            for _, slots, key, bit in flat.bits():
+            for _, slots, bit in flat.bits():
                 for s in slots:
                     np.add.at(joint, 2 * s + bit, weight)
-                slot, check = self._at(key)
-                own = self.check[slot] == check
-                np.add.at(joint, 2 * (slot[own] + OFFSET[-1]) + bit[own], weight[own])
 
     def set_tables(self, joint: np.ndarray) -> None:
         both = joint.reshape(-1, 2)
-        self.table = _stretch(both[: OFFSET[-1], 0], both[: OFFSET[-1], 1], 0.4).astype(np.float16)
-        trie = both[OFFSET[-1] :]
-        self.trie = (trie * np.minimum(1, 60_000 / np.maximum(trie.sum(axis=1), 1))[:, None]).astype(np.float16)
+        self.table = _stretch(both[:, 0], both[:, 1], 0.4).astype(np.float16)
 
-    def _inputs(self, k, slots, key, bit, left_out):
-        slot, check = self._at(key)
-        n = self.trie[slot].astype(np.float32) * (self.check[slot] == check)[:, None]
+    def _inputs(self, k, slots, seen, bit, left_out):
         if left_out:  # what a word's own occurrence adds is not known before it is read
-            n = np.maximum(n - np.stack((1 - bit, bit), axis=1), 0)
-        total = n.sum(axis=1)
-        x = np.empty((len(key), INPUTS))
+            seen = np.maximum(seen - np.stack((1 - bit, bit), axis=1), 0)
+        total = seen.sum(axis=1)
+        x = np.empty((len(bit), INPUTS), np.float32)
         for j, s in enumerate(slots):
             x[:, j] = self.table[s]
-        x[:, -2] = _stretch(n[:, 0], n[:, 1], 0.02) * (total > 0)
+        x[:, -2] = _stretch(seen[:, 0], seen[:, 1], np.float32(0.02)) * (total > 0)
         x[:, -1] = 0.3
         level = np.minimum(np.log2(total + 1).astype(np.int64) // 2 + (total > 0), LEVELS - 1)
         return x, level, level * 8 + k
@@ -148,20 +177,24 @@ class BitModel:
         share = 0.5 / (1 + level)  # contexts seen often need the map least
         return p, at, np.clip(p + share * np.where(np.abs(z) < 8, self.map[level, at] - p, 0), 1e-7, 1 - 1e-7)
 
-    def learn(self, words: list[bytes], counts: np.ndarray) -> None:
-        """One online pass over words, each weighing its count; words without a count teach nothing.
+    def learn(self, words: list[bytes], counts: np.ndarray, seen: np.ndarray) -> None:
+        """One online pass over words, each weighing its count; words without a count teach nothing. seen: prefix_counts
+        of the words' bytes, those of each word together.
 
         A gate's step is measured by the mass that a chunk brings it on average so far, so a chunk with a frequent word
         counts for more, as its occurrences would one by one.
         """
+        done = 0
         for lo, hi in chunks(words):
             flat = Flat(words[lo:hi])
+            own = seen[:, done : done + len(flat.bytes)]
+            done += len(flat.bytes)
             weight = counts[lo:hi].astype(np.float64)[flat.owner]
             self.turns += 1
             if not weight.sum():
                 continue
-            for k, slots, key, bit in flat.bits():
-                x, level, gate = self._inputs(k, slots, key, bit, True)
+            for k, slots, bit in flat.bits():
+                x, level, gate = self._inputs(k, slots, own[k], bit, True)
                 p, at, _ = self._mixed(x, level, gate)
                 mass = np.bincount(gate, weight, GATES)
                 slope = weight * (bit - p)
@@ -178,14 +211,27 @@ class BitModel:
                 self.map += np.where(hit > 0, np.maximum(hit / self.map_hits, MAP_RATE * 0.01), 0) * (mean.reshape(LEVELS, MAP) - self.map)
             self.seen += weight.sum()
 
-    def bits(self, words: list[bytes]) -> np.ndarray:
+    def bits(self, words: list[bytes], seen: np.ndarray) -> np.ndarray:
         """Bits that each word costs."""
-        out = []
+        out, at = [], 0
         for lo, hi in chunks(words, 1 << 15):
             flat = Flat(words[lo:hi])
+            own = seen[:, at : at + len(flat.bytes)]
+            at += len(flat.bytes)
             cost = np.zeros(len(flat.bytes))
-            for k, slots, key, bit in flat.bits():
-                _, _, q = self._mixed(*self._inputs(k, slots, key, bit, False))
+            for k, slots, bit in flat.bits():
+                _, _, q = self._mixed(*self._inputs(k, slots, own[k], bit, False))
                 cost -= np.log2(np.where(bit == 1, q, 1 - q))
             out.append(np.add.reduceat(cost, flat.start))
         return np.concatenate(out) if out else np.zeros(0)
+
+
+def in_order(words: list[bytes], n: np.ndarray, heads: Heads) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words sorted by their bytes with the space after them, their numbers, n and prefix counts. words hold all words
+    that share their first HEAD bytes with one of them."""
+    order = np.array(sorted(range(len(words)), key=[w + b" " for w in words].__getitem__), np.int64)
+    words, n = [words[k] for k in order], n[order]
+    flat = Flat(words)
+    seen = prefix_counts(flat.bytes, flat.start, np.diff(np.append(flat.start, len(flat.bytes))), n)
+    heads.put(flat, seen)
+    return words, order, n, seen

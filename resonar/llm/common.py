@@ -15,8 +15,6 @@ MASK = (1 << 64) - 1
 #: Bytes that separate words: space and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -85,32 +83,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = splitmix(11, 256) | np.uint64(1)
-_PLACE = splitmix(12, 4096) | np.uint64(1)
+_BYTE = splitmix(11, 256)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _SHINGLE = splitmix(13, 64) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15 & ~7 | 5
+_STEP = 1 << 12
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base to the power of 0 to n - 1, modulo 2**64."""
+    out = np.full(n, base & MASK, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_LOW, _BACK = _powers(_BASE, _STEP), _powers(pow(_BASE, -1, 1 << 64), _STEP)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, A-Z lower-cased, and where each text's words start (one more entry).
 
-    A word's hash is multilinear over its bytes and their places, so it is computed for all words at once.
+    A word's hash is a polynomial of its bytes, taken as the difference of two running sums over all texts and divided by
+    the power at its start, so it is computed for all words at once.
     """
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    inside = ~SPACE[joined]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    edge = np.flatnonzero(np.diff(SPACE[joined], prepend=True))
     begin, end = edge[::2], edge[1::2]
     first = np.concatenate(([0], np.searchsorted(begin, ends)))
     if not len(begin):
         return np.zeros(0, np.uint64), first
-    where = np.flatnonzero(inside)
-    size = end - begin
-    start = np.concatenate(([0], np.cumsum(size)[:-1]))
-    place = np.arange(len(where)) - np.repeat(start, size)
-    value = _BYTE[LOWER[joined[where]]] * _PLACE[place & 4095]
-    if size.max() > 4096:
-        value = value * (np.uint64(2) * (place >> 12).astype(np.uint64) + np.uint64(1))
-    return mix64(np.add.reduceat(value, start) + size.astype(np.uint64)), first
+    steps = len(joined) // _STEP + 1
+    high, back = _powers(pow(_BASE, _STEP, 1 << 64), steps), _powers(pow(_BASE, -_STEP, 1 << 64), steps)
+    value = _BYTE[joined]
+    value *= np.multiply.outer(high, _LOW).ravel()[: len(joined)]
+    total = np.cumsum(value, dtype=np.uint64)
+    before = np.where(begin > 0, total[begin - 1], np.uint64(0))
+    own = (total[end - 1] - before) * back[begin // _STEP] * _BACK[begin % _STEP]
+    return mix64(own + (end - begin).astype(np.uint64)), first
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:

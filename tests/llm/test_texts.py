@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from resonar.llm import bit_model, line_dedup, lm_scoring, packing, quality_model, quality_rules, secrets, sentencepieces, sharding
+from resonar.llm import line_dedup, packing, quality_model, quality_rules, secrets, sentencepieces, sharding
 
 from .helpers import SCHEMA, documents, frame
 
@@ -246,31 +246,3 @@ def test_sum_of_squares_is_the_sum_over_pairs():
     x = quality_model._values(n)
     pairs = sum(x[i] * x[j] * (model.latent[found[i]] @ model.latent[found[j]]) for i in range(len(found)) for j in range(i))
     assert model.logit(found, n) == pytest.approx(0.1 + model.weight[found] @ x + pairs)
-
-
-def test_language_model(spark):
-    rows = documents(n=60)
-    got = lm_scoring.score_documents(frame(spark, rows), held=50, spelt=30).collect()
-    tokens = {k: (t or "").encode().lower().split() + [b"\n"] for k, t in rows if k != 904}
-    out = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2
-    train = Counter(w for k, t in rows if not out(k) for w in (t or "").encode().lower().split() + [b"\n"])
-    n, v = sum(train.values()), len(train)
-    for r in got:
-        if r.doc_id == 904:
-            continue
-        own = tokens[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(r.doc_id), len(own), sum(w in train for w in own), n)
-        assert r.base_score == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in own)) and r.score < 0 and r.bits_per_byte > 0
-    assert len(got) == len(rows) and lm_scoring.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_bit_model_is_a_distribution_over_the_next_byte():
-    words = [b"the", b"then", b"of", bit_model.END]
-    counts = np.array([9, 3, 5, 2])
-    model = bit_model.BitModel(words, counts)
-    joint = np.zeros(2 * bit_model.SLOTS)
-    model.count(words, counts, joint)
-    model.set_tables(joint)
-    model.learn(words, counts)
-    first = sum(2.0 ** -model.bits([bytes([b])])[0] for b in range(256) if b not in (9, 10, 11, 12, 13, 32))
-    assert first < 1 and model.bits([b"the"])[0] < model.bits([b"zqx"])[0]
