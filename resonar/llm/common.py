@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_root(spark)}/resonar-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        _left.append((spark, self.base))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
@@ -47,10 +50,50 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, df._scratch_path)
+
+
+_left: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """When the driver ends, results have been read and what is left in the shared folder can go, if Spark still runs."""
+    for spark, folder in _left:
+        if spark.sparkContext._jsc is not None and spark.sparkContext._jsc.sc().isStopped() is False:
+            _delete(spark, folder)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to be a column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_rows(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[str]]:
+    """df with columns that identify a row, the same in every scan, and their names.
+
+    Rows of files are known by their file and place in it. Any other table is stored first, with numbers.
+    """
+    names = fresh(df, "_file", "_place")
+    try:
+        meta = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(meta["file_path"]).alias(names[0]), meta["row_index"].cast("long").alias(names[1])), names
+    except AnalysisException:
+        stored = df.select("*", F.lit(0).cast("long").alias(names[0]), F.monotonically_increasing_id().alias(names[1]))
+        return scratch.save(stored, "rows"), names
 
 
 def crc_of_id(column: str = "doc_id"):
@@ -163,9 +206,11 @@ def numbered(df: DataFrame, by: str, order: list[Column], name: str, salts: int
     """
     if salts <= 1:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("long"))
-    salted = df.withColumn("_salt", salt)
-    earlier = Window.partitionBy(by).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = salted.groupBy(by, "_salt").count().select(by, "_salt", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(by, "_salt").orderBy(*order))
-    both = salted.withColumn("_own", own).join(before, [by, "_salt"])
-    return both.select(*df.columns, (F.col("_before") + F.col("_own") - 1).cast("long").alias(name))
+    _salt, _before, _own = fresh(df, "_salt", "_before", "_own")
+    salted = df.withColumn(_salt, salt)
+    earlier = Window.partitionBy(by).orderBy(_salt).rowsBetween(Window.unboundedPreceding, -1)
+    counted = salted.groupBy(by, _salt).agg(F.count("*").alias(_own))
+    before = counted.select(by, _salt, F.coalesce(F.sum(_own).over(earlier), F.lit(0)).alias(_before))
+    own = F.row_number().over(Window.partitionBy(by, _salt).orderBy(*order))
+    both = salted.withColumn(_own, own).join(before, [by, _salt])
+    return both.select(*df.columns, (F.col(_before) + F.col(_own) - 1).cast("long").alias(name))

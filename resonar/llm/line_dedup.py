@@ -12,16 +12,17 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh, with_rows
 
 MIN_SITES, LOG_K = 6, 12
 
 
-def _lines(docs: DataFrame, text: str, site: str, key: list[str]) -> DataFrame:
-    """A row for each line with more than spaces: its document, place, site and two hashes."""
-    each = docs.select(*key, F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
+def _lines(docs: DataFrame, text: str, site: str, row: list[str]) -> DataFrame:
+    """A row for each line with more than spaces: r0, r1 (its row), place, site and two hashes."""
+    own = [F.col(c).alias(f"r{k}") for k, c in enumerate(row)]
+    each = docs.select(*own, F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
     trimmed = each.withColumn("line", F.trim("line")).where("line <> ''")
-    return trimmed.select(*key, "place", F.xxhash64("site").alias("site"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return trimmed.select(*(f"r{k}" for k in range(len(row))), "place", F.xxhash64("site").alias("site"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def spread_lines(lines: DataFrame, order: list[str], *, min_sites: int = MIN_SITES, log_k: int = LOG_K) -> DataFrame:
@@ -38,27 +39,31 @@ def spread_lines(lines: DataFrame, order: list[str], *, min_sites: int = MIN_SIT
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", site: str = "source", key: str = "doc_id", min_sites: int = MIN_SITES, log_k: int = LOG_K) -> DataFrame:
-    """docs with boilerplate lines taken out of text, and n_lines and n_removed (long).
+    """docs with boilerplate lines taken out of text, and n_lines and n_removed (long), which replace columns so named.
 
     A line counts without the spaces around it; lines of spaces only are never boilerplate. A null site counts as one
-    site of its own. Of a boilerplate line the copy in the smallest key stays (a null key comes first), at its first
-    place. A null text stays null and has no lines; the empty text has one. Rows with equal keys lose the same places
-    only where all of them hold boilerplate there, as places are found by key and row. docs is read several times and
-    must give the same rows each time; columns other than text stay as they are.
+    site of its own. Of a boilerplate line the copy in the smallest key stays (a null key comes first; of rows with one
+    key any), at its first place. A null text stays null and has no lines; the empty text has one. An empty table gives an
+    empty table. Other columns, of any name, stay as they are. Rows are known by file and place in it, so all scans agree;
+    a table that is not read from files is stored first.
     """
-    rid = F.monotonically_increasing_id()
-    given = docs.withColumn("_row", rid)
-    lines = _lines(given, text, site, [key, "_row"])
-    spread = spread_lines(lines, [key, "_row", "place"], min_sites=min_sites, log_k=log_k)
-    hits = lines.join(spread, ["h1", "h2"]).where(~((F.col("first._row") == F.col("_row")) & (F.col("first.place") == F.col("place"))))
-    places = hits.groupBy("_row").agg(F.collect_list("place").alias("_places"))
-    both = given.join(places, "_row", "left")
-    both = both.withColumn("_lines", F.split(text, "\n", -1))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_places")
-    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
-    size = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    out = both.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(size)).withColumn("n_removed", F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).cast("long"))
-    return out.withColumn(text, F.when(F.col("n_removed") == 0, F.col(text)).otherwise(kept)).drop("_row", "_places", "_lines")
+    given, row = with_rows(docs, Scratch(docs.sparkSession, "lines"))
+    keyed = _lines(given, text, site, [key, *row])
+    spread = spread_lines(keyed, ["r0", "r1", "r2", "place"], min_sites=min_sites, log_k=log_k)
+    lines = keyed.drop("r0", "site")
+    first = F.col("first")
+    hits = lines.join(spread, ["h1", "h2"]).where(~((first["r1"] == F.col("r1")) & (first["r2"] == F.col("r2")) & (first["place"] == F.col("place"))))
+    _places, _lines_, *own = fresh(given, "_places", "_lines", *row)
+    places = hits.groupBy(F.col("r1").alias(own[0]), F.col("r2").alias(own[1])).agg(F.collect_list("place").alias(_places))
+    both = given.join(places, (given[row[0]] == places[own[0]]) & (given[row[1]] == places[own[1]]), "left").drop(*own, *row)
+    both = both.withColumn(_lines_, F.split(text, "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size(_lines_) - 1), _places)
+    kept = F.array_join(F.transform(left, lambda i: F.get(_lines_, i)), "\n")
+    size = F.coalesce(F.size(_lines_), F.lit(0)).cast("long")
+    n_removed = F.when(F.col(_places).isNull(), 0).otherwise(F.size(_places)).cast("long")
+    clean = F.when(F.col(_places).isNull(), F.col(text)).otherwise(kept)
+    columns = [clean.alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return both.select(*columns, F.when(F.col(text).isNull(), 0).otherwise(size).alias("n_lines"), n_removed.alias("n_removed"))
 
 
 ORACLE = f"""

@@ -52,13 +52,13 @@ def _orders(signature: np.ndarray) -> list[bytes]:
     return [np.take(big, range(t * SHARED, t * SHARED + DEPTH), mode="wrap").tobytes() for t in range(TREES)]
 
 
-_SIGNED = "rid long, doc_id long, n_shingles long, digest binary, signature binary"
+_SIGNED = "n_shingles long, digest binary, signature binary"
 
 
 def _sign(width: int):
     def run(batches):
         for batch in batches:
-            rid, doc = batch.column(0), batch.column(1)
+            kept, names = batch.columns[:-1], batch.schema.names[:-1]
             texts = binary_column(batch)
             size, digest, signature = [], [], []
             for a, b in in_chunks(texts):
@@ -67,8 +67,8 @@ def _sign(width: int):
                     digest.append(_digest(found) if len(found) else None)
                     signature.append(_signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [rid, doc, pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())],
-                names=["rid", "doc_id", "n_shingles", "digest", "signature"],
+                [*kept, pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())],
+                names=[*names, "n_shingles", "digest", "signature"],
             )
 
     return run
@@ -149,6 +149,7 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     borders = found.where("b is null").select("tree", "key", F.col("a").alias("node")).distinct()
     across = borders.coalesce(1).sortWithinPartitions("tree", "key", "node").mapInArrow(_neighbours, _NEIGHBOURS)
     pairs = scratch.save(found.union(across).where("b is not null").groupBy("a", "b").agg(F.min("apart").alias("apart")), "pairs")
+    scratch.drop(found)
     return pairs.where("a <> b"), pairs.where("a = b").select(F.col("a").alias("node"))
 
 
@@ -312,19 +313,23 @@ def _crowded(crowd: DataFrame, sets: DataFrame, known: DataFrame, scratch: Scrat
     return out
 
 
-def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept, and row_id, which tells apart equal doc_ids.
+def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, kept, and first: true for one row of each component,
+    of the smallest doc_id, also where ids are null or repeated. `carry` names long columns of docs to return with them.
 
     Words are runs of bytes other than white space, A-Z in lower case. Documents link when
     100 * intersection >= percent * union of their sets of width-word shingles; component_id is the smallest doc_id
     reachable. A document with fewer words has its whole sequence as its one shingle; null, empty and blank texts have
     an empty set and link with nothing. Rows with equal doc_id are documents of their own; a null doc_id is never a
-    component_id unless all of its component have none. Texts of any length are hashed whole. Other columns are ignored.
+    component_id unless all of its component have none. Texts of any length are hashed whole. Other columns, of any name,
+    are ignored; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.save(base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(_sign(width), _SIGNED), "signed")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).cast("long").alias(f"carry{k}") for k, c in enumerate(carry)))
+    own = ["rid", "doc_id", *(f"carry{k}" for k in range(len(carry)))]
+    numbered = base.withColumn("rid", F.monotonically_increasing_id()).select(*own, "text")
+    signed = scratch.save(numbered.mapInArrow(_sign(width), ", ".join(f"{c} long" for c in own) + f", {_SIGNED}"), "signed")
     full = signed.where("n_shingles > 0")
     classes = scratch.save(
         full.groupBy("digest").agg(F.min(F.struct("rid", "doc_id")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).select(F.col("first.rid").alias("node"), F.col("first.doc_id").alias("doc_id"), "digest", "n_shingles", "signature"),
@@ -359,12 +364,15 @@ def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT)
         .join(joined, "node", "left")
         .select("digest", F.coalesce("component", "node").alias("component"))
     )
-    of_class = full.groupBy("digest").agg(F.min("doc_id").alias("least")).join(member, "digest")
-    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of_class.join(least, "component").select("digest", "component_id")
-    return (
-        signed.join(named, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("rid").alias("row_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-        .select("doc_id", "n_shingles", "component_id", "kept", "row_id")
+    of_class = full.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")).join(member, "digest")
+    least = of_class.groupBy("component").agg(F.min("least").alias("least"))
+    named = of_class.select("digest", "component").join(least, "component").select("digest", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("top"))
+    out = signed.join(named, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        (F.coalesce("top", "rid") == F.col("rid")).alias("first"),
+        *(F.col(f"carry{k}").alias(c) for k, c in enumerate(carry)),
     )

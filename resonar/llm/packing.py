@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_column, numbered
+from .common import Scratch, binary_column, fresh, numbered
 from .wordcache import WordCache
 
 CAPACITY, END_ID = 4096, 1
@@ -211,26 +211,29 @@ def _places(made: list[tuple[list[int], int]]):
     return pick(keys), pick(per), pick(bins), pick(begin), np.array(offsets, np.int64)
 
 
-def _place(tables):
+def _place(tables, rank_name: str):
     def run(batches):
         keys, per, bins, begin, offsets = tables.value
         for batch in batches:
-            size, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
+            size, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", rank_name))
             k = np.searchsorted(keys, (size << 44) | rank, side="right") - 1
             nth = rank - (keys[k] & ((1 << 44) - 1))
             sequence, offset = bins[k] + nth // per[k], offsets[begin[k] + nth % per[k]]
-            kept = [c for c in batch.schema.names if c != "rank"]
+            kept = [c for c in batch.schema.names if c != rank_name]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     return run
 
 
 def pack(parts: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """The rows of parts (doc_id, piece, length of 1 to capacity, ...) with sequence_id and offset.
+    """The rows of parts (length of 1 to capacity, any others) with sequence_id and offset, which replace columns so named.
 
-    parts is read twice and must give the same rows each time; rows that are equal throughout are interchangeable.
+    parts is read twice and must give the same rows each time; rows that are equal throughout are interchangeable. Nulls in
+    other columns and other columns' names do not matter; an empty table gives an empty table.
     """
     spark = parts.sparkSession
+    parts = parts.drop("sequence_id", "offset")
+    (rank,) = fresh(parts, "_rank")
     got = parts.groupBy("length").count().toArrow()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, np.int64)
     counts[got.column("length").to_numpy()] = got.column("count").to_numpy()
@@ -238,9 +241,9 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) -> D
     order = [F.col(c).asc_nulls_first() for c in parts.columns]
     salts = 1 + int(counts.sum()) // group
     salt = F.pmod(F.xxhash64(*[c for c in parts.columns if c != "length"]), F.lit(salts))
-    ranked = numbered(parts, "length", order, "rank", salts, salt)
+    ranked = numbered(parts, "length", order, rank, salts, salt)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
-    return ranked.mapInArrow(_place(tables), f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(_place(tables, rank), f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

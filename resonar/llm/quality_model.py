@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, crc_of_id
+from .common import binary_column, crc_of_id, fresh
 
 WORD_BITS, LATENT = 16, 8
 BINS = 16
@@ -138,12 +138,16 @@ def _featurise(batches):
 def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, seed: int = SEED) -> FactorisationMachine:
     """Fits on at most max_train labelled documents, none of them held out (crc32 of doc_id modulo 3 of 1).
 
-    Of repeated labels of one doc_id the smallest holds; null ids and labels are left out.
+    Of repeated labels of one doc_id the smallest holds; null ids and labels are left out. Rows of one doc_id are each
+    fitted; where that makes more than max_train, those with the smallest hash of their features, so that which ones does
+    not depend on the table's layout. Empty tables give a model that scores 0.5.
     """
     fit_on = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(crc_of_id() % 3 != 1)
     chosen = fit_on.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_train)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = text.join(F.broadcast(chosen), "doc_id").limit(max_train).mapInArrow(_featurise, "found binary, n_words int, quality int").toArrow()
+    # chosen has at most max_train rows. Features first, so that texts stay where they are; then the cut, in hash order
+    found = text.join(F.broadcast(chosen), "doc_id").mapInArrow(_featurise, "found binary, n_words int, quality int")
+    got = found.orderBy(F.xxhash64(F.lit(seed), "found"), "found", "quality").limit(max_train).toArrow()
     rows = sorted(zip(got.column("found").to_pylist(), got.column("n_words").to_pylist(), got.column("quality").to_pylist(), strict=True))
     return fit([(np.frombuffer(f, "<i4").astype(np.int64), n, q) for f, n, q in rows], seed)
 
@@ -159,7 +163,9 @@ def _score(model, name: str):
 
 
 def score(docs: DataFrame, model: FactorisationMachine, name: str = "score") -> DataFrame:
-    """docs and a column `name`, the probability of label 1. Null texts count as empty; whole texts are read."""
+    """docs and a column `name`, the probability of label 1, which replaces one so named. Null texts count as empty; whole
+    texts are read."""
+    docs = docs.drop(name)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), name), f"{kinds}, `{name}` double")
 
@@ -176,6 +182,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
-    """docs without those that score below threshold; columns stay as they are."""
+    """docs without those that score below threshold. Columns, of any name, and repeated rows stay as they are; null and
+    empty texts are scored like others; an empty table gives an empty table."""
     model = train(docs, labels, max_train=max_train)
-    return score(docs, model, "_quality_score").where(F.col("_quality_score") >= threshold).select(*docs.columns)
+    (name,) = fresh(docs, "_quality_score")
+    return score(docs, model, name).where(F.col(name) >= threshold).select(*docs.columns)

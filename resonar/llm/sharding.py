@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered
+from .common import Scratch, fresh, numbered
 
 SHARDS, SEED = 40, 20_240_501
 #: Rows that one task sorts, roughly; most blocks there may be.
 GROUP, MOST_BLOCKS = 50_000, 16_384
+#: Rows of a file that write_shards writes.
+FILE_ROWS = 100_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -59,12 +61,12 @@ def matrix(sizes: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _deal(tables, kept: list[str]):
+def _deal(tables, kept: list[str], block: str, rank: str):
     def run(batches):
         keys, shards = tables.value
         for batch in batches:
             column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-            at = np.searchsorted(keys, (column("_block").to_numpy() << 44) | column("_rank").to_numpy(), side="right") - 1
+            at = np.searchsorted(keys, (column(block).to_numpy() << 44) | column(rank).to_numpy(), side="right") - 1
             yield pa.RecordBatch.from_arrays([*(column(c) for c in kept), pa.array(shards[at])], names=[*kept, "shard"])
 
     return run
@@ -75,17 +77,20 @@ def shuffle(rows: DataFrame, *, shards: int = SHARDS, seed: int = SEED, by: list
 
     `by` are the columns that random keys are made from, all by default; rows that are equal there are told apart by
     their order only. rows is read several times and must give the same rows each time, so hand over a stored table.
-    Nulls, repeated rows and an empty table need nothing special. Columns named _block or _rank must not be there.
+    Nulls, repeated rows and an empty table need nothing special. Columns named shard and slot are replaced; others, of
+    any name, stay.
     """
     spark = rows.sparkSession
+    rows = rows.drop("shard", "slot")
     by = by or rows.columns
     total = rows.count()
+    block, rank = fresh(rows, "_block", "_rank")
     kept = rows.columns
     random = lambda k: F.xxhash64(F.lit(seed + k), *by)
     ties = [F.col(c).asc_nulls_first() for c in by]
     blocks = min(MOST_BLOCKS, 1 + total // group) if total > group else 8
-    blocked = rows.withColumn("_block", F.pmod(random(0), F.lit(blocks)))
-    found = dict(blocked.groupBy("_block").count().collect())  # one row for each block
+    blocked = rows.withColumn(block, F.pmod(random(0), F.lit(blocks)))
+    found = dict(blocked.groupBy(block).count().collect())  # one row for each block
     sizes = [int(found.get(b, 0)) for b in range(blocks)]
     sent = matrix(sizes, shards, seed)
     keys, to = [], []
@@ -99,9 +104,9 @@ def shuffle(rows: DataFrame, *, shards: int = SHARDS, seed: int = SEED, by: list
     # salts follow the random key's order, so groups of salts keep the order a permutation
     salt = lambda k, n: F.shiftright(F.shiftrightunsigned(random(k), 40) * F.lit(n), 24)
     inner = 1 + (max(sizes, default=0) // (4 * group))
-    local = numbered(blocked, "_block", [random(1), *ties], "_rank", inner, salt(1, inner))
+    local = numbered(blocked, block, [random(1), *ties], rank, inner, salt(1, inner))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    dealt = Scratch(spark, "shards").save(local.mapInArrow(_deal(tables, kept), f"{kinds}, shard int"), "dealt")
+    dealt = Scratch(spark, "shards").save(local.mapInArrow(_deal(tables, kept, block, rank), f"{kinds}, shard int"), "dealt")
     outer = 1 + total // shards // group
     return numbered(dealt, "shard", [random(2), *ties], "slot", outer, salt(2, outer))
 
@@ -118,7 +123,16 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, *, shards: int = SHARDS, seed: int = SEED) -> None:
-    """Writes whole documents as one folder for each shard, in slot order within each file."""
-    out = shuffle(docs, shards=shards, seed=seed)
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, *, shards: int = SHARDS, seed: int = SEED, file_rows: int = FILE_ROWS) -> None:
+    """Writes whole documents, with all columns and slot, as one folder for each shard.
+
+    A shard's slots are cut into files of about file_rows, each by one task and in slot order, so a file holds a random
+    part of the shard and no task takes a whole one. docs is stored first, so that all steps see the same rows; nulls,
+    repeated rows and an empty table need nothing special.
+    """
+    out = shuffle(Scratch(docs.sparkSession, "rows").save(docs, "rows"), shards=shards, seed=seed)
+    (part,) = fresh(out, "_part")
+    out = out.withColumn(part, F.floor(F.col("slot") / file_rows))
+    parts = max(1, out.select("shard", part).distinct().count())
+    ranged = out.repartitionByRange(parts, "shard", part).sortWithinPartitions("shard", "slot")
+    ranged.drop(part).write.option("maxRecordsPerFile", file_rows).partitionBy("shard").parquet(path)

@@ -1,14 +1,17 @@
+import random
 from itertools import combinations
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from resonar.llm.common import shingle_sets
 from resonar.llm.embedding_dedup import near_vectors
 from resonar.llm.graph import components
 from resonar.llm.common import Scratch
 from resonar.llm.near_dedup import near_groups
 
-from .helpers import SCHEMA, documents, frame
+from .helpers import SCHEMA, documents, frame, prose
 
 
 def _sets(rows):
@@ -53,6 +56,14 @@ def test_near_groups_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+def test_one_row_of_each_group_is_first(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text), (7, text), (7, text + " more"), (None, text + " again"), (3, "another text of its own here"), (None, None), (None, "")]
+    got = near_groups(frame(spark, rows).withColumn("carry0", F.lit(4)), carry=("rank", "carry0")).collect()
+    assert [r.doc_id for r in got if r.first and r.component_id == 7] == [7]
+    assert sum(r.first for r in got) == 4 and all(r["rank"] == 1 and r.carry0 == 4 for r in got)
+
+
 def test_pairs_in_a_crowd_are_linked(spark):
     own = lambda k, n: [f"w{k}x{j}" for j in range(n)]
     shared = own("all", 176)
@@ -63,6 +74,42 @@ def test_pairs_in_a_crowd_are_linked(spark):
     assert got == {k: k - k % 2 if k < 120 else k for k in range(3000)}
 
 
+def _by_brute_force(rows):
+    sets = _sets(rows)
+    links = [(a, b) for a, b in combinations(range(len(rows)), 2) if sets[a] and 4 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b])) and 100 * (n := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    return _groups(len(rows), links), len(links)
+
+
+def test_hubs_chains_and_mixed_groups_lose_no_link(spark):
+    rng = random.Random(11)
+    rows = []
+    # a hub that 500 copies link with, which hardly link with one another
+    hub = prose(rng, 200).split()
+    rows.append(hub)
+    for k in range(500):
+        own = list(hub)
+        for j in rng.sample(range(200), 5):
+            own[j] = f"h{k}x{j}"
+        rows.append(own)
+    # a chain: each text begins a little later
+    line = prose(rng, 1000).split()
+    rows += [line[k : k + 150] for k in range(0, 800, 8)]
+    # copies of copies, of all degrees of likeness, around a shared passage
+    made = [prose(rng, 120).split() for _ in range(3)]
+    for k in range(700):
+        own = list(rng.choice(made))
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(len(own))] = f"m{k}x{rng.randrange(9)}"
+        if rng.random() < 0.2:
+            own = own[: rng.randint(90, 120)]
+        made.append(own)
+    rows = [(k, " ".join(x)) for k, x in enumerate(rows + made)]
+    want, links = _by_brute_force(rows)
+    got = {r.doc_id: r.component_id for r in near_groups(frame(spark, rows)).collect()}
+    assert links > 1500 and sum(g == 0 for g in want) >= 501
+    assert [got[k] for k in range(len(rows))] == want
+
+
 def test_empty_tables(spark):
     assert near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

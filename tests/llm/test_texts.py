@@ -37,6 +37,33 @@ def test_shards(spark):
     assert sharding.shard_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_written_shards_hold_every_row_and_may_have_any_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, documents()).withColumns({c: F.lit(5) for c in ("_block", "_rank", "shard", "slot", "_part", "_salt", "_own")})
+    sharding.write_shards(docs, f"{tmp_path}/shards", shards=5, file_rows=4)
+    got = spark.read.parquet(f"{tmp_path}/shards").collect()
+    want = Counter((str(r.doc_id), r.text, r._block) for r in docs.collect())
+    assert Counter((str(r.doc_id), r.text, r._block) for r in got) == want
+    for k in range(5):
+        own = sorted(r.slot for r in got if r.shard == k)
+        assert own == list(range(len(own))) and abs(len(own) - len(got) / 5) < 1
+        files = [spark.read.parquet(str(f)).collect() for f in (tmp_path / "shards" / f"shard={k}").glob("*.parquet")]
+        assert len(files) > 1 and all(len(f) <= 4 and [r.slot for r in f] == sorted(r.slot for r in f) for f in files)
+
+
+def test_pack_keeps_columns_of_any_name(spark):
+    rows = [(k, k % 60 + 1, k if k % 3 else None) for k in range(300)]
+    parts = spark.createDataFrame([(k, n, x, 1, 2, 3, 4) for k, n, x in rows], "doc_id long, length long, rank long, _rank int, sequence_id int, offset int, _salt int")
+    for group in (10**6, 40):  # in whole lengths, and in salted groups
+        got = packing.pack(parts, capacity=64, group=group).collect()
+        assert sorted((r.doc_id, r.length, r["rank"]) for r in got) == rows and all(r._rank == 1 and r._salt == 4 for r in got)
+        bins = {}
+        for r in got:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert all(a + n == b for own in bins.values() for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:]))
+
+
 def test_plan_fills_bins():
     rng = np.random.default_rng(4)
     counts = np.bincount(rng.integers(1, 65, 3000), minlength=65)
@@ -115,6 +142,21 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_lines_of_files_and_of_columns_of_any_name(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    shared = "this line stands on many sites"
+    rows = [(k // 2 if k % 5 else None, f"{shared}\nown {k}", "en", f"s{k}", 1) for k in range(12)] * 2
+    names = ("n_lines", "n_removed", "_row", "_places", "_lines", "_file", "_place", "r0", "r1", "site", "place", "first", "h1", "h2")
+    plain = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(9) for c in names})
+    plain.repartition(3).write.parquet(f"{tmp_path}/docs")
+    for docs in (plain, spark.read.parquet(f"{tmp_path}/docs")):
+        got = line_dedup.dedup_lines(docs).collect()
+        assert Counter(r.text.split("\n")[-1] for r in got) == Counter(t.split("\n")[-1] for _, t, *_ in rows)
+        assert sum(shared in r.text for r in got) == 1 and next(r for r in got if shared in r.text).doc_id is None
+        assert sum(r.n_removed for r in got) == len(rows) - 1 and all(r.n_lines == 2 and r._file == r.site == r.h1 == 9 for r in got)
+
+
 def test_rules(spark):
     again = " ".join(f"w{k}" for k in range(30))
     rows = documents() + [(960, f"{again} {again}"), (961, "### " * 40), (962, "a\na\nb\n \nb c\n"), (963, " ".join(f"the{k} of" for k in range(30)))]
