@@ -156,14 +156,23 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate(([0], np.searchsorted(begin, ends)))
     if not len(begin):
         return np.zeros(0, np.uint64), first
-    steps = len(joined) // _STEP + 1
+    own = np.empty(len(begin), np.uint64)
+    lo = 0
+    while lo < len(begin):  # stretches of about a megabyte: sums take many times the text's room
+        hi = max(lo + 1, int(np.searchsorted(end, begin[lo] + (1 << 20))))
+        own[lo:hi] = _stretch_hashes(joined[begin[lo] : end[hi - 1]], begin[lo:hi] - begin[lo], end[lo:hi] - begin[lo])
+        lo = hi
+    return mix64(own + (end - begin).astype(np.uint64)), first
+
+
+def _stretch_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    steps = len(data) // _STEP + 1
     high, back = _powers(pow(_BASE, _STEP, 1 << 64), steps), _powers(pow(_BASE, -_STEP, 1 << 64), steps)
-    value = _BYTE[joined]
-    value *= np.multiply.outer(high, _LOW).ravel()[: len(joined)]
-    total = np.cumsum(value, dtype=np.uint64)
+    total = _BYTE[data]
+    total *= np.multiply.outer(high, _LOW).ravel()[: len(data)]
+    np.cumsum(total, out=total)
     before = np.where(begin > 0, total[begin - 1], np.uint64(0))
-    own = (total[end - 1] - before) * back[begin // _STEP] * _BACK[begin % _STEP]
-    return mix64(own + (end - begin).astype(np.uint64)), first
+    return (total[end - 1] - before) * back[begin // _STEP] * _BACK[begin % _STEP]
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:

@@ -28,7 +28,7 @@ from .bit_model import END, HEAD, SLOTS, BitModel, Heads, in_order
 from .common import Scratch, binary_column, crc_of_id, mix64, word_hashes
 
 #: Bytes of text in a chunk, distinct words in a part of the vocabulary, tokens for each bucket: sizes of tasks' work.
-CHUNK_BYTES, PART_WORDS, BUCKET_TOKENS = 8 << 20, 150_000, 6 << 20
+CHUNK_BYTES, PART_WORDS, BUCKET_TOKENS = 4 << 20, 100_000, 4 << 20
 #: Distinct words that a task gathers before it hands them on.
 GATHER = 200_000
 LOG10_2 = math.log10(2)
