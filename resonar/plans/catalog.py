@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -297,13 +298,21 @@ def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- streaming
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; only a session on this machine alone may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="resonar-live-")
+    return root.rstrip("/")
+
+
 @_query("live_search", sql.ordered(sql.greedy(_source("part"), "rd"), _BY_LENGTH, 10))
 def live_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table arrives in three batches; the answer is that of one search."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    import uuid
-
-    live = LiveSearch(f"{root}/live-{uuid.uuid4().hex}", "rd")
+    live = LiveSearch(f"{_shared_folder(spark)}/live-{uuid.uuid4().hex}", "rd")
     items = _items(spark, sf_dir, "part")
     for k in range(3):
         live.add(items.where(F.col("id") % 3 == k), k)

@@ -57,7 +57,8 @@ class LiveSearch:
             self.best = self._rows(self.index(spark))
             return
         kept = spark.createDataFrame(self.best, self._top(new).schema).select(*new.columns)
-        self.best = self._rows(new.unionByName(kept).dropDuplicates(["id"]))
+        # of a row that comes again the newer holds
+        self.best = self._rows(new.unionByName(kept.join(new.select("id"), "id", "left_anti")))
 
     def index(self, spark) -> DataFrame:
         return spark.read.parquet(f"{self.path}/index").drop("batch")
