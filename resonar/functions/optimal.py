@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import pandas as pd
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .normalize import fold
 from .scorers import bonus_at
@@ -43,14 +38,7 @@ def score_python(pattern: str, text: str, case_sensitive: bool = False) -> int |
     return max(ends)
 
 
-@lru_cache(maxsize=256)
-def _udf(pattern: str, case_sensitive: bool):
-    @F.pandas_udf(LongType())
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else score_python(pattern, t, case_sensitive) for t in text], dtype="Int64")
-
-    return run
-
-
 def score(pattern: str, text: Column, case_sensitive: bool = False) -> Column:
-    return F.lit(0).cast("long") if not pattern else _udf(pattern, case_sensitive)(text)
+    from .batch import score_column
+
+    return F.lit(0).cast("long") if not pattern else score_column("optimal", pattern, text, case_sensitive)

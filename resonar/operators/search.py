@@ -14,6 +14,7 @@ from pyspark.sql.types import BooleanType
 
 from ..config import ALGORITHMS, COMPATIBLE, KEY_WEIGHTS, SearchConfig
 from ..functions import optimal, scorers
+from ..functions.batch import best_column
 from ..functions.languages import BACKENDS, Backend
 from ..functions.normalize import fold, fold_col, normalize
 from . import query as language
@@ -30,6 +31,7 @@ class Matcher:
     folds_case: bool = False
     in_lambda: bool = True
     possible: Callable[[str, Column, bool], Column] | None = None
+    batch: str | None = None  # name of a scorer of Arrow batches that stands for it
 
 
 def _holds_subsequence(pattern: str, text: Column, case_sensitive: bool) -> Column:
@@ -45,9 +47,9 @@ def _holds_text(pattern: str, text: Column, case_sensitive: bool) -> Column:
 
 
 MATCHERS: dict[str, Matcher] = {
-    "greedy": Matcher(scorers.greedy, True, possible=_holds_subsequence),
-    "exact": Matcher(scorers.exact, True, possible=_holds_text),
-    "optimal": Matcher(optimal.score, True, in_lambda=False, possible=_holds_subsequence),
+    "greedy": Matcher(scorers.greedy, True, possible=_holds_subsequence, batch="greedy"),
+    "exact": Matcher(scorers.exact, True, possible=_holds_text, batch="exact"),
+    "optimal": Matcher(optimal.score, True, in_lambda=False, possible=_holds_subsequence, batch="optimal"),
 }
 
 
@@ -91,17 +93,23 @@ def _variants(text: str, backend: Backend, config: SearchConfig) -> list[tuple[s
     return [v for v in found if v[1] != "Normalized" or (config.normalize and not config.case_sensitive)]
 
 
-def _key_list(config: SearchConfig, backend: Backend, folds: bool) -> Column:
-    """All keys of a row as (text, kind, weight), base keys first; a key that is not looked at has a null text."""
+def _base_key_list(config: SearchConfig, backend: Backend, folds: bool) -> list[tuple[Column, str, int]]:
+    """Text, kind and weight of the keys that every row has; one that is not looked at has a null text."""
     shown = _normalized_blocked(config, folds)
-    one = lambda text, kind: F.struct(text.alias("text"), F.lit(kind).alias("kind"), F.lit(KEY_WEIGHTS[kind]).alias("weight"))
-    base = [one(F.col("display"), "Original")]
+    base = [(F.col("display"), "Original")]
     if config.normalize and (shown is not None or backend.has_keys):
-        base.append(one(F.lit(None).cast("string") if shown is None else F.when(shown, F.col("norm")), "Normalized"))
-    keys = F.array(*base)
-    if not backend.has_keys:
-        return keys
-    return F.concat(keys, F.transform("keys", lambda k: F.struct(k["text"].alias("text"), k["kind"].alias("kind"), k["weight"].alias("weight"))))
+        base.append((F.lit(None).cast("string") if shown is None else F.when(shown, F.col("norm")), "Normalized"))
+    return [(text, kind, KEY_WEIGHTS[kind]) for text, kind in base]
+
+
+def _more_keys() -> Column:
+    return F.transform("keys", lambda k: F.struct(k["text"].alias("text"), k["kind"].alias("kind"), k["weight"].alias("weight")))
+
+
+def _key_list(config: SearchConfig, backend: Backend, folds: bool) -> Column:
+    """All keys of a row as (text, kind, weight), base keys first."""
+    base = [F.struct(text.alias("text"), F.lit(kind).alias("kind"), F.lit(weight).alias("weight")) for text, kind, weight in _base_key_list(config, backend, folds)]
+    return F.concat(F.array(*base), _more_keys()) if backend.has_keys else F.array(*base)
 
 
 def _key_scorer(pattern: str, v: int, kind: str, weight: int, config: SearchConfig, matcher: Matcher):
@@ -114,6 +122,9 @@ def _key_scorer(pattern: str, v: int, kind: str, weight: int, config: SearchConf
 
 def _fuzzy(text: str, backend: Backend, config: SearchConfig, matcher: Matcher) -> Column:
     """(score, -v, -k) of the best compatible variant and key: the first of equals, variants before keys."""
+    if matcher.batch:
+        variants = [(pattern, frozenset(COMPATIBLE[kind]), weight) for pattern, kind, weight in _variants(text, backend, config)]
+        return best_column(matcher.batch, variants, _base_key_list(config, backend, matcher.folds_case), _more_keys() if backend.has_keys else None, config.case_sensitive)
     keys, parts = _key_list(config, backend, matcher.folds_case), []
     most = 2 + config.max_search_keys_per_candidate * backend.has_keys
     for v, (pattern, kind, weight) in enumerate(_variants(text, backend, config)):
