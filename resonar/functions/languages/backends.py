@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ...config import BASE_KINDS, COMPATIBLE, VARIANT_WEIGHTS, SearchConfig
 from ..normalize import has_han, has_hangul, has_kana, normalize
@@ -19,13 +22,15 @@ class Backend:
     readings: bool = False
     polyphone: str = "common"
     zh_initials: bool = True
+    #: Readings of Chinese characters; build_index() puts in chinese.full_table() where there are none.
+    zh_table: dict[str, list[str]] | None = field(default=None, hash=False, compare=False, repr=False)
     ko_families: frozenset[str] = frozenset({"romanized", "initials", "keyboard"})
 
     def keys(self, text: str, config: SearchConfig) -> list[Key]:
         most, budget = config.max_search_keys_per_candidate, config.max_total_key_bytes_per_candidate
         ja = japanese.keys(text, most, budget, self.readings) if self.name in ("ja", "all") else []
         ko = korean.keys(text, most, budget, self.ko_families) if self.name in ("ko", "all") and len(text.encode()) <= budget else []
-        zh = chinese.keys(text, most, budget, self.polyphone, self.zh_initials) if self.name in ("zh", "all") else []
+        zh = chinese.keys(text, most, budget, self.polyphone, self.zh_initials, self.zh_table) if self.name in ("zh", "all") else []
         if self.name != "all":
             return ja + ko + zh
         zh.sort(key=lambda k: k.kind != "PinyinInitials")
@@ -58,6 +63,11 @@ class Backend:
         return out
 
 
+# the characters of has_han, has_kana and has_hangul, for built-in functions
+HAN_CHAR = "[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff]"
+KANA_CHAR = "[ぁ-ゖァ-ヶ]"
+HANGUL_CHAR = "[가-힣ᄀ-ᇿ\u3130-\u318f\ua960-\ua97f\ud7b0-\ud7ff]"
+
 BACKENDS = {name: Backend(name) for name in ("plain", "ja", "ko", "zh", "all")}
 
 
@@ -91,6 +101,14 @@ def detect_language(query: str, sample: Iterable[str] = (), locale: str = "") ->
     return own if holds.get(own) else "plain"
 
 
+def detect_language_of(table: DataFrame, query: str, text: str = "search_text", locale: str = "", sample: int = 256) -> str:
+    """detect_language with the scripts of a table's first rows, found by built-in functions; one row comes back."""
+    some = table.select(F.col(text).alias("t")).where("t IS NOT NULL").limit(sample)
+    holds = lambda pattern: F.coalesce(F.bool_or(F.col("t").rlike(pattern)), F.lit(False))
+    han, kana, hangul = some.agg(holds(HAN_CHAR), holds(KANA_CHAR), holds(HANGUL_CHAR)).first()
+    return detect_language(query, ["漢"] * han + ["か"] * kana + ["한"] * hangul, locale)
+
+
 def backend_for(name: str, query: str = "", sample: Iterable[str] = (), locale: str = "", **options) -> Backend:
     if name == "auto":
         name = detect_language(query, sample, locale)

@@ -22,17 +22,32 @@ READINGS_TABLE = {
 
 @lru_cache(maxsize=4)
 def readings_from_jvm(spark, chars: str) -> dict[str, list[str]]:
-    """First readings of characters by the transliterator that ships with Spark; computed once on the driver."""
+    """First readings of characters by the transliterator that ships with Spark; one call on the driver."""
     out = {}
     make = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator.getInstance
-    change = make("Han-Latin; Latin-ASCII; Lower")
-    for c in chars:
-        got = change.transliterate(c).strip()
-        if got != c and got.isascii() and got.isalpha():
-            out[c] = [got]
+    got = make("Han-Latin; Latin-ASCII; Lower").transliterate("\n".join(chars)).split("\n")
+    for c, read in zip(chars, map(str.strip, got), strict=True):
+        if read != c and read.isascii() and read.isalpha():
+            out[c] = [read]
     return out
 
 
+#: The blocks whose characters get a reading.
+HAN = (range(0x3400, 0x4DC0), range(0x4E00, 0xA000))
+
+
+def full_table(spark) -> dict[str, list[str]]:
+    """Readings of all characters of HAN: those of READINGS_TABLE, first readings of the transliterator for all others.
+
+    Some 27,000 rows at most. Where Spark has no transliterator the small table stands alone.
+    """
+    try:
+        found = readings_from_jvm(spark, "".join(chr(k) for block in HAN for k in block))
+    except (TypeError, AttributeError):  # py4j gives a package, not a class, where there is none
+        found = {}
+    return found | READINGS_TABLE
+
+
 def keys(text: str, most: int = 8, budget: int = 1024, polyphone: str = "common", initials: bool = True, table: dict[str, list[str]] | None = None) -> list[Key]:
     """Keys of the characters that have a reading; others leave no trace.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import product
 
 from ..normalize import DASHES, has_kana, normalize, to_hiragana
@@ -197,17 +198,29 @@ def numeric_romaji(query: str) -> str | None:
 
 
 Tokenizer = Callable[[str], list[tuple[str, list[str], int, int]]]
-# A small lexicon for texts of the kind that tests use.
+#: Runs whose readings a worker keeps.
+RUNS_KEPT = 4096
+# A lexicon of frequent words for texts without a tokenizer of one's own, first readings first.
 LEXICON = {
     "日本語": ["ニホンゴ"], "日本": ["ニホン"], "東京": ["トウキョウ"], "大学": ["ダイガク"], "東北": ["トウホク"], "電機": ["デンキ"], "京都": ["キョウト"], "大阪": ["オオサカ"],
-    "駅": ["エキ"], "新宿": ["シンジュク"], "月": ["ガツ", "ゲツ"], "年": ["ネン"], "日": ["ニチ", "ヒ"], "八": ["ハチ"], "一": ["イチ"], "二": ["ニ"], "三": ["サン"], "資料": ["シリョウ"], "令和": ["レイワ"], "年度": ["ネンド"], "第": ["ダイ"], "号": ["ゴウ"],
+    "駅": ["エキ"], "新宿": ["シンジュク"], "月": ["ガツ", "ゲツ"], "年": ["ネン"], "日": ["ニチ", "ヒ"], "資料": ["シリョウ"], "令和": ["レイワ"], "年度": ["ネンド"], "第": ["ダイ"], "号": ["ゴウ"],
+    "一": ["イチ"], "二": ["ニ"], "三": ["サン"], "四": ["ヨン", "シ"], "五": ["ゴ"], "六": ["ロク"], "七": ["ナナ", "シチ"], "八": ["ハチ"], "九": ["キュウ", "ク"], "十": ["ジュウ"], "百": ["ヒャク"], "千": ["セン"], "万": ["マン"],
+    "四月": ["シガツ"], "七月": ["シチガツ"], "九月": ["クガツ"], "三百": ["サンビャク"], "六百": ["ロッピャク"], "八百": ["ハッピャク"], "三千": ["サンゼン"], "八千": ["ハッセン"],
+    "会議": ["カイギ"], "議事録": ["ギジロク"], "報告": ["ホウコク"], "報告書": ["ホウコクショ"], "請求書": ["セイキュウショ"], "見積書": ["ミツモリショ"], "契約書": ["ケイヤクショ"], "写真": ["シャシン"], "動画": ["ドウガ"], "音楽": ["オンガク"],
+    "設計": ["セッケイ"], "設定": ["セッテイ"], "検索": ["ケンサク"], "文書": ["ブンショ"], "予定": ["ヨテイ"], "計画": ["ケイカク"], "研究": ["ケンキュウ"], "開発": ["カイハツ"], "試験": ["シケン"], "結果": ["ケッカ"], "会社": ["カイシャ"], "電話": ["デンワ"],
+    "名古屋": ["ナゴヤ"], "横浜": ["ヨコハマ"], "神戸": ["コウベ"], "札幌": ["サッポロ"], "福岡": ["フクオカ"], "北海道": ["ホッカイドウ"], "沖縄": ["オキナワ"], "渋谷": ["シブヤ"], "銀座": ["ギンザ"], "空港": ["クウコウ"],
+    "今日": ["キョウ"], "明日": ["アシタ"], "昨日": ["キノウ"], "時間": ["ジカン"], "午前": ["ゴゼン"], "午後": ["ゴゴ"], "学校": ["ガッコウ"], "先生": ["センセイ"], "学生": ["ガクセイ"], "図書館": ["トショカン"], "病院": ["ビョウイン"], "銀行": ["ギンコウ"],
 }
 
 
 def lexicon_tokenizer(lexicon: dict[str, list[str]]) -> Tokenizer:
-    """Longest match over a lexicon; a character that is not in it reads as itself where it is kana, else not at all."""
+    """Longest match over a lexicon; a character that is not in it reads as itself where it is kana, else not at all.
+
+    Readings of runs are kept, up to a number, as the same runs come again in a table's rows.
+    """
     longest = max(map(len, lexicon), default=1)
 
+    @lru_cache(maxsize=RUNS_KEPT)
     def run(text: str):
         out, k = [], 0
         while k < len(text):
@@ -223,18 +236,17 @@ def lexicon_tokenizer(lexicon: dict[str, list[str]]) -> Tokenizer:
     return run
 
 
+@lru_cache(maxsize=1)
+def default_tokenizer() -> Tokenizer:
+    return lexicon_tokenizer(LEXICON)
+
+
 def _is_japanese(c: str) -> bool:
     return has_kana(c) or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or c in "ー々〆〇" or c.isdigit()
 
 
-def kanji_keys(text: str, tokenizer: Tokenizer, most: int = 8, budget: int = 1024) -> list[Key]:
-    """Readings of runs of Japanese characters, other characters kept; no key where a run cannot be read."""
-    if not any("㐀" <= c <= "鿿" for c in text):
-        return []
-    source = text
-    spans: list[Span] = [(k, k + 1) for k in range(len(text))]
-    if got := kanji_numerals(text):
-        source, spans = got
+def _read(source: str, spans: list[Span], tokenizer: Tokenizer) -> list[list[list[tuple[str, Span]]]] | None:
+    """The choices of each piece of source, as lists of (kana, span); None where a run of Japanese cannot be read."""
     options: list[list[list[tuple[str, Span]]]] = []
     k = 0
     while k < len(source):
@@ -247,21 +259,41 @@ def kanji_keys(text: str, tokenizer: Tokenizer, most: int = 8, budget: int = 102
             continue
         for _, readings, a, b in tokenizer(source[k:end]):
             if not readings:
-                return []
+                return None
             where = (spans[k + a][0], spans[k + b - 1][1])
             options.append([[(r, where)] for r in readings])
         k = end
+    return options
+
+
+def kanji_keys(text: str, tokenizer: Tokenizer, most: int = 8, budget: int = 1024) -> list[Key]:
+    """Readings of runs of Japanese characters, other characters kept; no key where a run cannot be read.
+
+    Digits are read as numerals; a further reading keeps them as they are, so that 8月 is found by both hachigatsu and
+    8gatsu.
+    """
+    if not any("㐀" <= c <= "鿿" for c in text):
+        return []
+    own: list[Span] = [(k, k + 1) for k in range(len(text))]
+    sources = [(text, own)]
+    if got := kanji_numerals(text):
+        sources.insert(0, got)
     out: list[Key] = []
-    for choice in product(*options):
-        flat = [piece for part in choice for piece in part]
-        kana, where = "", []
-        for piece, span in flat:
-            own = to_hiragana(normalize(piece))
-            kana += own
-            where += [span] * len(own)
-        if len(kana.encode()) > budget or len(out) >= most:
-            break
-        out += _reading_keys(kana, where)
+    for source, spans in sources:
+        options = _read(source, spans, tokenizer)
+        if options is None:
+            continue
+        for choice in product(*options):
+            flat = [piece for part in choice for piece in part]
+            kana, where = "", []
+            for piece, span in flat:
+                read = to_hiragana(normalize(piece))
+                kana += read
+                where += [span] * len(read)
+            # each source may fill half of what there is, so that many readings of one do not hide the other
+            if len(kana.encode()) > budget or len(out) >= most * (1 + (source is text)) // len(sources):
+                break
+            out += _reading_keys(kana, where)
     return out
 
 
@@ -270,7 +302,7 @@ def keys(text: str, most: int = 8, budget: int = 1024, readings: bool = False, t
     if has_kana(text) and len(text.encode()) <= budget:
         out += _reading_keys(*hiragana_with_spans(text))
     if readings:
-        out += kanji_keys(text, tokenizer or lexicon_tokenizer(LEXICON), most, budget)
+        out += kanji_keys(text, tokenizer or default_tokenizer(), most, budget)
     return out
 
 

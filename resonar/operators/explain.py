@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import COMPATIBLE, SearchConfig
 from ..functions.languages import BACKENDS, Backend
@@ -43,18 +44,29 @@ def match_positions(pattern: str, text: str, case_sensitive: bool = False) -> li
     if len(p) > len(t):
         return None
     own = [100 + 90 * (i == 0 or text[i - 1] in EDGES) for i, _ in t]
+    # a state is (score, places); for each place of the next character the best state before it, and the best right before it
     order = lambda s: (s[0], s[1][0] - s[1][-1], [-x for x in s[1]])
+    apart = lambda s: (s[0] + 4 * s[1][-1], s[1][0], [-x for x in s[1]])
     states = [(own[j] - 2 * t[j][0], (t[j][0],)) if letters[j] == p[0] else None for j in range(len(t))]
     for c in p[1:]:
         now: list = [None] * len(t)
-        for j, d in enumerate(letters):
+        far = near = None
+        added = 0
+        for j, (here, d) in enumerate(t):
+            while added < j and t[added][0] < here:
+                s = states[added]
+                added += 1
+                if s is None:
+                    continue
+                if far is None or apart(s) > apart(far):
+                    far = s
+                if near is None or near[1][-1] != s[1][-1] or order(s) > order(near):
+                    near = s
             if d != c:
                 continue
-            here, ways = t[j][0], []
-            for s in states[:j]:
-                if s is not None and s[1][-1] < here:
-                    gap = here - s[1][-1] - 1
-                    ways.append((s[0] + own[j] + (160 if gap == 0 else -4 * gap), (*s[1], here)))
+            ways = [] if far is None else [(far[0] + own[j] - 4 * (here - far[1][-1] - 1), (*far[1], here))]
+            if near is not None and near[1][-1] == here - 1:
+                ways.append((near[0] + own[j] + 160, (*near[1], here)))
             if ways:
                 now[j] = max(ways, key=order)
         states = now
@@ -73,13 +85,24 @@ def _source(places: list[int], spans, plain: bool) -> tuple[int, int] | None:
     return (min(s[0] for s in own), max(s[1] for s in own)) if own else None
 
 
+def _with_keys(results: DataFrame, index: DataFrame) -> DataFrame:
+    """The few results, in their order, with what the index has for them."""
+    spark = results.sparkSession
+    rows = results.collect()  # at most as many as a search's limit
+    order = spark.createDataFrame([(r.id, k) for k, r in enumerate(rows)], "id long, _place long")
+    few = spark.createDataFrame(rows, results.schema)
+    held = index.where(F.col("id").isin([r.id for r in rows])) if len(rows) <= 1000 else index
+    both = held.select("id", "norm", "keys").join(F.broadcast(few.join(order, "id")) if len(rows) <= 10_000 else few.join(order, "id"), "id")
+    return both.orderBy("_place")
+
+
 EXPLAIN = "id long, score long, key_kind string, query string, matched_text string, key_start int, key_end int, key_text string, source_start int, source_end int, source_text string"
 
 
 def explain(results: DataFrame, index: DataFrame, query: str, *, config: SearchConfig = SearchConfig(), backend: Backend = BACKENDS["plain"]) -> DataFrame:
     """results with what matched and where: the first pattern and variant that fits the winning key and has places in it.
 
-    results must be few rows, as search() gives them.
+    results must be few rows, as search() gives them; their order, by score and then as search() has it, is kept.
     """
     patterns = highlight_patterns(query, config.exact) if config.extended else [query]
     ways = [(v, kind) for p in patterns for v, kind, _ in backend.variants(p, config)]
@@ -107,8 +130,8 @@ def explain(results: DataFrame, index: DataFrame, query: str, *, config: SearchC
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in EXPLAIN.split(", ")])
             yield frame.astype({c: "Int32" for c in ("key_start", "key_end", "source_start", "source_end")})
 
-    both = results.join(index.select("id", "norm", "keys"), "id")
-    return both.select("id", "display", "score", "key_kind", "key_index", "norm", "keys").mapInPandas(run, EXPLAIN)
+    both = _with_keys(results, index).select("id", "display", "score", "key_kind", "key_index", "norm", "keys")
+    return both.mapInPandas(run, EXPLAIN)
 
 
 #: Bounds of highlighting: longer texts and patterns, and further terms, show nothing.
@@ -153,8 +176,8 @@ def highlight(results: DataFrame, index: DataFrame, query: str, *, config: Searc
                 places.append(highlight_places(row.display, text, row.key_kind, spans, ways, config.case_sensitive))
             yield pd.DataFrame({"id": frame["id"], "display": frame["display"], "places": places})
 
-    both = results.join(index.select("id", "norm", "keys"), "id")
-    return both.select("id", "display", "key_kind", "key_index", "norm", "keys").mapInPandas(run, "id long, display string, places array<int>")
+    both = _with_keys(results, index).select("id", "display", "key_kind", "key_index", "norm", "keys")
+    return both.mapInPandas(run, "id long, display string, places array<int>")
 
 
 def explain_text(row) -> str:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KEY_WEIGHTS, SearchConfig
-from ..functions.languages import BACKENDS, Backend
+from ..functions.languages import BACKENDS, Backend, chinese
 from ..functions.languages.backends import cap_keys
 from ..functions.languages.mapped import Key
 from ..functions.normalize import fold_col, is_ascii, normalize, normalize_col
@@ -20,9 +22,19 @@ INDEX = f"id long, display string, norm string, case_fold_only boolean, keys {EX
 
 
 def with_ids(df: DataFrame, name: str = "id") -> DataFrame:
-    """Numbers from 0 in the order of the input. Counts of partitions go to the driver, rows do not."""
-    schema = df.schema.add(name, "long")
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """Numbers from 0 in the order of the input. Counts of partitions go to the driver, rows do not.
+
+    df is read twice, once to count, and must have the same partitions each time.
+    """
+    part, nth = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    counts = sorted(df.groupBy(part.alias("p")).count().collect())  # one row for each partition
+    starts, at = [], 0
+    for p, n in counts:
+        starts.append((p, at))
+        at += n
+    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    numbered = df.select("*", part.alias("_part"), nth.alias("_nth"))
+    return numbered.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_start") + F.col("_nth")).alias(name))
 
 
 def _row(key: Key) -> dict:
@@ -49,6 +61,8 @@ def _keys_udf(backend: Backend, config: SearchConfig):
 
 def build_index(items: DataFrame, text: str = "search_text", *, id: str = "id", backend: Backend = BACKENDS["plain"], config: SearchConfig = SearchConfig()) -> DataFrame:
     """id, display, norm, case_fold_only, keys. Only texts with characters outside ASCII reach a Python worker; null texts go."""
+    if backend.name in ("zh", "all") and backend.zh_table is None:
+        backend = replace(backend, zh_table=chinese.full_table(items.sparkSession))
     own = F.col("display")
     base = items.where(F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("display"))
     keys = F.array().cast(EXTRA)
@@ -68,14 +82,15 @@ def apply_aliases(index: DataFrame, items: DataFrame, aliases: DataFrame, *, con
     hits = texts.join(aliases.select("query", F.col("display").alias("name")).distinct(), "name").select("query", "name", "id").distinct()
     if first_only:
         hits = hits.groupBy("query", "name").agg(F.min("id").alias("id"))
-    per_row = hits.groupBy("id").agg(F.sort_array(F.collect_set("query")).alias("aliases"))
+    hits = hits.withColumn("norm", normalize_col(F.col("query")))
+    per_row = hits.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("query", "norm"))).alias("aliases"))
     out = index.join(per_row, "id", "left")
-    key = lambda q: F.struct(q.alias("text"), F.lit("LearnedAlias").alias("kind"), F.lit(KEY_WEIGHTS["LearnedAlias"]).alias("weight"), F.lower(q).alias("norm"), F.lit(None).cast(f"array<{SPAN}>").alias("source_map"))
+    key = lambda q: F.struct(q["query"].alias("text"), F.lit("LearnedAlias").alias("kind"), F.lit(KEY_WEIGHTS["LearnedAlias"]).alias("weight"), q["norm"].alias("norm"), F.lit(None).cast(f"array<{SPAN}>").alias("source_map"))
     base = 2 if config.normalize else 1
     start = F.octet_length("display") + (F.octet_length("norm") if config.normalize else 0)
     size = lambda keys: start + F.aggregate(keys, F.lit(0), lambda a, k: a + F.octet_length(k["text"]))
-    fits = lambda keys, q: (F.size(keys) + base < config.max_search_keys_per_candidate) & (size(keys) + F.octet_length(q) <= config.max_total_key_bytes_per_candidate)
-    added = F.aggregate(F.coalesce("aliases", F.array().cast("array<string>")), F.col("keys"), lambda keys, q: F.when(fits(keys, q), F.concat(keys, F.array(key(q)).cast(EXTRA))).otherwise(keys))
+    fits = lambda keys, q: (F.size(keys) + base < config.max_search_keys_per_candidate) & (size(keys) + F.octet_length(q["query"]) <= config.max_total_key_bytes_per_candidate)
+    added = F.aggregate(F.coalesce("aliases", F.array().cast("array<struct<query:string,norm:string>>")), F.col("keys"), lambda keys, q: F.when(fits(keys, q), F.concat(keys, F.array(key(q)).cast(EXTRA))).otherwise(keys))
     return out.withColumn("keys", added).drop("aliases").select(*index.columns)
 
 
@@ -88,6 +103,6 @@ def all_keys(config: SearchConfig = SearchConfig()) -> Column:
 
 
 def newest_first(lines: DataFrame, line: str = "line", position: str = "pos") -> DataFrame:
-    """Each line once, at its newest place, newest first."""
-    place = F.row_number().over(Window.partitionBy(line).orderBy(F.desc(position)))
-    return lines.withColumn("_n", place).where("_n = 1").drop("_n").orderBy(F.desc(position))
+    """Each line once, at its newest place, newest first. A line's places are reduced before they are shuffled."""
+    newest = lines.groupBy(line).agg(F.max_by(F.struct(*lines.columns), position).alias("_newest"))
+    return newest.select("_newest.*").orderBy(F.desc(position))

@@ -19,7 +19,10 @@ class Outcome:
 
 
 def filter_outcome(results: DataFrame, items: DataFrame, query: str, *, accept_nth: str | None = None, delimiter: Delimiter = Delimiter(), nul: bool = False, print_query: bool = False, explain: bool = False) -> Outcome:
-    """Results, which are ordered and few, as output. The query comes first where asked for; no result is code 1."""
+    """Results, which are ordered and few, as output. The query comes first where asked for; no result is code 1.
+
+    Where a caller would ask a person to choose, decide() says first whether there is anything to ask.
+    """
     if explain and nul:
         raise ValueError("an explanation is lines of text and cannot be separated by NUL")
     rank = results.select("id").toPandas()["id"].tolist()  # at most `limit` rows, in order
@@ -30,3 +33,13 @@ def filter_outcome(results: DataFrame, items: DataFrame, query: str, *, accept_n
     out = ordered_bytes(accept(items, accept_nth, delimiter).join(order, "id").orderBy("place"), nul=nul)
     end = b"\0" if nul else b"\n"
     return Outcome((query.encode() + end if print_query else b"") + out, FOUND)
+
+
+def decide(matches: DataFrame, *, select_1: bool = False, exit_0: bool = False) -> tuple[str, int | None]:
+    """What to do before a person is asked to choose among matches: ("select", id) of the only one with select_1, ("exit",
+    None) where there is none with exit_0, else ("ask", None). Two rows at most are looked at; a filter run, which asks
+    nobody, needs none of this."""
+    first = matches.select("id").limit(2).collect()
+    if select_1 and len(first) == 1:
+        return "select", first[0].id
+    return ("exit", None) if exit_0 and not first else ("ask", None)

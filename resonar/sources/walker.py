@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
+from collections.abc import Iterable
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -18,52 +19,101 @@ def parse_options(text: str) -> frozenset[str]:
     return found
 
 
+def _pattern(rule: str) -> re.Pattern:
+    """The paths, relative to the rule's folder, that a rule names. A rule with a slash before its end starts there."""
+    out = "" if "/" in rule.rstrip("/") else "(?:.*/)?"
+    rule, k = rule.strip("/"), 0
+    while k < len(rule):
+        if rule.startswith("**/", k):
+            out, k = out + "(?:.*/)?", k + 3
+        elif rule.startswith("/**", k) and k + 3 == len(rule):
+            out, k = out + "/.+", k + 3
+        elif rule[k] == "*":
+            while k < len(rule) and rule[k] == "*":
+                k += 1
+            out += "[^/]*"
+        elif rule[k] == "?":
+            out, k = out + "[^/]", k + 1
+        elif rule[k] == "[" and (end := rule.find("]", k + 2)) > 0:
+            body = rule[k + 1 : end].replace("\\", "\\\\")
+            out, k = out + "(?!/)[" + ("^" + body[1:] if body[0] in "!^" else body) + "]", end + 1
+        else:
+            k += rule[k] == "\\" and k + 1 < len(rule)
+            out, k = out + re.escape(rule[k]), k + 1
+    return re.compile(out, re.S)
+
+
 class _Ignore:
-    """Rules of one ignore file: the last that fits a path below its folder decides."""
+    """Rules of ignore files for one folder: the last that fits a path below it decides."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, files: Iterable[str]):
         self.folder, self.rules = folder, []
-        for name in (".gitignore", ".ignore"):
+        for path in files:
             try:
-                with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+                with open(path, encoding="utf-8", errors="replace") as f:
                     lines = f.read().splitlines()
             except OSError:
                 continue
             for line in lines:
-                line = line.rstrip()
+                while line.endswith(" ") and not line.endswith("\\ "):
+                    line = line[:-1]
                 if not line or line.startswith("#"):
                     continue
                 keep = line.startswith("!")
                 rule = line[1:] if keep else line
-                only_dir, anchored = rule.endswith("/"), "/" in rule.rstrip("/")
-                self.rules.append((rule.strip("/"), keep, only_dir, anchored))
+                try:
+                    self.rules.append((_pattern(rule), keep, rule.endswith("/")))
+                except re.error:  # a rule that cannot be read fits nothing
+                    continue
+
+    @classmethod
+    def of(cls, folder: str) -> _Ignore:
+        return cls(folder, [os.path.join(folder, name) for name in (".gitignore", ".ignore")])
 
     def verdict(self, path: str, is_dir: bool) -> bool | None:
         """True: ignored. False: kept by a rule. None: no rule fits."""
         inside = os.path.relpath(path, self.folder).replace(os.sep, "/")
-        if inside.startswith(".."):
+        if inside.startswith("../"):
             return None
         out = None
-        for rule, keep, only_dir, anchored in self.rules:
-            if only_dir and not is_dir:
-                continue
-            names = [inside] if anchored else [inside, inside.rsplit("/", 1)[-1]]
-            patterns = [rule] + [rule[3:]] * rule.startswith("**/")
-            if any(fnmatch.fnmatchcase(n, p) for n in names for p in patterns):
+        for rule, keep, only_dir in self.rules:
+            if (is_dir or not only_dir) and rule.fullmatch(inside):
                 out = not keep
         return out
 
 
+def _global_file() -> str:
+    """The user's own ignore file: core.excludesFile, else git/ignore in the user's configuration folder."""
+    home = os.path.expanduser("~")
+    config = os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config")
+    for path in (os.path.join(home, ".gitconfig"), os.path.join(config, "git", "config")):
+        try:
+            with open(path, encoding="utf-8", errors="replace") as f:
+                section = ""
+                for line in map(str.strip, f):
+                    if line.startswith("["):
+                        section = line.strip("[]").lower()
+                    elif section == "core" and line.partition("=")[0].strip().lower() == "excludesfile":
+                        return os.path.expanduser(line.partition("=")[2].strip().strip('"'))
+        except OSError:
+            continue
+    return os.path.join(config, "git", "ignore")
+
+
 def walk(root: str, options: frozenset[str] = frozenset({"file", "follow", "hidden"}), skip: tuple[str, ...] = SKIP):
     """Paths below root, not root itself; shown relative where root is a dot. Loops and what cannot be read are passed over."""
-    parents, up = [], os.path.abspath(root)
+    # nearest first; a repository's own excludes and the user's come after all ignore files
+    parents, roots, up = [], [], os.path.abspath(root)
     while True:
-        parents.append(_Ignore(up))
+        parents.append(_Ignore.of(up))
+        roots.append(_Ignore(up, [os.path.join(up, ".git", "info", "exclude")]))
         if up == os.path.dirname(up):
             break
         up = os.path.dirname(up)
 
-    def visit(folder: str, shown: str, rules: list[_Ignore], seen: frozenset[str]):
+    last = [_Ignore(os.path.abspath(root), [_global_file()])]
+
+    def visit(folder: str, shown: str, rules: list[_Ignore], own_roots: list[_Ignore], seen: frozenset[str]):
         try:
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
@@ -78,7 +128,7 @@ def walk(root: str, options: frozenset[str] = frozenset({"file", "follow", "hidd
             except OSError:
                 continue
             own = os.path.abspath(entry.path)
-            if next((v for r in rules if (v := r.verdict(own, is_dir)) is not None), False):
+            if next((v for r in (*rules, *own_roots, *last) if (v := r.verdict(own, is_dir)) is not None), False):
                 continue
             path = os.path.join(shown, entry.name) if shown else entry.name
             if is_dir and "dir" in options or not is_dir and (is_file or link) and "file" in options:
@@ -86,10 +136,11 @@ def walk(root: str, options: frozenset[str] = frozenset({"file", "follow", "hidd
             if is_dir:
                 real = os.path.realpath(own)
                 if real not in seen:
-                    yield from visit(own, path, [_Ignore(own), *rules], seen | {real})
+                    inner = _Ignore(own, [os.path.join(own, ".git", "info", "exclude")])
+                    yield from visit(own, path, [_Ignore.of(own), *rules], [inner, *own_roots], seen | {real})
 
     start = os.path.abspath(root)
-    yield from visit(start, "" if root == "." else root, parents, frozenset({os.path.realpath(start)}))
+    yield from visit(start, "" if root == "." else root, parents, roots, frozenset({os.path.realpath(start)}))
 
 
 class _Reader(DataSourceReader):

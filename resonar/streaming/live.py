@@ -17,15 +17,16 @@ class LiveSearch:
 
     The best k of a union are among the best k of its parts, so a batch costs its own rows and k more. A new query
     searches the whole index table once. Results carry the query, its case policy and the batch, so that answers to an
-    older query are never taken for the present one's.
+    older query are never taken for the present one's. `case` (ignore, respect or smart) is decided anew for each query;
+    without it the config's own setting holds.
     """
 
-    def __init__(self, path: str, query: str, *, config: SearchConfig = SearchConfig(), backend: Backend = BACKENDS["plain"], language: str | None = None):
+    def __init__(self, path: str, query: str, *, config: SearchConfig = SearchConfig(), backend: Backend = BACKENDS["plain"], language: str | None = None, case: str | None = None):
         if language == "auto":
             raise ValueError("a stream has no sample to detect a language from; name one")
         if config.limit is None:
             raise ValueError("the best rows are held by the driver; give a limit, or search() the index() table for all")
-        self.path, self.config, self.backend = path.rstrip("/"), config, backend
+        self.path, self.config, self.backend, self.case = path.rstrip("/"), config, backend, case
         self.batch_id, self.best = -1, None
         self.set_query(query)
 
@@ -33,6 +34,8 @@ class LiveSearch:
         from dataclasses import replace
 
         self.query = query
+        if self.case is not None:
+            self.config = self.config.with_case(query, self.case)
         if case_sensitive is not None:
             self.config = replace(self.config, case_sensitive=case_sensitive)
         self.best = None  # the next batch, or results(), searches the whole index
@@ -63,6 +66,11 @@ class LiveSearch:
     def index(self, spark) -> DataFrame:
         return spark.read.parquet(f"{self.path}/index").drop("batch")
 
+    def compact(self, spark, to: str, files: int = 1) -> None:
+        """Copies the index, which has a folder for each batch, to another place in few files, for searches that follow."""
+        self.index(spark).repartition(files).write.parquet(f"{to.rstrip('/')}/index/batch={self.batch_id}")
+        self.path = to.rstrip("/")
+
     def results(self, spark) -> DataFrame:
         """The present best rows, tagged with what they answer."""
         if self.best is None:
