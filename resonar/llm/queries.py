@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import line_dedup, oracles, quality_rules
 from .embedding_dedup import near_vectors
 from .lm_scoring import score_documents
 from .near_dedup import near_groups
@@ -68,6 +69,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+# ---- what SQL can say of results that it cannot say whole
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op3_context_mixing(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_char_network(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and distinct slots from 0 of each shard."""
+    return op2_hypergeometric_shards(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n_rows"), (F.max("slot") + 1).alias("n_slots"))
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_hypergeometric_shards(spark, sf_dir).select("doc_id", "size", "law")
+
+
+def quality_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_factorisation_machine(spark, sf_dir).select("doc_id", "held_out")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_spread": op1_line_spread,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
@@ -79,8 +103,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_factorisation_machine": op8_factorisation_machine,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_sentencepiece": op10_sentencepiece,
+    "lm_base_scores": lm_base_scores,
+    "secret_base_counts": secret_base_counts,
+    "shard_rows": shard_rows,
+    "shard_sizes": shard_sizes,
+    "quality_held_out": quality_held_out,
 }
 ORACLES: dict[str, str] = {
     "op1_line_spread": line_dedup.ORACLE,
+    "op4_minhash": oracles.NEAR,
     "op6_rule_table": quality_rules.ORACLE,
+    "op7_projection_passes": oracles.VECTORS,
+    "lm_base_scores": oracles.LM_BASE,
+    "secret_base_counts": oracles.SECRET_COUNTS,
+    "shard_rows": oracles.SHARD_ROWS,
+    "shard_sizes": oracles.SHARD_SIZES,
+    "quality_held_out": oracles.HELD_OUT,
 }
