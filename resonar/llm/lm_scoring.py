@@ -28,7 +28,7 @@ from .bit_model import END, HEAD, SLOTS, BitModel, Heads, in_order
 from .common import Scratch, binary_column, crc_of_id, mix64, word_hashes
 
 #: Bytes of text in a chunk, distinct words in a part of the vocabulary, tokens for each bucket: sizes of tasks' work.
-CHUNK_BYTES, PART_WORDS, BUCKET_TOKENS = 4 << 20, 100_000, 4 << 20
+CHUNK_BYTES, PART_WORDS, BUCKET_TOKENS = 4 << 20, 100_000, 3 << 20
 #: Distinct words that a task gathers before it hands them on.
 GATHER = 200_000
 LOG10_2 = math.log10(2)
@@ -116,6 +116,17 @@ def _sliced(kind: int, chunk: int, buckets: int, keys: np.ndarray, values: list[
     return [(b, kind, chunk, keys[lo:hi].tobytes(), b"".join([v[lo:hi].tobytes() for v in values])) for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if hi > lo]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Counts, most of them small, as a byte each; those of 255 and more follow in whole."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.int64).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data[:n], np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data[n:], np.int64)
+    return out
+
+
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     columns = [c.split() for c in schema.split(", ")]
@@ -178,21 +189,21 @@ def _ask(buckets: int):
         tokens = Tokens(_texts(table))
         chunk = table.column("chunk")[0].as_py()
         train = ~table.column("held_out").to_numpy()[tokens.doc]
-        times = np.bincount(tokens.pair, train, len(tokens.pairs)).astype(np.uint32)
+        times = np.bincount(tokens.pair, train, len(tokens.pairs)).astype(np.int64)
         rows = _sliced(ASK_WORDS, chunk, buckets, tokens.words, [])
         # within a bucket the lower half of a hash tells pairs apart
         for b, kind, own, keys, counts in _sliced(ASK_PAIRS, chunk, buckets, tokens.pairs, [times]):
-            rows.append((b, kind, own, np.frombuffer(keys, np.uint64).astype(np.uint32).tobytes(), counts))
+            rows.append((b, kind, own, np.frombuffer(keys, np.uint64).astype(np.uint32).tobytes(), _packed(np.frombuffer(counts, np.int64))))
         return pa.Table.from_batches([_rows(rows, _ASKED)])
 
     return run
 
 
-_ANSWER = "chunk long, kind int, bucket int, answer binary"
+_ANSWER = "chunk long, kind int, bucket int, n long, answer binary"
 
 
 def _answers(rows: list[tuple]):
-    """(chunk, kind, bucket, values) for all that one bucket is asked."""
+    """(chunk, kind, bucket, number of values, values) for all that one bucket is asked."""
     known = [(np.frombuffer(keys, np.uint64), np.frombuffer(values[: len(keys)], np.int64), np.frombuffer(values[len(keys) :])) for _, kind, _, keys, values in rows if kind == WORDS]
     key, n, cost = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
     order = np.argsort(key)
@@ -203,16 +214,18 @@ def _answers(rows: list[tuple]):
             at = np.searchsorted(key, want)
             if (key[at] != want).any():
                 raise ValueError("a word is not in the vocabulary: the table changed between scans")
-            yield chunk, kind, bucket, n[at].tobytes() + cost[at].astype(np.float32).tobytes()
+            yield chunk, kind, bucket, len(want), cost[at].astype(np.float32).tobytes() + _packed(n[at])
     asked = [r for r in rows if r[1] == ASK_PAIRS]
     if asked:
-        pairs, times = (np.concatenate([np.frombuffer(r[k], np.uint32) for r in asked]) for k in (3, 4))
+        pairs = np.concatenate([np.frombuffer(r[3], np.uint32) for r in asked])
+        times = np.concatenate([_unpacked(r[4], len(r[3]) // 4) for r in asked])
         _, back = np.unique(pairs, return_inverse=True)
-        total = np.bincount(back, times).astype(np.float32)[back]
+        total = np.bincount(back, times).astype(np.int64)
         at = 0
         for bucket, kind, chunk, keys, _ in asked:
-            yield chunk, kind, bucket, total[at : at + len(keys) // 4].tobytes()
-            at += len(keys) // 4
+            n_own = len(keys) // 4
+            yield chunk, kind, bucket, n_own, _packed(total[back[at : at + n_own]])
+            at += n_own
 
 
 def _answer(batches):
@@ -280,13 +293,12 @@ def _score(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())], names=names)
     tokens = Tokens(texts)
     n, cost, together = [], [], []
-    for kind, _, answer in sorted(zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "answer")), strict=True)):
+    for kind, _, many, answer in sorted(zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "n", "answer")), strict=True)):
         if kind == ASK_WORDS:
-            many = len(answer) // 12
-            n.append(np.frombuffer(answer[: 8 * many], np.int64))
-            cost.append(np.frombuffer(answer[8 * many :], np.float32))
+            cost.append(np.frombuffer(answer[: 4 * many], np.float32))
+            n.append(_unpacked(answer[4 * many :], many))
         else:
-            together.append(np.frombuffer(answer, np.float32))
+            together.append(_unpacked(answer, many))
     n, cost, together = (np.concatenate(x) for x in (n, cost, together))
     if len(n) != len(tokens.words) or len(together) != len(tokens.pairs):
         raise ValueError("a chunk's answers are not those to its questions: the table changed between scans")
