@@ -86,14 +86,9 @@ def _source(places: list[int], spans, plain: bool) -> tuple[int, int] | None:
 
 
 def _with_keys(results: DataFrame, index: DataFrame) -> DataFrame:
-    """The few results, in their order, with what the index has for them."""
-    spark = results.sparkSession
-    rows = results.collect()  # at most as many as a search's limit
-    order = spark.createDataFrame([(r.id, k) for k, r in enumerate(rows)], "id long, _place long")
-    few = spark.createDataFrame(rows, results.schema)
-    held = index.where(F.col("id").isin([r.id for r in rows])) if len(rows) <= 1000 else index
-    both = held.select("id", "norm", "keys").join(F.broadcast(few.join(order, "id")) if len(rows) <= 10_000 else few.join(order, "id"), "id")
-    return both.orderBy("_place")
+    """Results, in their order, with what the index has for them."""
+    few = results.select("id", "display", "score", "key_kind", "key_index").withColumn("_place", F.monotonically_increasing_id())
+    return few.join(index.select("id", "norm", "keys"), "id").orderBy("_place")
 
 
 EXPLAIN = "id long, score long, key_kind string, query string, matched_text string, key_start int, key_end int, key_text string, source_start int, source_end int, source_text string"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from ..config import SearchConfig, case_sensitive, parse_tiebreaks
 from ..functions import normalize as norm
 from ..functions import optimal, scorers
-from ..functions.languages import BACKENDS, backend_for, chinese, japanese, korean
+from ..functions.languages import BACKENDS, Backend, backend_for, chinese, detect_language_of, japanese, korean
+from ..functions.languages.mapped import Key
+from ..functions.width import width_col
 from ..operators import fields, index
-from ..operators.explain import explain
-from ..operators.search import matches, query_variants, search, search_many, search_with_stats
+from ..operators.explain import explain, highlight
+from ..operators.search import matches, query_variants, register_matcher, search, search_many, search_with_stats
+from ..sources import text
 from ..streaming.live import LiveSearch
 from . import oracles as sql
 
@@ -297,6 +300,169 @@ def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(q, backend_for("auto", q, ["北京"], "zh_CN.UTF-8").name) for q in ("한글", "かな", "é", "abc")], "query string, lang string")
 
 
+# ---- tables of other scripts, made by rule from the keys of a table
+_JOINED = "SELECT p_partkey AS id, chr(CAST(12449 + p_partkey % 86 AS INTEGER)) AS kana, chr(CAST(44032 + p_partkey * 7919 % 11172 AS INTEGER)) AS hangul, chr(CAST(19968 + p_partkey * 91 % 20000 AS INTEGER)) AS han FROM part"
+
+
+def _char(code) -> F.Column:
+    """The character of a code point below 65536."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and one character of each script; the SQL is _JOINED."""
+    id = F.col("p_partkey").cast("long")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(id.alias("id"), _char(12449 + id % 86).alias("kana"), _char(44032 + id * 7919 % 11172).alias("hangul"), _char(19968 + id * 91 % 20000).alias("han"))
+
+
+@_query("kana_tables", f"SELECT id, kana || 'x' AS katakana, chr(CAST(unicode(kana) - 96 AS INTEGER)) || 'x' AS hiragana, kana || 'x' AS again FROM ({_JOINED})")
+def kana_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat("kana", F.lit("x"))
+    hira = norm.to_hiragana_col(text)
+    return _scripts(spark, sf_dir).select("id", text.alias("katakana"), hira.alias("hiragana"), norm.to_katakana_col(hira).alias("again"))
+
+
+_MIXED = f"SELECT id, CASE id % 4 WHEN 0 THEN kana WHEN 1 THEN han WHEN 2 THEN hangul ELSE 'plain' END || CAST(id AS VARCHAR) AS t FROM ({_JOINED})"
+
+
+def _mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("id") % 4 == 0, F.col("kana")).when(F.col("id") % 4 == 1, F.col("han")).when(F.col("id") % 4 == 2, F.col("hangul")).otherwise("plain")
+    return _scripts(spark, sf_dir).select("id", F.concat(own, F.col("id").cast("string")).alias("t"))
+
+
+@_query("script_flags", f"SELECT id, id % 4 = 0 AS kana, id % 4 = 1 AS han, id % 4 = 2 AS hangul, length(t) + CASE WHEN id % 4 < 3 THEN 1 ELSE 0 END AS width, substr(t, 2, 2) AS sliced FROM ({_MIXED})")
+def script_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("t")
+    return _mixed_texts(spark, sf_dir).select("id", norm.has_kana_col(t).alias("kana"), norm.has_han_col(t).alias("han"), norm.has_hangul_col(t).alias("hangul"), width_col(t).cast("long").alias("width"), norm.char_slice_col(t, 1, 3).alias("sliced"))
+
+
+@_query("detect_by_script", f"SELECT id, CASE id % 4 WHEN 0 THEN 'ja' WHEN 2 THEN 'ko' ELSE 'plain' END AS lang FROM ({_MIXED})")
+def detect_by_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("t")
+    return _mixed_texts(spark, sf_dir).select("id", F.when(norm.has_hangul_col(t), "ko").when(norm.has_kana_col(t), "ja").otherwise("plain").alias("lang"))
+
+
+@_query("detect_of_table", "SELECT * FROM (VALUES ('zh_CN.UTF-8', 'zh'), ('ja_JP', 'ja'), ('ko_KR', 'ko'), ('C', 'plain')) v(locale, lang)")
+def detect_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _mixed_texts(spark, sf_dir).withColumnRenamed("t", "search_text")
+    return spark.createDataFrame([(x, detect_language_of(items, "abc", locale=x)) for x in ("zh_CN.UTF-8", "ja_JP", "ko_KR", "C")], "locale string, lang string")
+
+
+def _hangul_sql(lists: tuple, code: str = "k") -> str:
+    cell = lambda t: "[" + ", ".join(map(sql.quoted, t)) + "]"
+    return f"{cell(lists[0])}[{code} // 588 + 1] || {cell(lists[1])}[{code} % 588 // 28 + 1] || {cell(lists[2])}[{code} % 28 + 1]"
+
+
+_KO = f"SELECT id, 'a' || hangul || '-' || CAST(id AS VARCHAR) AS t, unicode(hangul) - 44032 AS k FROM ({_JOINED})"
+_KO_FAMILIES = (
+    ("KoreanRomanized", _hangul_sql((korean.ROMAN_INITIAL, korean.ROMAN_VOWEL, korean.ROMAN_FINAL))),
+    ("KoreanInitials", _hangul_sql((list(korean.INITIALS), [""] * 21, [""] * 28))),
+    ("KoreanKeyboard", _hangul_sql((korean.KEY_INITIAL, korean.KEY_VOWEL, korean.KEY_FINAL))),
+)
+
+
+@_query("korean_index", " UNION ALL ".join(f"SELECT id, {sql.quoted(kind)} AS kind, {text} AS text FROM ({_KO})" for kind, text in _KO_FAMILIES))
+def korean_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that an index gives to one syllable each, of all families."""
+    texts = _scripts(spark, sf_dir).select("id", F.concat(F.lit("a"), "hangul", F.lit("-"), F.col("id").cast("string")).alias("search_text"))
+    own = index.build_index(texts, backend=BACKENDS["ko"])
+    return own.select("id", F.explode("keys").alias("key")).select("id", "key.kind", "key.text").distinct()
+
+
+@_query("korean_one_family", f"SELECT id, {_KO_FAMILIES[1][1]} AS text FROM ({_KO})")
+def korean_one_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _scripts(spark, sf_dir).select("id", F.concat(F.lit("a"), "hangul", F.lit("-"), F.col("id").cast("string")).alias("search_text"))
+    own = index.build_index(texts, backend=replace(BACKENDS["ko"], ko_families=frozenset({"initials"})))
+    return own.select("id", F.explode("keys").alias("key")).select("id", "key.text")
+
+
+@_query("kana_index", f"SELECT id, chr(CAST(unicode(kana) - 96 AS INTEGER)) || '/' || CAST(id AS VARCHAR) AS text FROM ({_JOINED})")
+def kana_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _scripts(spark, sf_dir).select("id", F.concat("kana", F.lit("/"), F.col("id").cast("string")).alias("search_text"))
+    own = index.build_index(texts, backend=BACKENDS["ja"])
+    return own.select("id", F.explode("keys").alias("key")).where("key.kind = 'KanaReading'").select("id", "key.text")
+
+
+@_query("numeric_readings", "SELECT CAST(m AS INTEGER) AS month, q AS query, CAST(m - 1 AS BIGINT) AS id, 5 AS source_start, CAST(6 + length(CAST(m AS VARCHAR)) AS INTEGER) AS source_end FROM (SELECT unnest([1, 8, 10, 12]) AS m, unnest(['1gatsu', '8gatsu', '10gatsu', '12gatsu']) AS q)")
+def numeric_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digits in Japanese texts are found as they stand, and lead back to where they stand."""
+    ja = backend_for("ja", readings=True)
+    months = spark.range(1, 13).select((F.col("id") - 1).alias("id"), F.concat(F.lit("2025年"), F.col("id").cast("string"), F.lit("月")).alias("search_text"))
+    own = index.build_index(months, backend=ja)
+    out = None
+    for m in (1, 8, 10, 12):
+        got = matches(own, f"{m}gatsu", backend=ja).where(F.col("id") == m - 1)
+        part = explain(got, own, f"{m}gatsu", backend=ja).select(F.lit(m).alias("month"), F.lit(f"{m}gatsu").alias("query"), "id", "source_start", "source_end")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@_query("visible_controls", "SELECT p_partkey AS id, p_name || chr(CAST(9216 + 1 + p_partkey % 31 AS INTEGER)) || 'z' AS shown FROM part")
+def visible_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.concat("p_name", F.chr(1 + F.col("p_partkey") % 31), F.lit("z"))
+    return own.select(F.col("p_partkey").alias("id"), norm.visible_controls_col(text).alias("shown"))
+
+
+# ---- records, fields and histories of whole tables
+@_query("order_ids", "SELECT p_partkey, row_number() OVER () - 1 AS id FROM part")
+def order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.with_ids(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"))
+
+
+def _written(spark: SparkSession, sf_dir: str, nul: bool) -> DataFrame:
+    """Names of parts as records in files, read again."""
+    path = f"{_shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").cast("binary").alias("output"))
+    text.write_records(rows, path, nul=nul)
+    return text.read_records(spark, path, nul=nul).select("display")
+
+
+_query("records_by_line", "SELECT p_name AS display FROM part")(lambda spark, d: _written(spark, d, False))
+_query("records_by_nul", "SELECT p_name AS display FROM part")(lambda spark, d: _written(spark, d, True))
+
+
+@_query("with_nth_shown", "SELECT p_partkey AS id, split_part(p_name, ' ', 2) AS display, p_name AS original FROM part WHERE len(string_split(p_name, ' ')) >= 2")
+def with_nth_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").cast("binary").alias("raw"), F.col("p_name").alias("display"))
+    out = fields.prepare_items(rows, with_nth="2")
+    return out.where("display <> ''").select("id", "display", "original")
+
+
+@_query("history_of_names", "SELECT p_name AS line, max(p_partkey) AS pos FROM part GROUP BY p_name")
+def history_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("line"), F.col("p_partkey").alias("pos"))
+    return index.newest_first(lines)
+
+
+@_query("own_matcher", f"SELECT id, display, CAST(3500 + length(display) AS BIGINT) AS score FROM ({_source('part')}) WHERE contains(display, 'ed')")
+def own_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer that a caller registers."""
+    register_matcher("by_length", lambda pattern, t, cased: F.when(F.contains(t, F.lit(pattern)), F.length(t)), folds_case=True)
+    return matches(_index(spark, sf_dir, "part"), "ed", config=replace(ALL, algorithm="by_length")).select("id", "display", "score")
+
+
+@dataclass(frozen=True)
+class _Backwards(Backend):
+    """A language of a caller's own: texts are also found written backwards."""
+
+    def keys(self, text: str, config: SearchConfig) -> list[Key]:
+        return [Key(text[::-1], "LearnedAlias")]
+
+
+@_query("own_backend", f"SELECT id, CASE WHEN contains(t, 'Ω') THEN reverse(t) END AS key FROM (SELECT p_partkey AS id, p_name || 'Ω' AS t FROM part)")
+def own_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"), F.concat("p_name", F.lit("Ω")).alias("search_text"))
+    own = index.build_index(items, backend=_Backwards("backwards"))
+    return own.select("id", F.get("keys", F.lit(0))["text"].alias("key"))
+
+
+@_query("highlight_contiguous", "SELECT p_partkey AS id, [CAST(instr(p_name, 'red') - 1 AS INTEGER), CAST(instr(p_name, 'red') AS INTEGER), CAST(instr(p_name, 'red') + 1 AS INTEGER)] AS places FROM part WHERE contains(p_name, 'red')")
+def highlight_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _index(spark, sf_dir, "part")
+    return highlight(matches(own, "red", config=replace(ALL, exact=True)), own, "red").select("id", "places")
+
+
 # ---- streaming
 def _shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; only a session on this machine alone may do without."""
