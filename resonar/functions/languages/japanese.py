@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
+import re
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import product
+from itertools import islice, product
 
 from ..normalize import DASHES, has_kana, normalize, to_hiragana
 from .mapped import Key, Span
@@ -19,6 +19,8 @@ ROWS = {
 }
 SPECIAL = {"し": "shi", "ち": "chi", "つ": "tsu", "ふ": "fu", "じ": "ji", "ぢ": "ji", "づ": "zu"}
 GLIDES = {"ゃ": "a", "ゅ": "u", "ょ": "o"}
+# Cities that are written short in romaji, and ways to write a long o.
+LONG_O = ("おう", "おー", "おおう")
 CITIES = {"tokyo": "とうきょう", "kyoto": "きょうと", "osaka": "おおさか", "kobe": "こうべ"}
 
 
@@ -30,6 +32,7 @@ def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
                 tokens[c + v] = kana
                 romaji[kana] = SPECIAL.get(kana, c + v)
     tokens |= {r: k for k, r in SPECIAL.items() if k not in "ぢづ"}
+    # Spellings that input methods take besides.
     tokens |= {"ca": "か", "ci": "し", "cu": "く", "ce": "せ", "co": "こ", "hu": "ふ", "si": "し", "ti": "ち", "tu": "つ", "zi": "じ", "di": "ぢ", "du": "づ"}
     for c, row in ROWS.items():
         if c in ("", "y", "w"):
@@ -44,6 +47,7 @@ def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
                     tokens[short + v] = kana + glide
                 if short in ("ch", "j"):
                     tokens[("cy" if short == "ch" else "jy") + v] = kana + glide
+    # Small letters as input methods take them.
     for mark in "lx":
         tokens |= {mark + v: k for v, k in zip(_VOWELS, "ぁぃぅぇぉ", strict=True)}
         tokens |= {f"{mark}ye": "ぇ", f"{mark}ka": "ゕ", f"{mark}ke": "ゖ", f"{mark}tsu": "っ", f"{mark}tu": "っ", f"{mark}wa": "ゎ"}
@@ -55,49 +59,47 @@ def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
 TOKENS, ROMAJI, COMBOS = _tables()
 
 
-def _next(text: str, k: int) -> list[tuple[int, str]]:
-    """Ways to go on from place k: (next place, kana)."""
-    rest = text[k:]
-    out = []
-    if rest[0] == "n":
-        after = rest[1:2]
-        if after == "'":
-            return [(k + 2, "ん")]
-        if after == "" or after not in "aiueo":
-            out.append((k + 1, "ん"))
-            if after == "n":
-                out.append((k + 2, "ん"))
-            if after != "y":
+_TOKEN = re.compile("|".join(sorted(TOKENS, key=len, reverse=True)))
+#: What a place may be read as, by how the text goes on: (characters used, kana) of each way. An n before a letter other than
+#: a vowel stands alone, before y it may; a consonant before itself is a small tsu where a syllable follows.
+GRAMMAR = (
+    (re.compile("n'"), ((2, "ん"),), False),
+    (re.compile("nn"), ((1, "ん"), (2, "ん")), False),
+    (re.compile("n(?![aiueoy])", re.S), ((1, "ん"),), False),
+    (re.compile("n(?=y)"), ((1, "ん"),), True),
+    (re.compile(rf"([b-df-hj-mp-tv-z])(?=\1)(?={_TOKEN.pattern})"), ((1, "っ"),), False),
+)
+
+
+def _ways(text: str, k: int) -> list[tuple[int, str]]:
+    """Ways to go on from place k: (next place, kana). A syllable, or the character itself, is the last of them."""
+    out: list[tuple[int, str]] = []
+    for pattern, ways, goes_on in GRAMMAR:
+        if pattern.match(text, k):
+            out += [(k + n, kana) for n, kana in ways]
+            if not goes_on:
                 return out
-    token = lambda s: next((s[:n] for n in (4, 3, 2, 1) if len(s) >= n and s[:n] in TOKENS), None)
-    if len(rest) > 1 and rest[0] == rest[1] and rest[0].isalpha() and rest[0] not in "aiueon" and token(rest[1:]):
-        return [*out, (k + 1, "っ")]
-    if own := token(rest):
-        return [*out, (k + len(own), TOKENS[own])]
-    return [*out, (k + 1, rest[0])]
+    own = _TOKEN.match(text, k)
+    return [*out, (own.end(), TOKENS[own.group()]) if own else (k + 1, text[k])]
+
+
+def _spellings(text: str):
+    """(place, kana so far) of all readings, those of fewer steps first."""
+    level = [(0, "")]
+    while level:
+        yield from level
+        level = [(n, built + kana) for k, built in level if k < len(text) for n, kana in _ways(text, k)]
 
 
 def romaji_to_kana(query: str, most: int) -> list[str]:
-    """Kana spellings of a romaji query, breadth first, within a budget of steps."""
-    text = query.strip()
-    if most <= 0 or not text or not text.isascii():
+    """Kana spellings of a romaji query, those of fewest steps first, within a budget of steps."""
+    text = query.strip().lower()
+    if most <= 0 or not text or not query.strip().isascii():
         return []
-    text = text.lower()
-    queue, out, steps = deque([(0, "")]), [], 0
-    while queue and steps < max(most * 16, 16):
-        k, built = queue.popleft()
-        steps += 1
-        if k < len(text):
-            queue.extend((n, built + kana) for n, kana in _next(text, k))
-        elif has_kana(built) and built not in out:
-            out.append(built)
-            if len(out) >= most:
-                break
-    extra = [x * len(text) for x in ("おう", "おー", "おおう")] if len(text) > 1 and set(text) == {"o"} else [CITIES[text]] if text in CITIES else []
-    for kana in extra:
-        if len(out) < most and kana not in out:
-            out.append(kana)
-    return out
+    whole = (kana for k, kana in islice(_spellings(text), max(most * 16, 16)) if k == len(text) and has_kana(kana))
+    found = dict.fromkeys(whole)
+    further = [x * len(text) for x in LONG_O] if len(text) > 1 and not text.strip("o") else [CITIES[text]] if text in CITIES else []
+    return list(islice(dict.fromkeys((*islice(found, most), *further)), most))
 
 
 def _merge(a: Span | None, b: Span | None) -> Span | None:
