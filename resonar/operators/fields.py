@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import strip_ansi_col
@@ -13,13 +15,25 @@ from .index import with_ids
 
 
 class Delimiter:
-    """A regular expression between fields, or white space where it is None. A bad expression fails here."""
+    """A regular expression between fields, or white space where it is None. A bad expression fails here, as a ValueError."""
 
     def __init__(self, pattern: str | None = None):
         if pattern is not None:
-            re.compile(pattern)
+            self._check(pattern)
         self.pattern = pattern
 
+    @staticmethod
+    def _check(pattern: str) -> None:
+        """Java runs the expression, so Java checks it; Python does where there is no session yet."""
+        session = SparkSession.getActiveSession()
+        try:
+            if session is None:
+                re.compile(pattern)
+            else:
+                session.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        except (re.error, Py4JJavaError) as e:
+            raise ValueError(f"bad delimiter {pattern!r}: {e}") from e
+
     @property
     def joiner(self) -> str:
         """What chosen fields are joined with: a space, or the expression's own source text."""

@@ -1,9 +1,12 @@
 import os
 import random
 
+import pytest
+
 from resonar.config import SearchConfig
 from resonar.functions.languages import BACKENDS, backend_for, chinese, detect_language_of
 from resonar.operators.explain import explain, match_positions
+from resonar.operators.fields import Delimiter
 from resonar.operators.index import apply_aliases, build_index, newest_first, with_ids
 from resonar.operators.outcome import decide
 from resonar.operators.search import matches, search
@@ -134,3 +137,10 @@ def test_live_case_and_rows_that_come_again(spark, tmp_path):
     live.compact(spark, f"{tmp_path}/few")
     live.set_query("more")
     assert [r.id for r in live.results(spark).collect()] == [0]
+
+
+def test_delimiters_are_checked_by_what_runs_them(spark):
+    Delimiter(r"\p{IsAlphabetic}+")  # Java knows it, Python does not
+    for bad in ("[", "(?P<x>a)"):
+        with pytest.raises(ValueError, match="bad delimiter"):
+            Delimiter(bad)
