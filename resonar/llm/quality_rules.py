@@ -68,7 +68,9 @@ def _removed(chars: str) -> Column:
 def _repeats(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words from raw, lead and n_words."""
     one = F.col("lead") + 1
-    keys = F.transform(F.sequence(one, F.col("lead") + F.col("n_words") - (SPAN - 1)), lambda i: F.xxhash64(F.slice("raw", i.cast("int"), SPAN)))
+    # each word is hashed once; a window's key is the hash of its words' hashes
+    df = df.withColumn("hashes", F.when(F.col("n_words") >= SPAN, F.transform("raw", lambda w: F.xxhash64(w))))
+    keys = F.transform(F.sequence(one, F.col("lead") + F.col("n_words") - (SPAN - 1)), lambda i: F.xxhash64(F.slice("hashes", i.cast("int"), SPAN)))
     df = df.withColumn("keys", F.when(F.col("n_words") >= SPAN, keys))
     again = F.size(F.array_distinct("keys")) < F.size("keys")
     df = df.withColumn("sorted", F.when(again, F.sort_array(F.transform("keys", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))))
@@ -77,7 +79,7 @@ def _repeats(df: DataFrame) -> DataFrame:
     df = df.withColumn("starts", F.sort_array(F.array_compact(found)))
     own = F.transform("starts", lambda x, k: F.coalesce(F.least(F.lit(SPAN), F.get(F.col("starts"), k + 1) - x), F.lit(SPAN)))
     total = F.aggregate(own, F.lit(0), lambda a, x: a + x)
-    return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop("keys", "sorted", "starts")
+    return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop("hashes", "keys", "sorted", "starts")
 
 
 def measure(docs: DataFrame) -> DataFrame:
