@@ -29,6 +29,8 @@ TREES, DEPTH, SHARED, REACH = 20, 8, 4, 4
 VALUES = TREES * SHARED
 _A = splitmix(41, VALUES) | np.uint64(1)
 _B = splitmix(42, VALUES)
+#: Sets of a crowd that meet in one task because of one shingle.
+TOGETHER = 8192
 #: Bits of the map of documents that have candidates.
 MAP_BITS = 1 << 22
 
@@ -289,11 +291,12 @@ def _meet(percent: int):
     return run
 
 
-def _crowded(crowd: DataFrame, sets: DataFrame, known: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _crowded(crowd: DataFrame, sets: DataFrame, known: DataFrame, scratch: Scratch, percent: int, together: int) -> DataFrame:
     """(a, b): all pairs of classes of crowds that can be near enough and that known(node, component) has not united.
 
     With a set's shingles in one order for all, rarest first, the first one that two sets share stands so early in both
-    that what follows can hold their overlap. Shingles that one set alone has count for the places only.
+    that what follows can hold their overlap. Shingles that one set alone has count for the places only. The rows of a
+    shingle that more than `together` sets hold are dealt into blocks, and each pair of blocks meets by itself.
     """
     tokens = scratch.save(sets.join(crowd, "node").select("node", "whole").mapInArrow(_spell, "token long, node long"), "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
@@ -304,16 +307,21 @@ def _crowded(crowd: DataFrame, sets: DataFrame, known: DataFrame, scratch: Scrat
         .withColumn("rank", F.row_number().over(whole.orderBy("times", "token")))
         .withColumn("shared", F.count("*").over(whole))
         .join(sizes, "node")
-        .select("token", "node", "size", (F.col("size") - F.col("shared") + F.col("rank") - 1).alias("place"), "component")
+        .select("token", F.ceil(F.col("times") / together).cast("int").alias("blocks"), "node", "size", (F.col("size") - F.col("shared") + F.col("rank") - 1).alias("place"), "component")
         .where((F.col("size") - F.col("place")) * 100 >= F.col("size") * percent)
     )
-    out = placed.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_meet(percent), "a long, b long")
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = placed.withColumn("own", own).withColumn("other", other)
+    # cells of one number by chance only meet in vain: pairs are confirmed later
+    cell = F.when(F.col("blocks") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
+    cells = dealt.select(cell.alias("cell"), "node", "size", "place", "component")
+    out = cells.repartition("cell").sortWithinPartitions("cell", "size", "node").mapInArrow(_meet(percent), "a long, b long")
     out = scratch.save(out.distinct(), "meetings")
     scratch.drop(tokens)
     return out
 
 
-def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, carry: tuple[str, ...] = (), together: int = TOGETHER) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept, and first: true for one row of each component,
     of the smallest doc_id, also where ids are null or repeated. `carry` names long columns of docs to return with them.
 
@@ -356,7 +364,7 @@ def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT,
     more = scratch.save(_verified(rest, sets, percent), "more")
     joined = components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)
     if not crowd.isEmpty():
-        more = scratch.save(_verified(_crowded(crowd, sets, joined, scratch, percent), sets, percent), "crowded")
+        more = scratch.save(_verified(_crowded(crowd, sets, joined, scratch, percent, together), sets, percent), "crowded")
         joined = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)
     scratch.drop(sets)
     member = (

@@ -70,8 +70,9 @@ def test_pairs_in_a_crowd_are_linked(spark):
     rows = [(k, " ".join(shared + own(k, 35))) for k in range(3000)]  # 0.71 alike
     for k in range(0, 120, 2):  # 0.77 alike
         rows[k + 1] = k + 1, " ".join(shared + own(k, 9) + own(k + 1, 26))
-    got = {r.doc_id: r.component_id for r in near_groups(frame(spark, rows)).collect()}
-    assert got == {k: k - k % 2 if k < 120 else k for k in range(3000)}
+    for together in (10**6, 700):  # hot shingles whole, and in blocks
+        got = {r.doc_id: r.component_id for r in near_groups(frame(spark, rows), together=together).collect()}
+        assert got == {k: k - k % 2 if k < 120 else k for k in range(3000)}
 
 
 def _by_brute_force(rows):
