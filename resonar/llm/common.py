@@ -82,18 +82,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is files and nothing but columns and filters over them, so that each row is one row of a file."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
 def with_rows(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[str]]:
     """df with columns that identify a row, the same in every scan, and their names.
 
     Rows of files are known by their file and place in it. Any other table is stored first, with numbers.
     """
     names = fresh(df, "_file", "_place")
-    try:
-        meta = df.metadataColumn("_metadata")
-        return df.select("*", F.xxhash64(meta["file_path"]).alias(names[0]), meta["row_index"].cast("long").alias(names[1])), names
-    except AnalysisException:
-        stored = df.select("*", F.lit(0).cast("long").alias(names[0]), F.monotonically_increasing_id().alias(names[1]))
-        return scratch.save(stored, "rows"), names
+    if _is_scan(df):
+        try:
+            meta = df.metadataColumn("_metadata")
+            return df.select("*", F.xxhash64(meta["file_path"]).alias(names[0]), meta["row_index"].cast("long").alias(names[1])), names
+        except AnalysisException:  # a format without such columns
+            pass
+    stored = df.select("*", F.lit(0).cast("long").alias(names[0]), F.monotonically_increasing_id().alias(names[1]))
+    return scratch.save(stored, "rows"), names
 
 
 def crc_of_id(column: str = "doc_id"):

@@ -5,7 +5,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from resonar.llm.common import shingle_sets
+from resonar.llm.common import shingle_sets, with_rows
 from resonar.llm.embedding_dedup import near_vectors
 from resonar.llm.graph import components
 from resonar.llm.common import Scratch
@@ -187,3 +187,13 @@ def test_vectors_of_one_direction_and_ties(spark):
     rows = [(k, (v * (k + 1)).tolist(), 2) for k in range(60)] + [(60 + k, (v + 1e-7 * rng.normal(size=8)).tolist(), 2) for k in range(200)]
     count, group = _vectors_by_brute_force(rows)
     assert _got(spark, rows, window=32, most=3, many=8, block=64) == [(k, count[k], group[k]) for k in range(len(rows))]
+
+
+def test_rows_are_told_apart(spark, tmp_path):
+    spark.range(50).write.parquet(f"{tmp_path}/t")
+    files = spark.read.parquet(f"{tmp_path}/t")
+    scratch = Scratch(spark, "rows")
+    for df, n, stored in ((files, 50, False), (files.where("id > 9").withColumnRenamed("id", "_file"), 40, False), (files.union(files), 100, True), (files.crossJoin(spark.range(3).toDF("k")), 150, True), (files.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("x")), 100, True), (spark.range(20), 20, True)):
+        before = scratch.count
+        got, names = with_rows(df, scratch)
+        assert got.select(*names).distinct().count() == n and (scratch.count > before) == stored and set(df.columns) <= set(got.columns)
