@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from ..config import ALGORITHMS, COMPATIBLE, KEY_WEIGHTS, SearchConfig
 from ..functions import optimal, scorers
@@ -153,21 +153,30 @@ def comparable(text: str, config: SearchConfig) -> str:
     return text if config.case_sensitive else normalize(text) if config.normalize else text.lower()
 
 
-@F.pandas_udf(BooleanType())
-def _typed_at(display: pd.Series, start: pd.Series, literal: pd.Series) -> pd.Series:
-    """Whether display spells literal where the start-th character (from 1) of its normal form comes from."""
+def _spelt_at(text: str, k: int, typed: str) -> bool:
+    """Whether text spells typed where the k-th character (from 1) of its normal form comes from."""
+    at = 0
+    for i, c in enumerate(text):
+        if at == k - 1:
+            return text.startswith(typed, i)
+        at += len(normalize(c))
+    return False
 
-    def one(text, k, typed):
-        if text is None or k is None or pd.isna(k):
-            return False
-        at = 0
-        for i, c in enumerate(text):
-            if at == k - 1:
-                return text.startswith(typed, i)
-            at += len(normalize(c))
-        return False
 
-    return pd.Series([one(*x) for x in zip(display, start, literal, strict=True)], dtype=bool)
+def _typed_at(display: Column, start: Column, literal: str) -> Column:
+    """_spelt_at as a Column. Most rows are null, as only those whose normal form has another length are asked about."""
+
+    def run(text: pa.Array, k: pa.Array) -> pa.Array:
+        out = np.zeros(len(text), bool)
+        for i in np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False)):
+            if (place := k[i].as_py()) is not None:
+                out[i] = _spelt_at(text[i].as_py(), place, literal)
+        return pa.array(out)
+
+    def call(text: pa.Array, k: pa.Array) -> pa.Array:
+        return run(text, k)
+
+    return F.arrow_udf(call, "boolean")(display, F.when(display.isNotNull(), start))
 
 
 _EDGE = r"(?:(?<![\p{IsAlphabetic}\p{N}])|(?![\p{IsAlphabetic}\p{N}]))"
@@ -200,7 +209,7 @@ def _exact(term: language.Term, config: SearchConfig, backend: Backend) -> Colum
     if counts:
         aligned = F.length("display") == F.length(hay)
         straight = F.substring("display", k, F.lit(len(term.text))) == term.text
-        other = _typed_at(F.when(~aligned, F.col("display")), k, F.lit(term.text))
+        other = _typed_at(F.when(~aligned, F.col("display")), k, term.text)
         bonus = F.when(F.when(aligned, straight).otherwise(other), scorers.CASE).otherwise(0)
     own = [_best(score + KEY_WEIGHTS["Original"] + bonus, 0, F.lit(0))]
     if (shown := _normalized_blocked(config, not cs)) is not None:
