@@ -7,6 +7,7 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ class Delimiter:
                 re.compile(pattern)
             else:
                 session.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-        except (re.error, Py4JJavaError) as e:
+        except (re.error, Py4JJavaError, PySparkException) as e:
             raise ValueError(f"bad delimiter {pattern!r}: {e}") from e
 
     @property
