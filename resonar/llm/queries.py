@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, oracles, quality_rules
+from . import line_dedup, oracles, quality_rules, vector_codes
+from .common import Scratch
 from .embedding_dedup import near_vectors
 from .lm_scoring import score_documents
 from .near_dedup import near_groups
 from .packing import pack_documents
 from .quality_model import classify
+from .repeats import run_digests
 from .secrets import scan
 from .sentencepieces import round_trip
 from .sharding import shard_documents
+from .token_files import token_digests
 
 
 def _vocabulary(name: str) -> str:
@@ -69,6 +72,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(_table(spark, sf_dir, "documents"), repeats=True)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{Scratch(spark, 'files').base}/files"
+    return token_digests(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), folder)
+
+
 # ---- what SQL can say of results that it cannot say whole
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op3_context_mixing(spark, sf_dir)
@@ -103,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_factorisation_machine": op8_factorisation_machine,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_files": op13_token_files,
     "lm_base_scores": lm_base_scores,
     "secret_base_counts": secret_base_counts,
     "shard_rows": shard_rows,
@@ -114,6 +133,7 @@ ORACLES: dict[str, str] = {
     "op4_minhash": oracles.NEAR,
     "op6_rule_table": quality_rules.ORACLE,
     "op7_projection_passes": oracles.VECTORS,
+    "op11_vector_codes": vector_codes.ORACLE,
     "lm_base_scores": oracles.LM_BASE,
     "secret_base_counts": oracles.SECRET_COUNTS,
     "shard_rows": oracles.SHARD_ROWS,
