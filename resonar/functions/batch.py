@@ -1,7 +1,7 @@
-"""Scorers over Arrow batches: ASCII rows of a batch together in numpy, all others by the plain Python twins.
+"""Scorers over Arrow batches in numpy: all rows of a batch at once.
 
-A batch's texts are one run of bytes. Where a character stands is looked up for all rows at once, so a walk along a
-pattern costs one binary search for each row that still matches.
+A batch's texts are one run of characters: of bytes where all are ASCII, else of code points. Where a character stands is
+looked up for all rows at once, so a walk along a pattern costs one binary search for each row that still matches.
 """
 
 from __future__ import annotations
@@ -16,49 +16,98 @@ from pyspark.sql import functions as F
 
 from . import optimal
 from .normalize import fold
-from .scorers import ADJACENT, CASE, DELIMITERS, GAP, GAP_MORE, INSIDE, MATCH, PREFIX, START, WHOLE, exact_python, greedy_python
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-# classes of ASCII characters as in scorers: 0 other, 1 white space, 2 delimiter, 3 number, 4 lower, 5 upper
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[[ord(c) for c in " \t\n\r\f"]] = 1
-_CLASS[[ord(c) for c in DELIMITERS]] = 2
-_CLASS[ord("0") : ord("9") + 1], _CLASS[ord("a") : ord("z") + 1], _CLASS[ord("A") : ord("Z") + 1] = 3, 4, 5
+from .scorers import ADJACENT, CASE, DELIMITERS, DOTTED, GAP, GAP_MORE, INSIDE, MATCH, PREFIX, START, WHOLE, _class_of, exact_python, greedy_python
+
+# classes of characters as in scorers: 0 other, 1 white space, 2 delimiter, 3 number, 4 lower, 5 upper, 6 other letter
+_LETTER = 6
 #: Bonus by the class before and the class of a place.
 _BONUS = np.zeros((6, 6), np.int64)
 _BONUS[0], _BONUS[1], _BONUS[2] = 80, 100, 90
 _BONUS[4, 3] = _BONUS[5, 3] = _BONUS[4, 5] = 70
+#: A letter without case counts as an upper one before a place, and as a lower one at it.
+_BEFORE, _OWN = np.array([0, 1, 2, 3, 4, 5, 5], np.uint8), np.array([0, 1, 2, 3, 4, 5, 4], np.uint8)
+#: Control characters that are white space in texts with characters outside ASCII only.
+_CONTROLS = (0x0B, 0x1C, 0x1D, 0x1E, 0x1F)
+
+
+class _Characters:
+    """Fold and class of characters, looked up once in each process."""
+
+    def __init__(self):
+        self.known = np.zeros(0x110000, bool)
+        self.fold = np.arange(0x110000, dtype=np.uint32)
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.size = np.full(0x110000, 4, np.uint8)
+        self.size[:0x80], self.size[0x80:0x800], self.size[0x800:0x10000] = 1, 2, 3
+        self.learn(np.arange(128))
+
+    def learn(self, points: np.ndarray) -> None:
+        seen = np.zeros(0x110000, bool)
+        seen[points] = True
+        for k in np.flatnonzero(seen & ~self.known).tolist():
+            c = chr(k)
+            self.fold[k] = ord(fold(c))
+            self.kind[k] = 2 if c in DELIMITERS else "osdnlua".index(_class_of(c))
+        self.known |= seen
+
+
+_CHARACTERS = _Characters()
 
 
 class Texts:
-    """The texts of an Arrow string array: bytes, where each row starts and ends, and which rows are ASCII."""
+    """The texts of an Arrow string array: characters, and where each row starts and ends among them."""
 
     def __init__(self, texts: pa.Array):
         self.texts = texts = texts.cast(pa.large_string())
         n = len(texts)
         _, offsets, data = texts.buffers()
         at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
-        self.data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+        at = at - at[0]
+        self.null = texts.is_null().to_numpy(zero_copy_only=False)
+        self.rows = np.flatnonzero(~self.null)
+        strange = np.flatnonzero(raw >= 128)
+        self.ascii = np.searchsorted(strange, at[:-1]) == np.searchsorted(strange, at[1:])
+        if len(strange):
+            heads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+            at = heads[at]
+            raw = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+            _CHARACTERS.learn(raw)
+        self.data = raw if len(raw) else np.zeros(1, np.uint8)
         self.start, self.end = at[:-1], at[1:]
-        null = texts.is_null().to_numpy(zero_copy_only=False)
-        strange = np.flatnonzero(self.data >= 128)
-        self.ascii = ~null & (np.searchsorted(strange, self.start) == np.searchsorted(strange, self.end))
-        self.other = np.flatnonzero(~null & ~self.ascii)
-        self.lower = _LOWER[self.data]
+        self.lower = _CHARACTERS.fold[self.data].astype(self.data.dtype)
         self._places: dict[tuple[bool, int], np.ndarray] = {}
+        self._kind = self._bytes = None
+
+    @property
+    def kind(self) -> np.ndarray:
+        """Classes of all characters."""
+        if self._kind is None:
+            self._kind = _CHARACTERS.kind[self.data]
+            odd = np.flatnonzero(np.isin(self.data, _CONTROLS))
+            row = np.searchsorted(self.end, odd, side="right")
+            self._kind[odd[self.ascii[np.minimum(row, len(self.ascii) - 1)]]] = 0
+        return self._kind
+
+    def octets(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """UTF-8 bytes between places."""
+        if self.data.dtype == np.uint8:
+            return end - start
+        if self._bytes is None:
+            self._bytes = np.concatenate(([0], np.cumsum(_CHARACTERS.size[self.data], dtype=np.int64)))
+        return self._bytes[end] - self._bytes[start]
 
     def places(self, cased: bool, c: int) -> np.ndarray:
-        """Where a byte stands; a place behind all texts comes last."""
+        """Where a character stands; a place behind all texts comes last."""
         if (cased, c) not in self._places:
             self._places[cased, c] = np.append(np.flatnonzero((self.data if cased else self.lower) == c), len(self.data))
         return self._places[cased, c]
 
     def bonus(self, at: np.ndarray, start: np.ndarray) -> np.ndarray:
-        before = np.where(at > start, _CLASS[self.data[np.maximum(at - 1, 0)]], 1)
-        return _BONUS[before, _CLASS[self.data[at]]]
+        before = np.where(at > start, _BEFORE[self.kind[np.maximum(at - 1, 0)]], 1)
+        return _BONUS[before, _OWN[self.kind[at]]]
 
-    def holding(self, cased: bool, needle: bytes, rows: np.ndarray) -> np.ndarray:
+    def holding(self, cased: bool, needle: list[int], rows: np.ndarray) -> np.ndarray:
         """Of each row, the first place of needle; -1 where there is none."""
         f = self.data if cased else self.lower
         at = self.places(cased, needle[0])[:-1]
@@ -73,17 +122,16 @@ class Texts:
 Scores = tuple[np.ndarray, np.ndarray]  # rows that match, and their scores
 
 
-def _typed(texts: Texts, places: list[np.ndarray], pattern: bytes) -> np.ndarray:
+def _typed(texts: Texts, places: list[np.ndarray], pattern: str) -> np.ndarray:
     same = np.ones(len(places[0]), bool)
     for at, c in zip(places, pattern, strict=True):
-        same &= texts.data[at] == c
+        same &= texts.data[at] == ord(c)
     return same
 
 
-def _walk(texts: Texts, needle: bytes, cased: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-    """ASCII rows that hold needle as a subsequence, and the places of the match that ends first, latest places first
+def _walk(texts: Texts, needle: list[int], cased: bool, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Those of rows that hold needle as a subsequence, and the places of the match that ends first, latest places first
     found backwards from its end."""
-    rows = np.flatnonzero(texts.ascii)
     at = texts.start[rows] - 1
     for c in needle:
         found = texts.places(cased, c)
@@ -99,17 +147,14 @@ def _walk(texts: Texts, needle: bytes, cased: bool) -> tuple[np.ndarray, list[np
     return rows, places[::-1]
 
 
-def _plain(pattern: str, cased: bool) -> bytes | None:
-    """The pattern's bytes as they are compared; None where no ASCII text can match."""
-    needle = pattern if cased else fold(pattern)
-    return needle.encode() if needle.isascii() else None
+def _needle(pattern: str, cased: bool) -> list[int]:
+    """The pattern's characters as they are compared."""
+    return [ord(c) for c in (pattern if cased else fold(pattern))]
 
 
-def greedy(pattern: str, texts: Texts, cased: bool) -> Scores:
-    needle = _plain(pattern, cased)
-    if needle is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows, q = _walk(texts, needle, cased)
+def greedy(pattern: str, texts: Texts, cased: bool, among: np.ndarray | None = None) -> Scores:
+    needle = _needle(pattern, cased)
+    rows, q = _walk(texts, needle, cased, texts.rows if among is None else among)
     start, end = texts.start[rows], texts.end[rows]
     out = START + MATCH * len(needle) - 2 * (q[0] - start) - (end - start) // 8 + texts.bonus(q[0], start)
     for k, at in enumerate(q):
@@ -117,33 +162,29 @@ def greedy(pattern: str, texts: Texts, cased: bool) -> Scores:
         if k:
             d = at - q[k - 1]
             out += np.where(d == 1, ADJACENT, GAP + GAP_MORE * (d - 2))
-    if not cased and pattern.isascii():
-        out += np.where(_typed(texts, q, pattern.encode()), CASE, 0)
+    if not cased:
+        out += np.where(_typed(texts, q, pattern), CASE, 0)
     first = texts.holding(cased, needle, rows)
     out += np.where(first < 0, 0, np.where(first > start, INSIDE, np.where(end - start == len(needle), WHOLE, PREFIX)))
     return rows, out
 
 
-def exact(pattern: str, texts: Texts, cased: bool) -> Scores:
-    needle = _plain(pattern, cased)
-    rows = np.flatnonzero(texts.ascii)
-    if needle is None:
-        return rows[:0], rows[:0]
+def exact(pattern: str, texts: Texts, cased: bool, among: np.ndarray | None = None) -> Scores:
+    needle = _needle(pattern, cased)
+    rows = texts.rows if among is None else among
     first = texts.holding(cased, needle, rows)
     rows, first = rows[first >= 0], first[first >= 0]
     start, size = texts.start[rows], texts.end[rows] - texts.start[rows]
-    out = START + np.where(size == len(needle), WHOLE, np.where(first == start, PREFIX, INSIDE)) - 5 * (first - start) - size
-    if not cased and pattern.isascii():
-        out += np.where(_typed(texts, [first + k for k in range(len(needle))], pattern.encode()), CASE, 0)
+    out = START + np.where(size == len(needle), WHOLE, np.where(first == start, PREFIX, INSIDE)) - 5 * texts.octets(start, first) - size
+    if not cased:
+        out += np.where(_typed(texts, [first + k for k in range(len(needle))], pattern), CASE, 0)
     return rows, out
 
 
-def best_alignment(pattern: str, texts: Texts, cased: bool) -> Scores:
+def best_alignment(pattern: str, texts: Texts, cased: bool, among: np.ndarray | None = None) -> Scores:
     """Rows of similar length as one matrix: for each character of the pattern, the best total that ends at each place."""
-    needle = _plain(pattern, cased)
-    if needle is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows, _ = _walk(texts, needle, cased)
+    needle = _needle(pattern, cased)
+    rows, _ = _walk(texts, needle, cased, texts.rows if among is None else among)
     out = np.zeros(len(rows), np.int64)
     size = texts.end[rows] - texts.start[rows]
     order = np.argsort(size, kind="stable")
@@ -177,8 +218,8 @@ def best_alignment(pattern: str, texts: Texts, cased: bool) -> Scores:
     return rows, out
 
 
-#: By name: the scorer of a batch's ASCII rows, and the twin for one text.
-SCORERS: dict[str, tuple[Callable[[str, Texts, bool], Scores], Callable[[str, str, bool], int | None]]] = {
+#: By name: the scorer of a batch's rows, and the twin for one text.
+SCORERS: dict[str, tuple[Callable[[str, Texts, bool, np.ndarray | None], Scores], Callable[[str, str, bool], int | None]]] = {
     "greedy": (greedy, greedy_python),
     "exact": (exact, exact_python),
     "optimal": (best_alignment, optimal.score_python),
@@ -188,21 +229,30 @@ _RESULT = pa.struct([("score", pa.int64()), ("v", pa.int32()), ("k", pa.int32())
 
 def scores(name: str, pattern: str, texts: Texts, cased: bool, among: np.ndarray | None = None) -> Scores:
     """Rows (of `among`, all by default) that match pattern, and their scores. An empty pattern matches all with 0."""
+    on = texts.rows if among is None else texts.rows[among[texts.rows]]
     if not pattern:
-        rows = np.flatnonzero(~texts.texts.is_null().to_numpy(zero_copy_only=False))
-        got = np.zeros(len(rows), np.int64)
+        return on, np.zeros(len(on), np.int64)
+    whole, one = SCORERS[name]
+    rows, got = whole(pattern, texts, cased, on)
+    if cased or texts.data.dtype == np.uint8 or one is optimal.score_python:
+        return rows, got
+    # a dotted letter may be compared in two spellings where the first comparison fails: those few texts one by one
+    missed = np.zeros(len(texts.start), bool)
+    missed[on] = True
+    missed[rows] = False
+    if DOTTED not in pattern:
+        dotted = texts.places(True, ord(DOTTED))[:-1]
+        held = np.zeros_like(missed)
+        held[np.searchsorted(texts.end, dotted, side="right")] = True
+        missed &= held
     else:
-        whole, one = SCORERS[name]
-        rows, got = whole(pattern, texts, cased)
-        other = texts.other if among is None else texts.other[among[texts.other]]
-        more = [one(pattern, t, cased) for t in texts.texts.take(pa.array(other)).to_pylist()]
-        hits = [k for k, x in enumerate(more) if x is not None]
-        rows = np.concatenate((rows, other[hits]))
-        got = np.concatenate((got, np.array([more[k] for k in hits], np.int64)))
-    if among is not None:
-        on = among[rows]
-        rows, got = rows[on], got[on]
-    return rows, got
+        missed &= ~texts.ascii
+    other = np.flatnonzero(missed)
+    if not len(other):
+        return rows, got
+    more = [one(pattern, t, cased) for t in texts.texts.take(pa.array(other)).to_pylist()]
+    hits = [k for k, x in enumerate(more) if x is not None]
+    return np.concatenate((rows, other[hits])), np.concatenate((got, np.array([more[k] for k in hits], np.int64)))
 
 
 def best_column(name: str, variants: list[tuple[str, frozenset[str], int]], base: list[tuple[Column, str, int]], keys: Column | None, cased: bool) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig, total_order
 from ..functions.normalize import normalize
+from ..shared import stored
 
 FAR = (1 << 63) - 1
 
@@ -17,40 +18,62 @@ def tiebreak_query(query: str) -> str:
     return normalize(words[0]) if words else ""
 
 
-def _begin(text: Column, q: str) -> Column:
-    k = F.position(F.lit(q), text)
+def _begin(text: Column, q: Column) -> Column:
+    k = F.position(q, text)
     return F.when(k > 0, F.octet_length(F.substring(text, F.lit(1), k - 1)).cast("long")).otherwise(F.lit(FAR))
 
 
-def sort_columns(query: str, tiebreaks: tuple[str, ...]) -> list[Column]:
-    """Ascending keys over display, norm and id."""
-    q = tiebreak_query(query)
+def tie_columns(q: Column, tiebreaks: tuple[str, ...]) -> list[Column]:
+    """Ascending keys over display, norm and id, of tiebreaks that look for q; an empty q is in all places alike."""
     norm = F.col("norm")
     out = []
+    asked = lambda c: F.when(q != "", c).otherwise(F.lit(0))
     for name in total_order(tiebreaks):
         if name == "index":
             out.append(F.col("id"))
         elif name == "length":
             out.append(F.length("display"))
-        elif not q:
-            out.append(F.lit(0))
         elif name == "begin":
-            out.append(_begin(norm, q))
+            out.append(asked(_begin(norm, q)))
         elif name == "end":
             back = F.reverse(norm)
-            k = F.position(F.lit(q[::-1]), back)
-            out.append(F.when(k > 0, F.octet_length(F.substring(back, F.lit(1), k - 1)).cast("long")).otherwise(F.lit(FAR)))
+            k = F.position(F.reverse(q), back)
+            out.append(asked(F.when(k > 0, F.octet_length(F.substring(back, F.lit(1), k - 1)).cast("long")).otherwise(F.lit(FAR))))
         elif name == "chunk":
             pairs = F.arrays_zip(F.split("display", r"\p{IsWhite_Space}+").alias("own"), F.split(norm, r"\p{IsWhite_Space}+").alias("norm"))
-            held = F.filter(pairs, lambda p: F.contains(p["norm"], F.lit(q)) & (p["own"] != ""))
-            out.append(F.coalesce(F.array_min(F.transform(held, lambda p: F.octet_length(p["own"]).cast("long"))), F.lit(FAR)))
+            held = F.filter(pairs, lambda p: F.contains(p["norm"], q) & (p["own"] != ""))
+            out.append(asked(F.coalesce(F.array_min(F.transform(held, lambda p: F.octet_length(p["own"]).cast("long"))), F.lit(FAR))))
         elif name == "pathname":
             base = F.regexp_extract(norm, r"[^/\\]*\z", 0)
-            inside = F.position(F.lit(q), base) > 0
-            out += [F.when(inside, 0).otherwise(1), F.when(inside, _begin(base, q)).otherwise(_begin(norm, q))]
+            inside = F.position(q, base) > 0
+            out += [asked(F.when(inside, 0).otherwise(1)), asked(F.when(inside, _begin(base, q)).otherwise(_begin(norm, q)))]
     return out
 
 
+def sort_columns(query: str, tiebreaks: tuple[str, ...]) -> list[Column]:
+    """Ascending keys over display, norm and id."""
+    return tie_columns(F.lit(tiebreak_query(query)), tiebreaks)
+
+
+def exact_ranks(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with each row's place from 1 within its group, in an order that leaves no ties, however large a group is.
+
+    Rows are dealt out by ranges of group and order and stored; a row's place is that in its range, and what the group has
+    in earlier ranges. The table of counts has a row for each range and group that meet: about as many as there are
+    ranges and groups.
+    """
+    keys = [f"_order{k}" for k in range(len(order))]
+    keyed = df.withColumns({k: c for k, c in zip(keys, order, strict=True)})
+    dealt = keyed.repartitionByRange(*by, *keys).withColumn("_range", F.spark_partition_id())
+    dealt = stored(dealt, "ranks")
+    counts = dealt.groupBy("_range", *by).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_range", *by, F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*keys))
+    both = dealt.withColumn("_own", own).join(starts, ["_range", *by])
+    return both.select(*df.columns, (F.col("_before") + F.col("_own")).cast("int").alias(name))
+
+
 RESULT = ("id", "display", "score", "key_kind", "key_index")
 
 

@@ -18,7 +18,7 @@ from ..functions.batch import best_column
 from ..functions.languages import BACKENDS, Backend
 from ..functions.normalize import fold, fold_col, normalize
 from . import query as language
-from .rank import RESULT, ranked, sort_columns
+from .rank import RESULT, exact_ranks, ranked, sort_columns
 
 _BEST = "struct<score:bigint,v:int,k:int>"
 
@@ -329,8 +329,9 @@ def search_many(index: DataFrame, queries: dict[str, str], *, config: SearchConf
         found = matches(index, query, config=config, backend=backend)
         parts.append(found.select(F.lit(name).alias("query_id"), *RESULT, _order(query, config).alias("_order")))
     whole = reduce(lambda a, b: a.union(b), parts)
-    out = whole.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_order")))
-    return (out if config.limit is None else out.where(F.col("rank") <= config.limit)).drop("_order")
+    if config.limit is None:
+        return exact_ranks(whole, ["query_id"], [F.col("_order")], "rank").drop("_order")
+    return whole.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_order"))).where(F.col("rank") <= config.limit).drop("_order")
 
 
 def search_with_stats(index: DataFrame, query: str, *, config: SearchConfig = SearchConfig(), backend: Backend = BACKENDS["plain"]) -> tuple[DataFrame, DataFrame]:

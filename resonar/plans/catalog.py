@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig, case_sensitive, parse_tiebreaks
@@ -19,6 +19,7 @@ from ..functions.width import width_col
 from ..operators import fields, index
 from ..operators.explain import explain, highlight
 from ..operators.search import matches, query_variants, register_matcher, search, search_many, search_with_stats
+from ..operators.search_table import search_table
 from ..sources import text
 from ..streaming.live import LiveSearch
 from . import oracles as sql
@@ -146,6 +147,58 @@ def multi_query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_many(_index(spark, sf_dir, "part"), _MANY)
 
 
+# ---- tables of queries: one for each part, over longer texts made from the same table
+_LABELS = "SELECT p_partkey AS id, p_name || '/' || p_brand || '_' || p_partkey AS display FROM part"
+_ASKED = "substr(p_name, 1, 2) || 'B' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0')"
+_RANKED = "query_id, id, display, score, 'Original' AS key_kind, CAST(0 AS INTEGER) AS key_index, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(display), id) AS INTEGER) AS rank"
+
+
+def _parts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat("p_name", F.lit("/"), "p_brand", F.lit("_"), F.col("p_partkey").cast("string"))
+    return index.build_index(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"), text.alias("search_text")))
+
+
+def _asked(spark: SparkSession, sf_dir: str, query: Column) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("query_id"), query.alias("query"))
+
+
+_FUZZY = F.concat(F.substring("p_name", 1, 2), F.lit("B"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"))
+_PAIRS = sql.greedy_pairs(f"SELECT q.p, i.id, i.display FROM (SELECT DISTINCT {_ASKED} AS p FROM part) q, ({_LABELS}) i", 5, "p")
+
+
+def _of_pairs(cut: str) -> str:
+    return f"SELECT {_RANKED} FROM (SELECT p_partkey AS query_id, f.id, f.display, f.score FROM part JOIN ({_PAIRS}) f ON f.p = {_ASKED}){cut}"
+
+
+@_query("query_table_fuzzy", _of_pairs(" QUALIFY rank <= 5"))
+def query_table_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_table(_parts_index(spark, sf_dir), _asked(spark, sf_dir, _FUZZY), config=SearchConfig(limit=5))
+
+
+@_query("query_table_ranks", f"SELECT {_RANKED.replace('query_id', 'p', 1).replace('PARTITION BY query_id', 'PARTITION BY p').replace('p, id', 'p AS query_id, id', 1)} FROM ({_PAIRS})")
+def query_table_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows that each distinct query finds, ranked without a limit."""
+    asked = _asked(spark, sf_dir, _FUZZY).select(F.col("query").alias("query_id"), "query").distinct()
+    return search_table(_parts_index(spark, sf_dir), asked, config=SearchConfig(limit=None))
+
+
+def _typed_sql(k: str, text: str) -> str:
+    return f"CASE WHEN substr(display, {k}, length({text})) = {text} THEN 75 ELSE 0 END"
+
+
+_TERMS_SQL = f"""SELECT {_RANKED} FROM (
+  SELECT query_id, id, display, CAST(11500 - length(display) + {_typed_sql("1", "w1")} + 10000 - 5 * (instr(lower(display), lower(w2)) - 1) - length(display) + {_typed_sql("instr(lower(display), lower(w2))", "w2")} AS BIGINT) AS score
+  FROM (SELECT p_partkey AS query_id, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, p_brand AS no FROM part) q
+  JOIN ({_LABELS}) i ON starts_with(lower(display), lower(w1)) AND instr(lower(display), lower(w2)) > 0 AND instr(lower(display), lower(no)) = 0) QUALIFY rank <= 3"""
+
+
+@_query("query_table_terms", _TERMS_SQL)
+def query_table_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prefix, a word, and a brand that must not occur."""
+    words = F.split("p_name", " ")
+    return search_table(_parts_index(spark, sf_dir), _asked(spark, sf_dir, F.concat(F.lit("^"), words[0], F.lit(" '"), words[1], F.lit(" !"), "p_brand")), config=SearchConfig(limit=3))
+
+
 @_query("optimal_match_set", f"SELECT id FROM ({_source('pages')}) WHERE lower(display) LIKE '%e%x%7%'")
 def optimal_match_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(_index(spark, sf_dir, "pages"), "ex7", config=SearchConfig(algorithm="nucleo")).select("id")

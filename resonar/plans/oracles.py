@@ -20,27 +20,36 @@ def _bonus(q: str) -> str:
 
 def greedy(source: str, pattern: str, case_sensitive: bool = False, add: int = 3500) -> str:
     """SELECT id, display, score of source (id, display)."""
-    chars = list(pattern if case_sensitive else pattern.lower())
+    chars = [quoted(c) for c in (pattern if case_sensitive else pattern.lower())]
+    return _greedy(source, chars, quoted("".join(pattern if case_sensitive else pattern.lower())), quoted(pattern), case_sensitive, add, "")
+
+
+def greedy_pairs(source: str, size: int, carry: str) -> str:
+    """SELECT id, display, score and carry of source (id, display, p and carry), where each row has a pattern p of one size."""
+    return _greedy(source, [f"substr(lower(p), {k}, 1)" for k in range(1, size + 1)], "lower(p)", "p", False, 3500, f"{carry}, ")
+
+
+def _greedy(source: str, chars: list[str], needle: str, pattern: str, case_sensitive: bool, add: int, carry: str) -> str:
     f = "t" if case_sensitive else "lower(t)"
+    kept = f"{carry}p, " if carry else ""
     steps = ["0 AS e0"]
     for k, c in enumerate(chars, 1):
-        find = f"instr(substr(f, e{k - 1} + 1), {quoted(c)})"
+        find = f"instr(substr(f, e{k - 1} + 1), {c})"
         steps.append(f"CASE WHEN e{k - 1} IS NULL OR {find} = 0 THEN NULL ELSE e{k - 1} + {find} END AS e{k}")
     m = len(chars)
     back = [f"e{m} AS q{m}"]
     for k in range(m - 1, 0, -1):
-        back.append(f"q{k + 1} - instr(reverse(substr(f, 1, q{k + 1} - 1)), {quoted(chars[k - 1])}) AS q{k}")
+        back.append(f"q{k + 1} - instr(reverse(substr(f, 1, q{k + 1} - 1)), {chars[k - 1]}) AS q{k}")
     parts = [_bonus(f"q{k}") for k in range(1, m + 1)] + [_bonus("q1")]
     parts += [f"CASE WHEN q{k + 1} - q{k} = 1 THEN 40 ELSE -30 - 10 * (q{k + 1} - q{k} - 2) END" for k in range(1, m)]
     if not case_sensitive:
         typed = " || ".join(f"substr(t, q{k}, 1)" for k in range(1, m + 1))
-        parts.append(f"CASE WHEN {typed} = {quoted(pattern)} THEN 75 ELSE 0 END")
-    needle = quoted("".join(chars))
+        parts.append(f"CASE WHEN {typed} = {pattern} THEN 75 ELSE 0 END")
     parts.append(f"CASE WHEN f = {needle} THEN 10000 WHEN starts_with(f, {needle}) THEN 8000 WHEN instr(f, {needle}) > 0 THEN 6000 ELSE 0 END")
     total = " + ".join(f"({p})" for p in parts)
     return (
-        f"SELECT id, t AS display, CAST({1000 + 160 * m + add} + {total} - 2 * (q1 - 1) - length(t) // 8 AS BIGINT) AS score FROM "
-        f"(SELECT *, {', '.join(back)} FROM (SELECT *, {', '.join(steps)} FROM (SELECT id, display AS t, {f} AS f FROM ({source}))) WHERE e{m} IS NOT NULL)"
+        f"SELECT {carry}id, t AS display, CAST({1000 + 160 * m + add} + {total} - 2 * (q1 - 1) - length(t) // 8 AS BIGINT) AS score FROM "
+        f"(SELECT *, {', '.join(back)} FROM (SELECT *, {', '.join(steps)} FROM (SELECT {kept}id, display AS t, {f} AS f FROM ({source}))) WHERE e{m} IS NOT NULL)"
     )
 
 
