@@ -16,6 +16,7 @@ before. Files are reached through pyarrow's file systems, so any store that pyar
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -24,7 +25,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from . import rans
-from .common import Scratch, binary_column, with_rows
+from .common import Scratch, binary_column, in_chunks, with_rows
 from .wordcache import WordCache
 
 END_ID = 0
@@ -53,33 +53,124 @@ _DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("at", "<u4"), ("tokens", "
 
 # ---- token ids
 #: White space outside ASCII, and control characters that libraries take for white space or not.
-_WIDE_SPACE = regex.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8d\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
+_WIDE_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8d\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
+#: What texts with such white space hold.
+_WIDE_SIGNS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\xef\xbb")
+#: White space that is more than one space or one line end between words.
+_LOOSE_SIGNS = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")
 #: A word with the space before it, or white space that no word takes: the tokenizer never joins over their borders.
-_CHUNKS = regex.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
-_loaded: dict[str, tuple] = {}
+_CHUNKS = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
+#: The tokenizer parts letters from these, where they follow.
+_TAIL = b".,;:!?*%$#&|"
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Words in one call of the library, and words that a worker's caches keep at least.
+_RUN, _HALF = 4096, 400_000
+_loaded: dict[str, _Words] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
+class _Words:
+    """A tokenizer, and the ids of chunks of text already seen: words with the space before them, and white space."""
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        marks = [x.content.encode() for x in own.get_added_tokens_decoder().values()]
+        self.own = own = Tokenizer.from_file(path)
         how = json.loads(own.to_str())
-        by_chunks = how["normalizer"] is None and how["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        _loaded[path] = own, WordCache(), marks, by_chunks
+        self.by_words = how["normalizer"] is None and how["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.marks = [x.content.encode() for x in own.get_added_tokens_decoder().values()]
+        self.cache = WordCache(_HALF)
+        self.opens = np.zeros(max(own.get_vocab().values()) + 1, bool)
+        self.opens[[k for t, k in own.get_vocab().items() if t.startswith("\u0120")]] = True  # stands for a space
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """A space begins a token wherever it follows a word, so that many words go into one text, whose ids are parted
+        where a token begins with a space. Letters are parted from punctuation that ends a word, as the tokenizer does."""
+        cache, tails, stems, bare = self.cache, [], set(), set()
+        for c in chunks:
+            if c[0] != 32 or c.isspace():
+                bare.add(c)
+                continue
+            stem = c.rstrip(_TAIL)
+            if len(stem) < len(c) and stem[-1] in _LETTERS:
+                tails.append((c, stem, c[len(stem) :]))
+                stems.add(stem)
+            else:
+                stems.add(c)
+        bare.update([t for _, _, t in tails])
+        new = cache.lacking(bare)
+        cache.update(zip(new, self.whole(new), strict=True))
+        new = cache.lacking(stems)
+        for k in range(0, len(new), _RUN):
+            some = new[k : k + _RUN]
+            ids = np.array(self.own.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cut = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+            if len(cut) != len(some) + 1:
+                raise ValueError("the tokenizer joins words over spaces")
+            data = ids.tobytes()
+            cache.update({c: data[a:b] for c, a, b in zip(some, cut[:-1], cut[1:], strict=True)})
+        cache.update({c: cache[stem] + cache[tail] for c, stem, tail in tails})
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts of some megabytes: each different chunk is looked up once, and new ones are learnt together."""
+        out: list[bytes | None] = [None] * len(texts)
+        known = [k for k, t in enumerate(texts) if self.by_words and not any(m in t for m in self.marks) and not (any(x in t for x in _WIDE_SIGNS) and _WIDE_SPACE.search(t))]
+        for k in set(range(len(texts))).difference(known):
+            out[k] = self.whole([texts[k]])[0]
+        data = b"".join([texts[k] for k in known])
+        if not data:
+            return [b"" if x is None else x for x in out]
+        ends = np.cumsum([len(texts[k]) for k in known])
+        number = _starts(data, [texts[k] for k in known], ends)
+        edges = pa.py_buffer(np.append(number, len(data)).astype(np.int64))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(number), [None, edges, pa.py_buffer(data)]).dictionary_encode()
+        different = chunks.dictionary.to_pylist()
+        self.cache.turn()
+        self._learn(self.cache.lacking(different))
+        values = [self.cache[c] for c in different]
+        size = np.array([len(v) for v in values]) // 4
+        first = np.cumsum(size) - size
+        which = chunks.indices.to_numpy()
+        count = size[which]
+        after = np.cumsum(count)
+        found = np.frombuffer(b"".join(values), "<u4")[np.repeat(first[which] - (after - count), count) + np.arange(after[-1])].tobytes()
+        # where each text's chunks end
+        last = np.concatenate(([0], after))[np.searchsorted(number, ends)]
+        at = 0
+        for k, end in zip(known, (4 * last).tolist(), strict=True):
+            out[k] = found[at:end]
+            at = end
+        return out
+
+
+def _starts(data: bytes, texts: list[bytes], ends: np.ndarray) -> np.ndarray:
+    """Where chunks begin in texts that are joined: a word with the space before it is one, other white space another."""
+    starts = [(ends - [len(t) for t in texts])[[len(t) > 0 for t in texts]]]
+    loose = np.array([bool(t) and (t[:1].isspace() or t[-1:].isspace() or any(x in t for x in _LOOSE_SIGNS)) for t in texts])
+    points = np.frombuffer(data, np.uint8)
+    space, line = np.flatnonzero(points == 32), np.flatnonzero(points == 10)
+    if loose.any():
+        space, line = (x[~loose[np.searchsorted(ends, x, side="right")]] for x in (space, line))
+        for k in np.flatnonzero(loose):
+            starts.append(ends[k] - len(texts[k]) + np.array([m.start() for m in _CHUNKS.finditer(texts[k])]))
+    out = np.sort(np.concatenate([*starts, space, line, line + 1]), kind="stable")  # of runs in order
+    out = out[out < len(data)]
+    return out[np.diff(out, prepend=-1) > 0]
+
+
+def _tokenizer(path: str) -> _Words:
+    if path not in _loaded:
+        _loaded[path] = _Words(path)
     return _loaded[path]
 
 
 def vocabulary_size(path: str) -> int:
-    return _tokenizer(path)[0].get_vocab_size()
-
-
-def _whole(own, text: bytes) -> bytes:
-    return np.array(own.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    return _tokenizer(path).own.get_vocab_size()
 
 
 def token_ids(path: str, text: bytes) -> bytes:
@@ -88,44 +179,36 @@ def token_ids(path: str, text: bytes) -> bytes:
     A byte-level tokenizer splits before it merges, so words are encoded once each. Texts with an added token, or with
     white space on which libraries may differ, are given to the tokenizer whole.
     """
-    own, cache, marks, by_chunks = _tokenizer(path)
-    if not by_chunks or any(m in text for m in marks) or not text.isascii() and _WIDE_SPACE.search(text) or text.isascii() and any(c in text for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f")):
-        return _whole(own, text)
-    cache.turn()
-    chunks = _CHUNKS.findall(text)
-    out = []
-    for k in range(0, len(chunks), 50_000):
-        some = chunks[k : k + 50_000]
-        try:
-            out.append(b"".join([cache[c] for c in some]))
-        except KeyError:
-            new = cache.lacking(some)
-            for c, e in zip(new, own.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join([cache[c] for c in some]))
-    return b"".join(out)
+    return _tokenizer(path).ids([text])[0]
 
 
-def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian 32-bit) of each document, the end id last, and the columns to carry."""
+def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, carry: tuple[str, ...] = (), kind: str = "<u4") -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian, 32-bit by default) of each document, the end id last, and the columns to carry."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     end = np.array([end_id], "<u4").tobytes()
     kinds = "doc_id long, " + "".join(f"`{c}` {base.schema[c].dataType.simpleString()}, " for c in carry) + "n_tokens long, ids binary"
 
     def run(batches):
+        own = _tokenizer(tokenizer)
         for batch in batches:
-            ids = [token_ids(tokenizer, t) + end for t in binary_column(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", *carry, "n_tokens", "ids"])
+            texts = binary_column(batch)
+            for a, b in in_chunks(texts, 1 << 22):
+                ids = [x + end for x in own.ids(texts[a:b])]
+                kept = [c.slice(a, b - a) for c in (batch.column(0), *batch.columns[2:])]
+                size = pa.array([len(x) // 4 for x in ids], pa.int64())
+                if kind != "<u4":
+                    ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([*kept, size, pa.array(ids, pa.binary())], names=["doc_id", *carry, "n_tokens", "ids"])
 
     return base.mapInArrow(run, kinds)
 
 
-def _counted(size: int):
+def _counted(size: int, kind: str):
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
-                some = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
+                some = np.bincount(np.frombuffer(ids, kind), minlength=len(total))
                 total = some + np.pad(total, (0, len(some) - len(total))) if len(some) > len(total) else total + some
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
@@ -210,8 +293,8 @@ class _FileWriter:
         self.index: list[tuple] = []
         self.at = out.write(_HEADER.pack(b"RTOK", VERSION, table_crc))
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        own = np.frombuffer(ids, "<u4")
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        own = ids.astype("<u4")
         self.docs.append((self.tokens, doc_id is not None, doc_id or 0, len(own)))
         self.ids.append(own)
         self.held += len(own)
@@ -297,8 +380,8 @@ class _Wrote(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, kind: str):
+        self.folder, self.kind = folder, kind
 
     def write(self, batches):
         part = TaskContext.get().partitionId()
@@ -312,7 +395,7 @@ class _Writer(DataSourceArrowWriter):
                     if own is None:
                         out = store.open_output_stream(f"{root}/{name}")
                         own = _FileWriter(out, table, crc)
-                    own.add(doc, ids)
+                    own.add(doc, np.frombuffer(ids, self.kind))
             if own is None:
                 return _Wrote(part, "", 0, 0, 0)
             own.close()
@@ -410,7 +493,7 @@ class TokenSource(DataSource):
         return _Reader(self.options["path"], int(self.options.get("split", SPLIT)))
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], self.options.get("ids", "<u4"))
 
 
 # ---- the operator
@@ -424,9 +507,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     given, row = with_rows(docs, scratch)
-    ids = scratch.save(tokenized(given, tokenizer, end_id=end_id, carry=tuple(row)), "ids")
     size = max(vocabulary_size(tokenizer), end_id + 1)
-    found = ids.select("ids").mapInArrow(_counted(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    ids = scratch.save(tokenized(given, tokenizer, end_id=end_id, carry=tuple(row), kind=kind), "ids")
+    found = ids.select("ids").mapInArrow(_counted(size, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
     counts = np.zeros(max(size, 1 + max(found.column("id").to_pylist(), default=0)), np.int64)
     counts[found.column("id").to_numpy()] = found.column("n").to_numpy()
     if not counts.any():
@@ -439,7 +523,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int =
     spark.dataSource.register(TokenSource)
     by = [F.col("doc_id").asc_nulls_first(), *row]
     ranged = ids.repartitionByRange(1 + int(counts.sum()) // file_tokens, *by).sortWithinPartitions(*by)
-    ranged.select("doc_id", "ids").write.format("token_files").mode("append").save(folder)
+    ranged.select("doc_id", "ids").write.format("token_files").option("ids", kind).mode("append").save(folder)
     scratch.drop(ids)
 
 
