@@ -40,10 +40,10 @@ class Scratch:
         self.count = 0
         _left.append((spark, self.base))
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count:02d}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

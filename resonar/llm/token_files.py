@@ -91,21 +91,17 @@ class _Words:
     def _learn(self, chunks: list[bytes]) -> None:
         """A space begins a token wherever it follows a word, so that many words go into one text, whose ids are parted
         where a token begins with a space. Letters are parted from punctuation that ends a word, as the tokenizer does."""
-        cache, tails, stems, bare = self.cache, [], set(), set()
+        cache, tails, plain, bare = self.cache, [], [], []
         for c in chunks:
-            if c[0] != 32 or c.isspace():
-                bare.add(c)
-                continue
-            stem = c.rstrip(_TAIL)
-            if len(stem) < len(c) and stem[-1] in _LETTERS:
+            if c[0] != 32 or c[1:2].isspace() or len(c) == 1:
+                bare.append(c)
+            elif c[-1] in _TAIL and (stem := c.rstrip(_TAIL))[-1] in _LETTERS:
                 tails.append((c, stem, c[len(stem) :]))
-                stems.add(stem)
             else:
-                stems.add(c)
-        bare.update([t for _, _, t in tails])
-        new = cache.lacking(bare)
+                plain.append(c)
+        new = [*bare, *set(cache.lacking([t for _, _, t in tails])).difference(bare)]
         cache.update(zip(new, self.whole(new), strict=True))
-        new = cache.lacking(stems)
+        new = [*plain, *set(cache.lacking([t for _, t, _ in tails])).difference(plain)]
         for k in range(0, len(new), _RUN):
             some = new[k : k + _RUN]
             ids = np.array(self.own.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -113,13 +109,16 @@ class _Words:
             if len(cut) != len(some) + 1:
                 raise ValueError("the tokenizer joins words over spaces")
             data = ids.tobytes()
-            cache.update({c: data[a:b] for c, a, b in zip(some, cut[:-1], cut[1:], strict=True)})
-        cache.update({c: cache[stem] + cache[tail] for c, stem, tail in tails})
+            cache.update(zip(some, [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True))
+        cache.update([(c, cache[stem] + cache[tail]) for c, stem, tail in tails])
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts of some megabytes: each different chunk is looked up once, and new ones are learnt together."""
         out: list[bytes | None] = [None] * len(texts)
-        known = [k for k, t in enumerate(texts) if self.by_words and not any(m in t for m in self.marks) and not (any(x in t for x in _WIDE_SIGNS) and _WIDE_SPACE.search(t))]
+        signs, marks = _present(texts, _WIDE_SIGNS), _present(texts, self.marks)
+        known = [k for k, t in enumerate(texts) if not (marks and any(m in t for m in marks)) and not (signs and any(x in t for x in signs) and _WIDE_SPACE.search(t))]
+        if not self.by_words:
+            known = []
         for k in set(range(len(texts))).difference(known):
             out[k] = self.whole([texts[k]])[0]
         data = b"".join([texts[k] for k in known])
@@ -133,12 +132,12 @@ class _Words:
         self.cache.turn()
         self._learn(self.cache.lacking(different))
         values = [self.cache[c] for c in different]
-        size = np.array([len(v) for v in values]) // 4
-        first = np.cumsum(size) - size
+        size = np.array(list(map(len, values)), np.int32) // 4
+        first = np.cumsum(size, dtype=np.int32) - size
         which = chunks.indices.to_numpy()
         count = size[which]
-        after = np.cumsum(count)
-        found = np.frombuffer(b"".join(values), "<u4")[np.repeat(first[which] - (after - count), count) + np.arange(after[-1])].tobytes()
+        after = np.cumsum(count, dtype=np.int32)  # of a few megabytes' ids
+        found = np.frombuffer(b"".join(values), "<u4")[np.repeat(first[which] - (after - count), count) + np.arange(after[-1], dtype=np.int32)].tobytes()
         # where each text's chunks end
         last = np.concatenate(([0], after))[np.searchsorted(number, ends)]
         at = 0
@@ -148,10 +147,17 @@ class _Words:
         return out
 
 
+def _present(texts: list[bytes], signs) -> list[bytes]:
+    """Those of signs that some text holds."""
+    whole = b"\x00".join(texts)
+    return [x for x in signs if x in whole]
+
+
 def _starts(data: bytes, texts: list[bytes], ends: np.ndarray) -> np.ndarray:
     """Where chunks begin in texts that are joined: a word with the space before it is one, other white space another."""
     starts = [(ends - [len(t) for t in texts])[[len(t) > 0 for t in texts]]]
-    loose = np.array([bool(t) and (t[:1].isspace() or t[-1:].isspace() or any(x in t for x in _LOOSE_SIGNS)) for t in texts])
+    signs = _present(texts, _LOOSE_SIGNS)
+    loose = np.array([t[:1].isspace() or t[-1:].isspace() or bool(signs) and any(x in t for x in signs) for t in texts])
     points = np.frombuffer(data, np.uint8)
     space, line = np.flatnonzero(points == 32), np.flatnonzero(points == 10)
     if loose.any():
@@ -170,7 +176,7 @@ def _tokenizer(path: str) -> _Words:
 
 
 def vocabulary_size(path: str) -> int:
-    return _tokenizer(path).own.get_vocab_size()
+    return len(_tokenizer(path).opens)
 
 
 def token_ids(path: str, text: bytes) -> bytes:
@@ -192,7 +198,7 @@ def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, carry: t
         own = _tokenizer(tokenizer)
         for batch in batches:
             texts = binary_column(batch)
-            for a, b in in_chunks(texts, 1 << 22):
+            for a, b in in_chunks(texts, 1 << 23):
                 ids = [x + end for x in own.ids(texts[a:b])]
                 kept = [c.slice(a, b - a) for c in (batch.column(0), *batch.columns[2:])]
                 size = pa.array([len(x) // 4 for x in ids], pa.int64())
@@ -509,7 +515,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int =
     given, row = with_rows(docs, scratch)
     size = max(vocabulary_size(tokenizer), end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    ids = scratch.save(tokenized(given, tokenizer, end_id=end_id, carry=tuple(row), kind=kind), "ids")
+    ids = scratch.save(tokenized(given, tokenizer, end_id=end_id, carry=tuple(row), kind=kind), "ids", "zstd")
     found = ids.select("ids").mapInArrow(_counted(size, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
     counts = np.zeros(max(size, 1 + max(found.column("id").to_pylist(), default=0)), np.int64)
     counts[found.column("id").to_numpy()] = found.column("n").to_numpy()
