@@ -213,9 +213,9 @@ def _counted(size: int, kind: str):
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                some = np.bincount(np.frombuffer(ids, kind), minlength=len(total))
-                total = some + np.pad(total, (0, len(some) - len(total))) if len(some) > len(total) else total + some
+            ids = [x for x in batch.column(0).to_pylist() if x]
+            for a, b in in_chunks(ids, 1 << 23):  # the counts are as long as the vocabulary
+                total += np.bincount(np.frombuffer(b"".join(ids[a:b]), kind), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
@@ -517,7 +517,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int =
     kind = "<u2" if size <= 1 << 16 else "<u4"
     ids = scratch.save(tokenized(given, tokenizer, end_id=end_id, carry=tuple(row), kind=kind), "ids", "zstd")
     found = ids.select("ids").mapInArrow(_counted(size, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
-    counts = np.zeros(max(size, 1 + max(found.column("id").to_pylist(), default=0)), np.int64)
+    counts = np.zeros(size, np.int64)
     counts[found.column("id").to_numpy()] = found.column("n").to_numpy()
     if not counts.any():
         counts[end_id] = 1
