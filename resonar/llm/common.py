@@ -54,6 +54,11 @@ class Scratch:
             _delete(self.spark, df._scratch_path)
 
 
+    def clear(self) -> None:
+        """Deletes all of its tables."""
+        _delete(self.spark, self.base)
+
+
 _left: list[tuple[SparkSession, str]] = []
 
 

@@ -2,9 +2,10 @@
 
 Each pass sorts the vectors of each label by the bits of random projections. A window is a run of neighbours with equal
 leading bits, as long a prefix as its region's density asks for, so that no window holds more than `window` vectors; all
-pairs in a window are compared. How deep a vector's window is says how likely a link at exactly the threshold would be
-missed there; a vector goes on to further passes until that chance, over all its passes, is below `miss`. What is still
-above it after `most` passes is compared in blocks, so nothing is left to chance in regions that no projection parts.
+pairs in a window are compared. How far a vector lies from the planes that bound its window says how likely one at exactly
+the threshold falls on the other side of one of them; a vector goes on to further passes until that chance, over all its
+passes, is below `miss`. What is still above it after `most` passes is compared in blocks, so nothing is left to chance in
+regions that no projection parts.
 
 Vectors travel as 16-bit integers with a bound of their error; only pairs within the bound are looked up in the stored
 vectors. A vector with very many links in one window is counted against its whole component instead, block by block, and
@@ -28,7 +29,7 @@ from .graph import components
 
 COSINE = 0.98
 #: Most vectors of a window; the chance that a link may be missed; passes after which blocks take over.
-WINDOW, MISS, MOST = 4096, 1e-3, 64
+WINDOW, MISS, MOST = 4096, 1e-4, 64
 #: Links in one window beyond which a vector is counted against its component.
 MANY = 64
 #: Vectors on one side of a block of pairs.
@@ -80,6 +81,23 @@ def _decode(codes: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(raw[:, 8:]).view("<i2") * (top / 32767)
 
 
+def _planes(seed: int, size: int, turn: int) -> np.ndarray:
+    return np.random.default_rng([seed, size, turn]).standard_normal((size, BITS))
+
+
+def _misses(unit: np.ndarray, planes: np.ndarray, cosine: float) -> np.ndarray:
+    """The chance that a vector at the threshold from each row is parted from it by some of the planes.
+
+    Its projection is `cosine` of the row's own and, at right angles, a normal part of any direction.
+    """
+    if not planes.shape[1]:
+        return np.full(len(unit), 1e-12)
+    x = np.abs(unit @ planes) * (cosine / math.sqrt(2 * (1 - cosine * cosine)))
+    t = 1 / (1 + 0.3275911 * x)  # half the complementary error function, by a well-known polynomial
+    tail = 0.5 * np.exp(-x * x) * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return np.clip(-np.expm1(np.log1p(-np.minimum(tail, 0.5)).sum(axis=1)), 1e-12, 1)
+
+
 def _project(first: int, passes: int, seed: int):
     """(pass, label, size, key, node): the sign bits of random projections, the first one highest."""
 
@@ -93,7 +111,7 @@ def _project(first: int, passes: int, seed: int):
                 own = np.flatnonzero(sizes == size)
                 x = _decode(codes.take(pa.array(own)).to_pylist())
                 if size not in planes:
-                    planes[size] = np.stack([np.random.default_rng([seed, size, first + k]).standard_normal((size, BITS)) for k in range(passes)])
+                    planes[size] = np.stack([_planes(seed, size, first + k) for k in range(passes)])
                 for k in range(passes):
                     use = turns[own] > k
                     some = own[use]
@@ -186,24 +204,30 @@ def _in_window(node, unit, error, cosine: float, limit: int):
     return [(np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), flag) for a, b, flag in out if len(a)], many
 
 
-def _compare(cosine: float, limit: int):
+def _compare(cosine: float, limit: int, seed: int):
     """Pairs of each window, and for each of its vectors (b null) whether it has very many and the chance of a miss there."""
-    agree = 1 - math.acos(cosine) / math.pi
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        planes: dict[tuple[int, int], np.ndarray] = {}
 
         def window():
             rows = pa.Table.from_batches(held).combine_chunks()
             node = rows.column("node").to_numpy()
+            unit = _decode(rows.column("code").to_pylist())
             pairs, many = [], np.zeros(len(node), bool)
             if len(node) > 1:
-                pairs, many = _in_window(node, _decode(rows.column("code").to_pylist()), rows.column("error").to_numpy(), cosine, limit)
+                pairs, many = _in_window(node, unit, rows.column("error").to_numpy(), cosine, limit)
             for a, b, flag in pairs:
                 for k in range(0, len(a), 1 << 16):
                     yield _found(a[k : k + (1 << 16)], b[k : k + (1 << 16)], flag, None, None)
-            miss = 1.0 if rows.column("cut")[0].as_py() else 1 - agree ** rows.column("depth")[0].as_py()
-            yield _found(node, None, None, many, max(miss, 1e-12))
+            miss = 1.0
+            if not rows.column("cut")[0].as_py():
+                turn, depth = rows.column("pass")[0].as_py(), rows.column("depth")[0].as_py()
+                if (turn, unit.shape[1]) not in planes:
+                    planes[turn, unit.shape[1]] = _planes(seed, unit.shape[1], turn)
+                miss = _misses(unit, planes[turn, unit.shape[1]][:, :depth], cosine)
+            yield _found(node, None, None, many, miss)
 
         last = None
         for batch in batches:
@@ -245,19 +269,22 @@ def _blocks(rows: DataFrame, group: list[str], block: int) -> DataFrame:
 
 
 def _counted(cosine: float):
-    """(node, links): of each asking row, how many rows of the block it links with."""
+    """(node, links): of each asking row, how many rows of the block it links with; of each other row, how many asking ones."""
 
     def run(table: pa.Table) -> pa.Table:
         side, node, count = (table.column(c).to_numpy() for c in ("side", "node", "count"))
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(x) or not len(y):
             return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
         unit = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(node), -1))
-        links = np.zeros(len(x), np.int64)
+        links, back = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
         for k in range(0, len(x), 512):
             near = (unit[x[k : k + 512]] @ unit[y].T >= cosine) & (node[x[k : k + 512], None] != node[None, y])
             links[k : k + 512] = near @ count[y]
-        return pa.table({"node": node[x], "links": links})
+            back += count[x[k : k + 512]] @ near
+        other = np.flatnonzero((back > 0) & ~asks[y])
+        return pa.table({"node": np.concatenate((node[x], node[y[other]])), "links": np.concatenate((links, back[other]))})
 
     return run
 
@@ -306,7 +333,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, window: int = WI
     null, empty, zero or holds a null or a non-finite component, or whose label is null, links with nothing. n_links
     counts rows, so repeated vectors count each. Rows with equal or null vec_id are vectors of their own; ties in the
     projections share a window or its blocks. Other columns, of any name, are ignored; an empty table gives an empty
-    table. A link is missed with a chance of `miss` at most, as estimated from the depths of its vectors' windows; labels
+    table. A link is missed with a chance of `miss` at most, by the distances of its vectors from their windows' planes; labels
     of up to `window` different vectors lose none.
     """
     spark = vectors.sparkSession
@@ -326,10 +353,12 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, window: int = WI
         step = active.agg(F.max("passes")).first()[0]
         if not step:
             break
-        keys = scratch.save(active.select("label", "size", "node", "code", "passes").mapInArrow(_project(at, step, seed), "pass int, label long, size int, key long, node long"), "keys")
-        spots = _windows(keys, window, scratch).join(coded.select("node", "code", "error"), "node")
+        turn = Scratch(spark, "vector-passes")
+        keys = turn.save(active.select("label", "size", "node", "code", "passes").mapInArrow(_project(at, step, seed), "pass int, label long, size int, key long, node long"), "keys")
+        spots = _windows(keys, window, turn).join(coded.select("node", "code", "error"), "node")
         order = ["pass", "label", "size", "depth", "start", "block"]
-        got = scratch.save(spots.select(*order, "cut", "node", "code", "error").repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(cosine, many), _FOUND), "found")
+        got = scratch.save(spots.select(*order, "cut", "node", "code", "error").repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(cosine, many, seed), _FOUND), "found")
+        turn.clear()
         found = got if found is None else found.union(got)
         seen = got.where("b is null").select(F.col("a").alias("node"), F.log("miss").alias("lost"))
         chance = seen if chance is None else chance.union(seen)
@@ -364,11 +393,12 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, window: int = WI
     exact = scratch.save(exact, "dense")
     count = comp.select("node", "count")
     both = links.select("a", "b").union(links.select("b", "a"))
-    listed = both.join(crowded.select(F.col("node").alias("a")), "a", "left_anti")
+    # and so are their links at the other end
+    listed = both.join(crowded.select(F.col("node").alias("a")), "a", "left_anti").join(crowded.select(F.col("node").alias("b")), "b", "left_anti")
     listed = listed.join(count.select(F.col("node").alias("b"), "count"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("count").alias("plain"))
     least = comp.groupBy("component").agg(F.min("least").alias("component_id"))
     known = comp.join(listed, "node", "left").join(exact, "node", "left").join(least, "component")
-    known = known.select("node", (F.coalesce("links", "plain", F.lit(0)) + F.col("count") - 1).cast("long").alias("n_links"), "component_id")
+    known = known.select("node", (F.coalesce("links", F.lit(0)) + F.coalesce("plain", F.lit(0)) + F.col("count") - 1).cast("long").alias("n_links"), "component_id")
     return _named(rows, grouped.select("label", "size", "digest", "node").join(known, "node"))
 
 
