@@ -24,13 +24,17 @@ class Backend:
     zh_initials: bool = True
     #: Readings of Chinese characters; build_index() puts in chinese.full_table() where there are none.
     zh_table: dict[str, list[str]] | None = field(default=None, hash=False, compare=False, repr=False)
+    #: Reads runs of kanji, with readings; the small lexicon where there is none.
+    tokenizer: japanese.Tokenizer | None = field(default=None, hash=False, compare=False, repr=False)
+    #: Readings of Chinese phrases, for polyphone "phrase".
+    zh_phrases: chinese.Phrases | None = field(default=None, hash=False, compare=False, repr=False)
     ko_families: frozenset[str] = frozenset({"romanized", "initials", "keyboard"})
 
     def keys(self, text: str, config: SearchConfig) -> list[Key]:
         most, budget = config.max_search_keys_per_candidate, config.max_total_key_bytes_per_candidate
-        ja = japanese.keys(text, most, budget, self.readings) if self.name in ("ja", "all") else []
+        ja = japanese.keys(text, most, budget, self.readings, self.tokenizer) if self.name in ("ja", "all") else []
         ko = korean.keys(text, most, budget, self.ko_families) if self.name in ("ko", "all") and len(text.encode()) <= budget else []
-        zh = chinese.keys(text, most, budget, self.polyphone, self.zh_initials, self.zh_table) if self.name in ("zh", "all") else []
+        zh = chinese.keys(text, most, budget, self.polyphone, self.zh_initials, self.zh_table, self.zh_phrases) if self.name in ("zh", "all") else []
         if self.name != "all":
             return ja + ko + zh
         zh.sort(key=lambda k: k.kind != "PinyinInitials")

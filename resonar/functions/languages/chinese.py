@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import ahocorasick
+
 from ..normalize import normalize
 from .mapped import Key, KeyList, join
 
@@ -20,6 +22,52 @@ READINGS_TABLE = {
 }
 
 
+# Phrases in which a character of several readings has one, for polyphone "phrase".
+PHRASES = {
+    "重庆": ["chong", "qing"], "重要": ["zhong", "yao"], "重复": ["chong", "fu"], "银行": ["yin", "hang"], "行走": ["xing", "zou"], "行业": ["hang", "ye"], "长大": ["zhang", "da"], "长江": ["chang", "jiang"], "校长": ["xiao", "zhang"],
+    "音乐": ["yin", "yue"], "快乐": ["kuai", "le"], "会计": ["kuai", "ji"], "会议": ["hui", "yi"], "都市": ["du", "shi"], "首都": ["shou", "du"], "了解": ["liao", "jie"], "还书": ["huan", "shu"], "还有": ["hai", "you"],
+    "厦门": ["xia", "men"], "大厦": ["da", "sha"], "目的": ["mu", "di"], "和平": ["he", "ping"], "西藏": ["xi", "zang"], "收藏": ["shou", "cang"], "银行行长": ["yin", "hang", "hang", "zhang"], "调查": ["diao", "cha"], "调整": ["tiao", "zheng"],
+}
+
+
+class Phrases:
+    """Readings of phrases, one for each character, found by an Aho-Corasick automaton: from the left, the longest first."""
+
+    def __init__(self, readings: dict[str, list[str]]):
+        self.readings = {k: list(v) for k, v in readings.items() if k}
+        for phrase, own in self.readings.items():
+            if len(own) != len(phrase):
+                raise ValueError(f"{phrase!r} has {len(phrase)} characters and {len(own)} readings")
+        self.automaton = ahocorasick.Automaton()
+        for phrase in self.readings:
+            self.automaton.add_word(phrase, phrase)
+        if self.readings:
+            self.automaton.make_automaton()
+
+    def __reduce__(self):
+        return Phrases, (self.readings,)
+
+    def find(self, text: str) -> dict[int, list[str]]:
+        """Where phrases start, and their readings."""
+        if not self.readings:
+            return {}
+        return {end + 1 - len(phrase): self.readings[phrase] for end, phrase in self.automaton.iter_long(text)}
+
+
+@lru_cache(maxsize=1)
+def default_phrases() -> Phrases:
+    return Phrases(PHRASES)
+
+
+#: The phrase that is known in every mode.
+ALWAYS = {"重庆": PHRASES["重庆"]}
+
+
+@lru_cache(maxsize=1)
+def _always() -> Phrases:
+    return Phrases(ALWAYS)
+
+
 @lru_cache(maxsize=4)
 def readings_from_jvm(spark, chars: str) -> dict[str, list[str]]:
     """First readings of characters by the transliterator that ships with Spark; one call on the driver."""
@@ -48,21 +96,23 @@ def full_table(spark) -> dict[str, list[str]]:
     return found | READINGS_TABLE
 
 
-def keys(text: str, most: int = 8, budget: int = 1024, polyphone: str = "common", initials: bool = True, table: dict[str, list[str]] | None = None) -> list[Key]:
+def keys(text: str, most: int = 8, budget: int = 1024, polyphone: str = "common", initials: bool = True, table: dict[str, list[str]] | None = None, phrases: Phrases | None = None) -> list[Key]:
     """Keys of the characters that have a reading; others leave no trace.
 
-    polyphone `none` uses first readings only; otherwise each further reading replaces one character's at a time. A key
+    polyphone `none` uses first readings only; otherwise each further reading replaces one character's at a time. With
+    `phrase`, characters of a known phrase have the phrase's readings alone. A key
     with a space is PinyinFull; one no longer than the text counts as PinyinInitials, others as PinyinJoined.
     """
     if not text or most <= 0 or budget <= 0:
         return []
     table = READINGS_TABLE if table is None else table
     found: list[tuple[list[str], tuple[int, int]]] = []
+    held = ((phrases or default_phrases()) if polyphone == "phrase" else _always()).find(text)
     k = 0
     while k < len(text):
-        if text.startswith("重庆", k):
-            found += [(["chong"], (k, k + 1)), (["qing"], (k + 1, k + 2))]
-            k += 2
+        if k in held:
+            found += [([r], (k + j, k + j + 1)) for j, r in enumerate(held[k])]
+            k += len(held[k])
             continue
         if own := table.get(text[k]):
             found.append((list(dict.fromkeys(own))[: 1 if polyphone == "none" else READINGS], (k, k + 1)))

@@ -247,18 +247,46 @@ def _is_japanese(c: str) -> bool:
     return has_kana(c) or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or c in "ー々〆〇" or c.isdigit()
 
 
+def runs_of(source: str) -> list[tuple[int, int]]:
+    """Where runs of Japanese characters start and end."""
+    out, k = [], 0
+    while k < len(source):
+        end = k
+        while end < len(source) and _is_japanese(source[end]):
+            end += 1
+        if end > k:
+            out.append((k, end))
+        k = max(end, k + 1)
+    return out
+
+
+def _sources(text: str) -> list[tuple[str, list[Span]]]:
+    """The text with its digits read as numerals, where it has such, and as it is."""
+    own: list[Span] = [(k, k + 1) for k in range(len(text))]
+    got = kanji_numerals(text)
+    return [got, (text, own)] if got else [(text, own)]
+
+
+def has_kanji(text: str) -> bool:
+    return any("㐀" <= c <= "鿿" for c in text)
+
+
+def runs_to_read(text: str) -> set[str]:
+    """The runs that kanji_keys will ask a tokenizer for."""
+    return {source[a:b] for source, _ in _sources(text) for a, b in runs_of(source)} if has_kanji(text) else set()
+
+
 def _read(source: str, spans: list[Span], tokenizer: Tokenizer) -> list[list[list[tuple[str, Span]]]] | None:
     """The choices of each piece of source, as lists of (kana, span); None where a run of Japanese cannot be read."""
     options: list[list[list[tuple[str, Span]]]] = []
+    ends = dict(runs_of(source))
     k = 0
     while k < len(source):
-        end = k
-        while end < len(source) and _is_japanese(source[end]):
-            end += 1
-        if end == k:
+        if k not in ends:
             options.append([[(source[k], spans[k])]])
             k += 1
             continue
+        end = ends[k]
         for _, readings, a, b in tokenizer(source[k:end]):
             if not readings:
                 return None
@@ -274,12 +302,9 @@ def kanji_keys(text: str, tokenizer: Tokenizer, most: int = 8, budget: int = 102
     Digits are read as numerals; a further reading keeps them as they are, so that 8月 is found by both hachigatsu and
     8gatsu.
     """
-    if not any("㐀" <= c <= "鿿" for c in text):
+    if not has_kanji(text):
         return []
-    own: list[Span] = [(k, k + 1) for k in range(len(text))]
-    sources = [(text, own)]
-    if got := kanji_numerals(text):
-        sources.insert(0, got)
+    sources = _sources(text)
     out: list[Key] = []
     for source, spans in sources:
         options = _read(source, spans, tokenizer)

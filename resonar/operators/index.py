@@ -5,19 +5,23 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KEY_WEIGHTS, SearchConfig
-from ..functions.languages import BACKENDS, Backend, chinese
+from ..functions.languages import BACKENDS, Backend, chinese, japanese
 from ..functions.languages.backends import cap_keys
 from ..functions.languages.mapped import Key
 from ..functions.normalize import fold_col, is_ascii, normalize, normalize_col
+from ..shared import stored
 
 SPAN = "struct<start_char:int,end_char:int>"
 #: Keys other than the text and its normal form; norm is the key's own normal form.
 EXTRA = f"array<struct<text:string,kind:string,weight:int,norm:string,source_map:array<{SPAN}>>>"
+_SPAN_TYPE = pa.struct([("start_char", pa.int32()), ("end_char", pa.int32())])
+_KEY_TYPE = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.string()), ("weight", pa.int32()), ("norm", pa.string()), ("source_map", pa.list_(_SPAN_TYPE))]))
 INDEX = f"id long, display string, norm string, case_fold_only boolean, keys {EXTRA}"
 
 
@@ -72,6 +76,54 @@ def build_index(items: DataFrame, text: str = "search_text", *, id: str = "id",
     return base.select("id", "display", "norm", (fold_col(own) == F.col("norm")).alias("case_fold_only"), "keys")
 
 
+def _runs(batches):
+    for batch in batches:
+        rows = [(k, run) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for run in sorted(japanese.runs_to_read(text))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["row", "run"])
+
+
+_WORDS = "array<struct<surface:string,readings:array<string>,start:int,end:int>>"
+
+
+def _read_once(tokenizer):
+    def run(batches):
+        kind = pa.list_(pa.struct([("surface", pa.string()), ("readings", pa.list_(pa.string())), ("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            words = [[dict(zip(("surface", "readings", "start", "end"), w, strict=True)) for w in tokenizer(text)] for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, kind)], names=["run", "words"])
+
+    return run
+
+
+def build_index_by_runs(items: DataFrame, text: str = "search_text", *, id: str = "id", backend: Backend, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """build_index for a backend with readings, where the tokenizer is called once for each different run of the table.
+
+    Runs are taken out of the texts, made distinct by a shuffle, read, and joined back by what they are. A run that a third
+    of the rows hold is one row of the read side, and its rows are split by the adaptive join. Rows are told apart by a number of
+    their own, so ids may repeat.
+    """
+    if backend.name in ("zh", "all") and backend.zh_table is None:
+        backend = replace(backend, zh_table=chinese.full_table(items.sparkSession))
+    given = stored(items.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), F.col(text).alias("display")), "runs")
+    some = given.where(~is_ascii(F.col("display")))
+    held = some.select("row", "display").mapInArrow(_runs, "row long, run string")
+    read = held.select("run").distinct().mapInArrow(_read_once(backend.tokenizer or japanese.default_tokenizer()), f"run string, words {_WORDS}")
+    per_row = held.join(read, "run").groupBy("row").agg(F.collect_list(F.struct("run", "words")).alias("runs"))  # of one text
+    kind = f"row long, keys {EXTRA}"
+
+    def keys(batches):
+        for batch in batches:
+            out = []
+            for own, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                known = {r["run"]: [(w["surface"], w["readings"], w["start"], w["end"]) for w in r["words"]] for r in runs or ()}
+                out.append([_row(k) for k in extra_keys_of(own, replace(backend, tokenizer=known.__getitem__), config)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _KEY_TYPE)], names=["row", "keys"])
+
+    made = some.select("row", "display").join(per_row, "row", "left").select("row", "display", "runs").mapInArrow(keys, kind)
+    both = given.join(made, "row", "left").withColumn("norm", normalize_col(F.col("display"))).withColumn("keys", F.coalesce("keys", F.array().cast(EXTRA)))
+    return both.select("id", "display", "norm", (fold_col(F.col("display")) == F.col("norm")).alias("case_fold_only"), "keys")
+
+
 def apply_aliases(index: DataFrame, items: DataFrame, aliases: DataFrame, *, config: SearchConfig = SearchConfig(), first_only: bool = True) -> DataFrame:
     """Adds a LearnedAlias key where an alias's display equals a row's original, display or search text.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -13,13 +12,15 @@ from pyspark.sql import functions as F
 from ..config import SearchConfig, case_sensitive, parse_tiebreaks
 from ..functions import normalize as norm
 from ..functions import optimal, scorers
-from ..functions.languages import BACKENDS, Backend, backend_for, chinese, detect_language_of, japanese, korean
+from ..functions import sql as sql_functions
+from ..functions.languages import BACKENDS, Backend, backend_for, chinese, detect_language_of, japanese, korean, lattice
 from ..functions.languages.mapped import Key
 from ..functions.width import width_col
 from ..operators import fields, index
 from ..operators.explain import explain, highlight
 from ..operators.search import matches, query_variants, register_matcher, search, search_many, search_with_stats
 from ..operators.search_table import search_table
+from ..shared import shared_folder
 from ..sources import text
 from ..streaming.live import LiveSearch
 from . import oracles as sql
@@ -55,6 +56,12 @@ def _query(name: str, oracle: str | None = None):
     return add
 
 
+def _sql(spark: SparkSession, sf_dir: str, query: str, *tables: str, **frames: DataFrame) -> DataFrame:
+    """SQL text over tables of the folder and frames, named in braces, with the functions of this package."""
+    sql_functions.register(spark)
+    return spark.sql(query, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}, **frames)
+
+
 def _search(name: str, table: str, query: str, config: SearchConfig, oracle: str | None) -> None:
     _query(name, oracle)(lambda spark, d: search(_index(spark, d, table), query, config=config))
 
@@ -87,9 +94,12 @@ _search("case_respect", "customer", "cus1", ALL.with_case("cus1", "respect"), sq
 _search("case_smart", "customer", "Cus1", ALL.with_case("Cus1", "smart"), sql.ordered(sql.greedy(_source("customer"), "Cus1", True), _BY_LENGTH, None))
 
 
-@_query("smart_case_policy", "SELECT * FROM (VALUES ('read', FALSE), ('Read', TRUE), ('rEAD', TRUE), ('1-2', FALSE)) v(query, case_sensitive)")
+_TYPED = "CASE WHEN p_partkey % 3 = 0 THEN upper(substr(p_name, 1, 1)) || substr(p_name, 2) ELSE p_name END"
+
+
+@_query("smart_case_policy", f"SELECT p_partkey AS id, {_TYPED} AS query, p_partkey % 3 = 0 AS case_sensitive FROM part")
 def smart_case_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(q, case_sensitive(q, "smart")) for q in ("read", "Read", "rEAD", "1-2")], "query string, case_sensitive boolean")
+    return _sql(spark, sf_dir, f"SELECT p_partkey AS id, {_TYPED} AS query, is_case_sensitive({_TYPED}, 'smart') AS case_sensitive FROM {{part}}", "part")
 
 
 # ---- extended queries
@@ -162,7 +172,10 @@ def _asked(spark: SparkSession, sf_dir: str, query: Column) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("query_id"), query.alias("query"))
 
 
-_FUZZY = F.concat(F.substring("p_name", 1, 2), F.lit("B"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"))
+def _fuzzy_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir, F.concat(F.substring("p_name", 1, 2), F.lit("B"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0")))
+
+
 _PAIRS = sql.greedy_pairs(f"SELECT q.p, i.id, i.display FROM (SELECT DISTINCT {_ASKED} AS p FROM part) q, ({_LABELS}) i", 5, "p")
 
 
@@ -172,13 +185,13 @@ def _of_pairs(cut: str) -> str:
 
 @_query("query_table_fuzzy", _of_pairs(" QUALIFY rank <= 5"))
 def query_table_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_table(_parts_index(spark, sf_dir), _asked(spark, sf_dir, _FUZZY), config=SearchConfig(limit=5))
+    return search_table(_parts_index(spark, sf_dir), _fuzzy_asked(spark, sf_dir), config=SearchConfig(limit=5))
 
 
 @_query("query_table_ranks", f"SELECT {_RANKED.replace('query_id', 'p', 1).replace('PARTITION BY query_id', 'PARTITION BY p').replace('p, id', 'p AS query_id, id', 1)} FROM ({_PAIRS})")
 def query_table_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows that each distinct query finds, ranked without a limit."""
-    asked = _asked(spark, sf_dir, _FUZZY).select(F.col("query").alias("query_id"), "query").distinct()
+    asked = _fuzzy_asked(spark, sf_dir).select(F.col("query").alias("query_id"), "query").distinct()
     return search_table(_parts_index(spark, sf_dir), asked, config=SearchConfig(limit=None))
 
 
@@ -271,10 +284,12 @@ def alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.get("keys", F.lit(0))["text"].alias("alias"))
 
 
-@_query("ansi_strip", "SELECT * FROM (VALUES (1, 'red'), (2, 'plain'), (3, 'ab'), (4, 'x')) v(id, out)")
+@_query("ansi_strip", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 3 THEN 'x' ELSE p_name END AS out FROM part")
 def ansi_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "\x1b[31mred\x1b[0m"), (2, "plain"), (3, "a\x1bb"), (4, "x\x1b[12")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", norm.strip_ansi_col(F.col("text")).alias("out"))
+    esc, id = F.lit("\x1b"), F.col("p_partkey")
+    text = F.when(id % 4 == 0, F.concat(esc, F.lit("[3"), (id % 8).cast("string"), F.lit("m"), "p_name", esc, F.lit("[0m"))).when(id % 4 == 1, F.col("p_name"))
+    text = text.when(id % 4 == 2, F.concat(F.substring("p_name", 1, 2), esc, F.expr("substring(p_name, 3)"))).otherwise(F.concat(F.lit("x"), esc, F.lit("[1"), (id % 10).cast("string")))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(id.alias("id"), norm.strip_ansi_col(text).alias("out"))
 
 
 # ---- normalisation and languages
@@ -288,25 +303,9 @@ def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), norm.normalize_col(F.col("text")).alias("norm"))
 
 
-_CJK = ["한글.txt", "カメラ", "北京大学", "ｶﾒﾗー１", "ＡＢＣ‐x", "İΑΣ"]
-
-
-@_query("normalize_cjk", "SELECT * FROM (VALUES ('한글.txt', '한글.txt', '한글.txt', FALSE), ('カメラ', 'カメラ', 'かめら', TRUE), ('北京大学', '北京大学', '北京大学', FALSE), ('ｶﾒﾗー１', 'カメラ-1', 'ｶﾒﾗー１', FALSE), ('ＡＢＣ‐x', 'abc-x', 'ＡＢＣ‐x', FALSE), ('İΑΣ', 'i̇ας', 'İΑΣ', FALSE)) v(text, norm, hiragana, kana)".replace("i̇ας", "i̇ασ"))
-def normalize_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return spark.createDataFrame([(x,) for x in _CJK], "text string").select("text", norm.normalize_col(t).alias("norm"), norm.to_hiragana_col(t).alias("hiragana"), norm.has_kana_col(t).alias("kana"))
-
-
-@_query("korean_keys", "SELECT * FROM (VALUES ('한글', 'hangeul', 'han geul', 'ㅎㄱ', 'gksrmf'), ('한국.md', 'hanguk', 'han guk', 'ㅎㄱ', 'gksrnr'), ('abc', '', '', '', '')) v(text, joined, spaced, initials, typed)")
-def korean_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return spark.createDataFrame([("한글",), ("한국.md",), ("abc",)], "text string").select("text", korean.romanized_col(t).alias("joined"), korean.romanized_col(t, " ").alias("spaced"), korean.initials_col(t).alias("initials"), korean.keyboard_col(t).alias("typed"))
-
-
-def _keys_table(spark: SparkSession, texts: list[str], backend, config: SearchConfig = ALL) -> DataFrame:
-    items = spark.createDataFrame(list(enumerate(texts)), "id long, search_text string")
+def _keys_table(items: DataFrame, backend, config: SearchConfig = ALL) -> DataFrame:
     own = index.build_index(items, backend=backend, config=config)
-    return own.select("display", F.posexplode(F.transform("keys", lambda k: F.struct(k["text"].alias("text"), k["kind"].alias("kind")))).alias("pos", "k")).select("display", "pos", F.col("k.text").alias("text"), F.col("k.kind").alias("kind"))
+    return own.select("id", "display", F.posexplode(F.transform("keys", lambda k: F.struct(k["text"].alias("text"), k["kind"].alias("kind")))).alias("pos", "k")).select("id", "display", "pos", F.col("k.text").alias("text"), F.col("k.kind").alias("kind"))
 
 
 def _values(columns: str, rows: list[tuple]) -> str:
@@ -314,45 +313,6 @@ def _values(columns: str, rows: list[tuple]) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({columns})"
 
 
-@_query("chinese_keys", _values("display, pos, text, kind", [("北京地铁", 0, "bei jing di tie", "PinyinFull"), ("北京地铁", 1, "beijingditie", "PinyinJoined"), ("北京地铁", 2, "bjdt", "PinyinInitials"), ("重庆", 0, "chong qing", "PinyinFull"), ("重庆", 1, "chongqing", "PinyinJoined"), ("重庆", 2, "cq", "PinyinInitials")]))
-def chinese_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keys_table(spark, ["北京地铁", "重庆", "notes.txt"], backend_for("zh", polyphone="none"))
-
-
-@_query("japanese_keys", _values("display, pos, text, kind", [("カメラ.txt", 0, "かめら.txt", "KanaReading"), ("カメラ.txt", 1, "kamera.txt", "RomajiReading"), ("コード", 0, "こ-ど", "KanaReading"), ("コード", 1, "ko-do", "RomajiReading")]))
-def japanese_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keys_table(spark, ["カメラ.txt", "コード", "notes"], BACKENDS["ja"])
-
-
-@_query("romaji_variants", _values("query, kana", [("shinjuku", "しんじゅく"), ("kamera", "かめら"), ("tokyo", "ときょ"), ("tokyo", "とうきょう"), ("hachigatsu", "はちがつ")]))
-def romaji_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(q, k) for q in ("shinjuku", "kamera", "tokyo", "hachigatsu") for k in japanese.romaji_to_kana(q, 16)], "query string, kana string")
-
-
-@_query("query_variants", _values("v_idx, text, kind, weight", [(0, "bjdx", "Original", 500), (1, "bjdx", "Initials", 250)]))
-def variants_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_variants(spark, "bjdx", backend=BACKENDS["zh"])
-
-
-_SOUNDS = [("ko", "hangeul", ["한글.txt", "notes.txt"]), ("ko", "gksrmf", ["한글.txt", "notes.txt"]), ("zh", "bjdx", ["北京地铁", "北京大学", "北京大厦"]), ("zh", "huanmei", ["还没", "notes.txt"]), ("ja", "kamera", ["カメラ_1.txt", "docs"]), ("ja", "tokyodai", ["東京電機大学", "東北大学", "東京大学"])]
-
-
-@_query("search_by_sound", _values("lang, query, display, kind", [("ko", "hangeul", "한글.txt", "KoreanRomanized"), ("ko", "gksrmf", "한글.txt", "KoreanKeyboard"), ("zh", "bjdx", "北京大学", "PinyinInitials"), ("zh", "huanmei", "还没", "PinyinJoined"), ("ja", "kamera", "カメラ_1.txt", "RomajiReading"), ("ja", "tokyodai", "東京大学", "RomajiReading")]))
-def search_by_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for lang, query, texts in _SOUNDS:
-        backend = backend_for(lang, readings=True)
-        own = index.build_index(spark.createDataFrame(list(enumerate(texts)), "id long, search_text string"), backend=backend)
-        part = search(own, query, config=SearchConfig(limit=1), backend=backend).select(F.lit(lang).alias("lang"), F.lit(query).alias("query"), "display", F.col("key_kind").alias("kind"))
-        out = part if out is None else out.union(part)
-    return out
-
-
-@_query("detect_language", _values("query, lang", [("한글", "ko"), ("かな", "ja"), ("é", "plain"), ("abc", "zh")]))
-def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(q, backend_for("auto", q, ["北京"], "zh_CN.UTF-8").name) for q in ("한글", "かな", "é", "abc")], "query string, lang string")
-
-
 # ---- tables of other scripts, made by rule from the keys of a table
 _JOINED = "SELECT p_partkey AS id, chr(CAST(12449 + p_partkey % 86 AS INTEGER)) AS kana, chr(CAST(44032 + p_partkey * 7919 % 11172 AS INTEGER)) AS hangul, chr(CAST(19968 + p_partkey * 91 % 20000 AS INTEGER)) AS han FROM part"
 
@@ -389,10 +349,167 @@ def script_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed_texts(spark, sf_dir).select("id", norm.has_kana_col(t).alias("kana"), norm.has_han_col(t).alias("han"), norm.has_hangul_col(t).alias("hangul"), width_col(t).cast("long").alias("width"), norm.char_slice_col(t, 1, 3).alias("sliced"))
 
 
-@_query("detect_by_script", f"SELECT id, CASE id % 4 WHEN 0 THEN 'ja' WHEN 2 THEN 'ko' ELSE 'plain' END AS lang FROM ({_MIXED})")
+_LANGUAGES = f"SELECT id, CASE id % 4 WHEN 0 THEN 'ja' WHEN 2 THEN 'ko' ELSE 'plain' END AS lang FROM ({_MIXED})"
+
+
+@_query("detect_by_script", _LANGUAGES)
 def detect_by_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("t")
-    return _mixed_texts(spark, sf_dir).select("id", F.when(norm.has_hangul_col(t), "ko").when(norm.has_kana_col(t), "ja").otherwise("plain").alias("lang"))
+    return _sql(spark, sf_dir, "SELECT id, text_language(t, 'C') AS lang FROM {texts}", texts=_mixed_texts(spark, sf_dir))
+
+
+@_query("detect_language", f"SELECT id, CASE WHEN id % 4 = 1 THEN CASE id % 8 WHEN 1 THEN 'plain' ELSE 'zh' END WHEN id % 4 = 3 THEN 'plain' ELSE lang END AS lang FROM ({_LANGUAGES})")
+def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plain query over one text each: the text's script and the locale decide."""
+    texts = _mixed_texts(spark, sf_dir)
+    locale = "CASE WHEN id % 8 = 1 THEN 'C' WHEN id % 4 = 0 THEN 'ja_JP' WHEN id % 4 = 2 THEN 'ko_KR' ELSE 'zh_CN' END"
+    return _sql(spark, sf_dir, f"SELECT id, query_language('abc', t, {locale}) AS lang FROM {{texts}}", texts=texts)
+
+
+@_query("normalize_cjk", f"SELECT id, kana || chr(CAST(97 + id % 26 AS INTEGER)) || '-' || id AS norm, chr(CAST(unicode(kana) - 96 AS INTEGER)) || chr(CAST(65313 + id % 26 AS INTEGER)) || chr(8208) || id AS hiragana, TRUE AS kana FROM ({_JOINED})")
+def normalize_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    texts = _scripts(spark, sf_dir).select("id", F.concat("kana", _char(65313 + F.col("id") % 26), F.lit("\u2010"), F.col("id").cast("string")).alias("text"))
+    return texts.select("id", norm.normalize_col(t).alias("norm"), norm.to_hiragana_col(t).alias("hiragana"), norm.has_kana_col(t).alias("kana"))
+
+
+# ---- words of other scripts, one for each part, with the part's key behind it
+def _worded(spark: SparkSession, sf_dir: str, words: list[str], gap: str = "") -> DataFrame:
+    id = F.col("p_partkey").cast("long")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(id.alias("id"), F.concat(F.get(F.array(*map(F.lit, words)), (id % len(words)).cast("int")), F.lit(gap), id.cast("string")).alias("search_text"))
+
+
+def _of_words(n: int, columns: str, rows: list[tuple], select: str) -> str:
+    """select over parts p and, by the part's number, rows of constants v."""
+    return f"SELECT {select} FROM (SELECT p_partkey AS id FROM part) p JOIN ({_values(columns, rows)}) v ON v.m = p.id % {n}"
+
+
+@_query("korean_keys", _of_words(3, "m, base, joined, spaced, initials, typed", [(0, "한글", "hangeul", "han geul", "ㅎㄱ", "gksrmf"), (1, "한국.md", "hanguk", "han guk", "ㅎㄱ", "gksrnr"), (2, "abc", "", "", "", "")], "id, base || id AS text, joined, spaced, initials, typed"))
+def korean_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("search_text")
+    return _worded(spark, sf_dir, ["한글", "한국.md", "abc"]).select("id", t.alias("text"), korean.romanized_col(t).alias("joined"), korean.romanized_col(t, " ").alias("spaced"), korean.initials_col(t).alias("initials"), korean.keyboard_col(t).alias("typed"))
+
+
+@_query("chinese_keys", _of_words(3, "m, base, pos, text, kind", [(0, "北京地铁", 0, "bei jing di tie", "PinyinFull"), (0, "北京地铁", 1, "beijingditie", "PinyinJoined"), (0, "北京地铁", 2, "bjdt", "PinyinInitials"), (1, "重庆", 0, "chong qing", "PinyinFull"), (1, "重庆", 1, "chongqing", "PinyinJoined"), (1, "重庆", 2, "cq", "PinyinInitials")], "id, base || id AS display, pos, text, kind"))
+def chinese_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keys_table(_worded(spark, sf_dir, ["北京地铁", "重庆", "notes"]), backend_for("zh", polyphone="none"))
+
+
+@_query("japanese_keys", _of_words(3, "m, base, pos, text, kind", [(0, "カメラ.txt", 0, "かめら.txt", "KanaReading"), (0, "カメラ.txt", 1, "kamera.txt", "RomajiReading"), (1, "コード", 0, "こ-ど", "KanaReading"), (1, "コード", 1, "ko-do", "RomajiReading")], "id, base || '_' || id AS display, pos, text || '_' || id AS text, kind"))
+def japanese_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keys_table(_worded(spark, sf_dir, ["カメラ.txt", "コード", "notes"], "_"), BACKENDS["ja"])
+
+
+_ROMAJI = "CASE p_partkey % 4 WHEN 0 THEN 'shinjuku' WHEN 1 THEN 'kamera' WHEN 2 THEN 'tokyo' ELSE 'hachigatsu' END"
+
+
+@_query("romaji_variants", _of_words(4, "m, query, kana", [(0, "shinjuku", "しんじゅく"), (1, "kamera", "かめら"), (2, "tokyo", "ときょ"), (2, "tokyo", "とうきょう"), (3, "hachigatsu", "はちがつ")], "id, query, kana"))
+def romaji_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, f"SELECT id, query, v.text AS kana FROM (SELECT p_partkey AS id, {_ROMAJI} AS query FROM {{part}}) q, LATERAL query_variants(query, 'ja') v WHERE v.kind = 'RomajiToKana'", "part")
+
+
+_FIRST = "substr(p_name, 1, 3)"
+
+
+@_query("query_variants", f"SELECT p_partkey AS id, {_FIRST} AS query, v_idx, {_FIRST} AS text, kind, weight FROM part, (VALUES (CAST(0 AS INTEGER), 'Original', CAST(500 AS INTEGER)), (CAST(1 AS INTEGER), 'Initials', CAST(250 AS INTEGER))) v(v_idx, kind, weight)")
+def variants_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, f"SELECT id, query, v.* FROM (SELECT p_partkey AS id, {_FIRST} AS query FROM {{part}}) q, LATERAL query_variants(query, 'zh') v", "part")
+
+
+@_query("sql_keys", _of_words(3, "m, base, text, kind", [(0, "한글", "ㅎㄱ", "KoreanInitials"), (0, "한글", "gksrmf", "KoreanKeyboard"), (1, "한국", "ㅎㄱ", "KoreanInitials"), (1, "한국", "gksrnr", "KoreanKeyboard")], "id, base || id AS display, text, kind"))
+def sql_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = "SELECT id, search_text AS display, k.text, k.kind FROM {texts} t, LATERAL search_keys(search_text, 'ko') k WHERE k.kind IN ('KoreanInitials', 'KoreanKeyboard')"
+    return _sql(spark, sf_dir, query, texts=_worded(spark, sf_dir, ["한글", "한국", "notes"]))
+
+
+@_query("sql_scores", f"SELECT a.id, a.p AS query, coalesce(b.score, -1) AS score FROM (SELECT p_partkey AS id, p_name AS display, substr(p_type, 1, 2) AS p FROM part) a LEFT JOIN ({sql.greedy_pairs('SELECT p_partkey AS id, p_name AS display, substr(p_type, 1, 2) AS p FROM part', 2, 'p')}) b ON a.id = b.id")
+def sql_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name against the head of its type, in SQL text alone."""
+    return _sql(spark, sf_dir, "SELECT id, query, coalesce(fuzzy_score(query, display) + 3500, -1) AS score FROM (SELECT p_partkey AS id, p_name AS display, substr(p_type, 1, 2) AS query FROM {part})", "part")
+
+
+@_query("sql_terms", "SELECT p_partkey AS id, CAST(0 AS INTEGER) AS grp, v.pos, CASE v.pos WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN split_part(p_name, ' ', 2) ELSE p_brand END AS text, v.pos = 2 AS negated, v.mode FROM part, (VALUES (CAST(0 AS INTEGER), 'prefix'), (CAST(1 AS INTEGER), 'exact'), (CAST(2 AS INTEGER), 'exact')) v(pos, mode)")
+def sql_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, "SELECT id, t.* FROM (SELECT p_partkey AS id, '^' || split_part(p_name, ' ', 1) || ' \\'' || split_part(p_name, ' ', 2) || ' !' || p_brand AS query FROM {part}), LATERAL query_terms(query) t", "part")
+
+
+_SOUNDS = [("ko", "hangeul", ["한글.txt", "notes.txt"], 0, "KoreanRomanized"), ("ko", "gksrmf", ["한글.txt", "notes.txt"], 0, "KoreanKeyboard"), ("zh", "bjdx", ["北京地铁", "北京大学", "北京大厦"], 1, "PinyinInitials"), ("zh", "huanmei", ["还没", "notes.txt"], 0, "PinyinJoined"), ("ja", "kamera", ["カメラ_1.txt", "docs"], 0, "RomajiReading"), ("ja", "tokyodai", ["東京電機大学", "東北大学", "東京大学"], 2, "RomajiReading")]
+
+
+@_query("search_by_sound", " UNION ALL ".join(f"(SELECT {sql.quoted(lang)} AS lang, {sql.quoted(q)} AS query, p_partkey AS id, {sql.quoted(texts[m])} || '_' || p_partkey AS display, {sql.quoted(kind)} AS kind FROM part WHERE p_partkey % {len(texts)} = {m} ORDER BY length(CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 3)" for lang, q, texts, m, kind in _SOUNDS))
+def search_by_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for lang, query, texts, *_ in _SOUNDS:
+        backend = backend_for(lang, readings=True)
+        own = index.build_index(_worded(spark, sf_dir, texts, "_"), backend=backend)
+        part = search(own, query, config=SearchConfig(limit=3), backend=backend).select(F.lit(lang).alias("lang"), F.lit(query).alias("query"), "id", "display", F.col("key_kind").alias("kind"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@_query("numeric_readings", "SELECT CAST(m AS INTEGER) AS month, m || 'gatsu' AS query, p_partkey AS id, 5 AS source_start, CAST(6 + length(CAST(m AS VARCHAR)) AS INTEGER) AS source_end FROM part, (SELECT unnest([1, 8, 10, 12]) AS m) WHERE p_partkey % 12 + 1 = m")
+def numeric_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digits in Japanese texts are found as they stand, and lead back to where they stand."""
+    ja = backend_for("ja", readings=True)
+    id = F.col("p_partkey").cast("long")
+    own = index.build_index(spark.read.parquet(f"{sf_dir}/part.parquet").select(id.alias("id"), F.concat(F.lit("2025年"), (id % 12 + 1).cast("string"), F.lit("月")).alias("search_text")), backend=ja)
+    out = None
+    for m in (1, 8, 10, 12):
+        got = matches(own, f"{m}gatsu", backend=ja).where(F.col("id") % 12 == m - 1)
+        part = explain(got, own, f"{m}gatsu", backend=ja).select(F.lit(m).alias("month"), F.lit(f"{m}gatsu").alias("query"), "id", "source_start", "source_end")
+        out = part if out is None else out.union(part)
+    return out
+
+
+# Words of a small dictionary over ten characters, for texts that longest match reads wrongly: surface, left and right class,
+# cost, reading.
+_WORDS = [
+    ("東京都", 1, 1, 1907, "トウキョウト"), ("東京", 1, 1, 613, "トウキョウ"), ("東", 1, 1, 1103, "ヒガシ"), ("京都", 1, 1, 709, "キョウト"), ("京", 1, 1, 1301, "キョウ"), ("都", 2, 2, 401, "ト"), ("大学", 1, 3, 503, "ダイガク"),
+    ("大学生", 1, 1, 1709, "ダイガクセイ"), ("学生", 1, 1, 607, "ガクセイ"), ("大", 3, 1, 907, "ダイ"), ("学", 3, 3, 811, "ガク"), ("生", 2, 2, 1009, "セイ"), ("生会", 3, 3, 2503, "セイカイ"), ("会", 2, 1, 701, "カイ"), ("学生会", 1, 2, 2309, "ガクセイカイ"),
+    ("日本", 1, 1, 557, "ニホン"), ("日本語", 1, 1, 1499, "ニホンゴ"), ("本語", 3, 3, 2903, "ホンゴ"), ("日", 1, 2, 1201, "ヒ"), ("本", 1, 1, 1051, "ホン"), ("語", 2, 2, 353, "ゴ"), ("語学", 1, 1, 797, "ゴガク"), ("会日", 2, 3, 2111, "カイビ"), ("生東京", 3, 1, 3119, "ナマトウキョウ"),
+]
+_NEXT = [(1, 2, -211), (2, 1, 83), (1, 3, 307), (3, 2, -97), (2, 2, 401), (3, 3, 59), (1, 1, 127), (3, 1, 13), (2, 3, 223), (1, 0, 17), (2, 0, -31), (3, 0, 71)]
+_DIGITS = "東京都大学生会日本語"
+_KANJI = "translate(lpad(CAST((p_partkey * 7919 + 13) % 1000000 AS VARCHAR), 6, '0'), '0123456789', '" + _DIGITS + "')"
+_LATTICE = f"""
+WITH RECURSIVE w AS ({_values("surface, l, r, cost, reading", [(s, a, b, c, norm.to_hiragana(r)) for s, a, b, c, r in _WORDS])}), c AS ({_values("r, l, cost", _NEXT)}),
+go AS (SELECT p_partkey AS id, {_KANJI} AS t, 0 AS place, 0 AS class, 0 AS total, '' AS reading FROM part
+  UNION ALL
+  SELECT g.id, g.t, g.place + length(w.surface), w.r, g.total + w.cost + coalesce(c.cost, 0), g.reading || w.reading
+  FROM go g JOIN w ON starts_with(substr(g.t, g.place + 1), w.surface) LEFT JOIN c ON c.r = g.class AND c.l = w.l WHERE g.place < 6)
+SELECT id, t AS display, arg_min(reading, total + coalesce(c.cost, 0)) AS reading FROM go LEFT JOIN c ON c.r = go.class AND c.l = 0 WHERE place = 6 GROUP BY id, t
+"""
+
+
+@_query("kanji_lattice", _LATTICE)
+def kanji_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings by the cheapest way through a dictionary that Spark writes and reads; each different run is read once."""
+    path = f"{shared_folder(spark)}/dictionary-{uuid.uuid4().hex}"
+    rows = spark.createDataFrame([(f"{s},{a},{b},{c},*,*,*,*,*,*,{s},{r},{r}",) for s, a, b, c, r in _WORDS], "value string")
+    rows.write.text(f"{path}/words")
+    spark.createDataFrame([("4 4",), *[(f"{a} {b} {c}",) for a, b, c in _NEXT]], "value string").write.text(f"{path}/matrix")
+    own = lattice.Dictionary.of_tables(lattice.read_dictionary(spark, f"{path}/words"), lattice.read_connections(spark, f"{path}/matrix"))
+    backend = backend_for("ja", readings=True, tokenizer=lattice.LatticeTokenizer(own, spark))
+    items = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"), F.expr(_KANJI.replace("VARCHAR", "STRING")).alias("search_text"))
+    key = F.filter("keys", lambda k: k["kind"] == "KanaReading")[0]["text"]
+    return index.build_index_by_runs(items, backend=backend).select("id", "display", key.alias("reading"))
+
+
+_PHRASED = [("银行", "yin hang"), ("行走", "xing zou"), ("长江", "chang jiang"), ("校长", "xiao zhang"), ("音乐", "yin yue"), ("快乐", "kuai le"), ("会计", "kuai ji"), ("还书", "huan shu"), ("还有", "hai you"), ("重庆", "chong qing"), ("重要", "zhong yao")]
+
+
+def _phrase_sql(made: str) -> str:
+    pick = f"[{', '.join(sql.quoted(a) for a, _ in _PHRASED)}]", f"[{', '.join(sql.quoted(b) for _, b in _PHRASED)}]"
+    part = lambda k, col: f"{pick[k]}[{col} % {len(_PHRASED)} + 1]"
+    return f"SELECT p_partkey AS id, {part(0, 'p_partkey')} || {part(0, 'p_size')} AS display, {made.format(part(1, 'p_partkey'), part(1, 'p_size'))} AS text FROM part"
+
+
+@_query("pinyin_phrases", f"SELECT id, display, text, 'PinyinFull' AS kind FROM ({_phrase_sql('{} || {}'.replace('||', chr(124) * 2 + repr(' ') + chr(124) * 2))}) UNION ALL SELECT id, display, replace(text, ' ', '') AS text, 'PinyinJoined' AS kind FROM ({_phrase_sql('{} || {}')})")
+def pinyin_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of two phrases, in which a character's reading depends on its phrase."""
+    names = F.array(*[F.lit(a) for a, _ in _PHRASED])
+    at = lambda c: F.get(names, (F.col(c) % len(_PHRASED)).cast("int"))
+    items = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"), F.concat(at("p_partkey"), at("p_size")).alias("search_text"))
+    return _keys_table(items, backend_for("zh", polyphone="phrase")).where("kind <> 'PinyinInitials'").select("id", "display", "text", "kind")
 
 
 @_query("detect_of_table", "SELECT * FROM (VALUES ('zh_CN.UTF-8', 'zh'), ('ja_JP', 'ja'), ('ko_KR', 'ko'), ('C', 'plain')) v(locale, lang)")
@@ -436,20 +553,6 @@ def kana_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("id", F.explode("keys").alias("key")).where("key.kind = 'KanaReading'").select("id", "key.text")
 
 
-@_query("numeric_readings", "SELECT CAST(m AS INTEGER) AS month, q AS query, CAST(m - 1 AS BIGINT) AS id, 5 AS source_start, CAST(6 + length(CAST(m AS VARCHAR)) AS INTEGER) AS source_end FROM (SELECT unnest([1, 8, 10, 12]) AS m, unnest(['1gatsu', '8gatsu', '10gatsu', '12gatsu']) AS q)")
-def numeric_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digits in Japanese texts are found as they stand, and lead back to where they stand."""
-    ja = backend_for("ja", readings=True)
-    months = spark.range(1, 13).select((F.col("id") - 1).alias("id"), F.concat(F.lit("2025年"), F.col("id").cast("string"), F.lit("月")).alias("search_text"))
-    own = index.build_index(months, backend=ja)
-    out = None
-    for m in (1, 8, 10, 12):
-        got = matches(own, f"{m}gatsu", backend=ja).where(F.col("id") == m - 1)
-        part = explain(got, own, f"{m}gatsu", backend=ja).select(F.lit(m).alias("month"), F.lit(f"{m}gatsu").alias("query"), "id", "source_start", "source_end")
-        out = part if out is None else out.union(part)
-    return out
-
-
 @_query("visible_controls", "SELECT p_partkey AS id, p_name || chr(CAST(9216 + 1 + p_partkey % 31 AS INTEGER)) || 'z' AS shown FROM part")
 def visible_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -465,7 +568,7 @@ def order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written(spark: SparkSession, sf_dir: str, nul: bool) -> DataFrame:
     """Names of parts as records in files, read again."""
-    path = f"{_shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").cast("binary").alias("output"))
     text.write_records(rows, path, nul=nul)
     return text.read_records(spark, path, nul=nul).select("display")
@@ -517,21 +620,10 @@ def highlight_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- streaming
-def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a session on this machine alone may do without."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="resonar-live-")
-    return root.rstrip("/")
-
-
 @_query("live_search", sql.ordered(sql.greedy(_source("part"), "rd"), _BY_LENGTH, 10))
 def live_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table arrives in three batches; the answer is that of one search."""
-    live = LiveSearch(f"{_shared_folder(spark)}/live-{uuid.uuid4().hex}", "rd")
+    live = LiveSearch(f"{shared_folder(spark)}/live-{uuid.uuid4().hex}", "rd")
     items = _items(spark, sf_dir, "part")
     for k in range(3):
         live.add(items.where(F.col("id") % 3 == k), k)
