@@ -64,7 +64,7 @@ _CHUNKS = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b
 _TAIL = b".,;:!?*%$#&|"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Words in one call of the library, and words that a worker's caches keep at least.
-_RUN, _HALF = 4096, 400_000
+_RUN, _HALF = 4096, 500_000
 _loaded: dict[str, _Words] = {}
 
 
@@ -90,18 +90,11 @@ class _Words:
 
     def _learn(self, chunks: list[bytes]) -> None:
         """A space begins a token wherever it follows a word, so that many words go into one text, whose ids are parted
-        where a token begins with a space. Letters are parted from punctuation that ends a word, as the tokenizer does."""
-        cache, tails, plain, bare = self.cache, [], [], []
-        for c in chunks:
-            if c[0] != 32 or c[1:2].isspace() or len(c) == 1:
-                bare.append(c)
-            elif c[-1] in _TAIL and (stem := c.rstrip(_TAIL))[-1] in _LETTERS:
-                tails.append((c, stem, c[len(stem) :]))
-            else:
-                plain.append(c)
-        new = [*bare, *set(cache.lacking([t for _, _, t in tails])).difference(bare)]
-        cache.update(zip(new, self.whole(new), strict=True))
-        new = [*plain, *set(cache.lacking([t for _, t, _ in tails])).difference(plain)]
+        where a token begins with a space."""
+        cache = self.cache
+        bare = [c for c in chunks if c[0] != 32 or len(c) == 1 or c[1:2].isspace()]
+        cache.update(zip(bare, self.whole(bare), strict=True))
+        new = [c for c in chunks if not (c[0] != 32 or len(c) == 1 or c[1:2].isspace())]
         for k in range(0, len(new), _RUN):
             some = new[k : k + _RUN]
             ids = np.array(self.own.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -110,7 +103,6 @@ class _Words:
                 raise ValueError("the tokenizer joins words over spaces")
             data = ids.tobytes()
             cache.update(zip(some, [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True))
-        cache.update([(c, cache[stem] + cache[tail]) for c, stem, tail in tails])
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts of some megabytes: each different chunk is looked up once, and new ones are learnt together."""
@@ -130,8 +122,11 @@ class _Words:
         chunks = pa.Array.from_buffers(pa.large_binary(), len(number), [None, edges, pa.py_buffer(data)]).dictionary_encode()
         different = chunks.dictionary.to_pylist()
         self.cache.turn()
-        self._learn(self.cache.lacking(different))
-        values = [self.cache[c] for c in different]
+        # letters are parted from punctuation that ends a word, as the tokenizer does, so that fewer words are kept
+        cut = [_parted(c) if c[-1] in _TAIL and c[0] == 32 else (c, b"") for c in different]
+        cache = self.cache
+        self._learn(cache.lacking([x for both in cut for x in both if x]))
+        values = [cache[stem] + cache[tail] if tail else cache[stem] for stem, tail in cut]
         size = np.array(list(map(len, values)), np.int32) // 4
         first = np.cumsum(size, dtype=np.int32) - size
         which = chunks.indices.to_numpy()
@@ -147,6 +142,11 @@ class _Words:
         return out
 
 
+def _parted(chunk: bytes) -> tuple[bytes, bytes]:
+    stem = chunk.rstrip(_TAIL)
+    return (stem, chunk[len(stem) :]) if stem[-1] in _LETTERS else (chunk, b"")
+
+
 def _present(texts: list[bytes], signs) -> list[bytes]:
     """Those of signs that some text holds."""
     whole = b"\x00".join(texts)
