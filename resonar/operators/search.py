@@ -9,7 +9,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import ALGORITHMS, COMPATIBLE, KEY_WEIGHTS, SearchConfig
@@ -334,17 +334,66 @@ def search_many(index: DataFrame, queries: dict[str, str], *, config: SearchConf
     return whole.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_order"))).where(F.col("rank") <= config.limit).drop("_order")
 
 
-def search_with_stats(index: DataFrame, query: str, *, config: SearchConfig = SearchConfig(), backend: Backend = BACKENDS["plain"]) -> tuple[DataFrame, DataFrame]:
-    """Results, and one row of counts: rows and keys seen, variants, and pairs of variant and key that were scored."""
-    found = _variants(query, backend, config)
-    folds = _matcher(config).folds_case
-    shown = _normalized_blocked(config, folds)
+def _pairs(text: str, config: SearchConfig, backend: Backend) -> Column:
+    """How many pairs of a variant and a key that it meets a row has."""
+    found = _variants(text, backend, config)
+    shown = _normalized_blocked(config, _matcher(config).folds_case)
     visible = 1 + (shown.cast("int") if shown is not None else F.lit(0))
     base = sum("Original" in COMPATIBLE[k] for _, k, _ in found)
     reached = [sorted(COMPATIBLE[k]) for _, k, _ in found]
     more = F.aggregate("keys", F.lit(0), lambda a, x: a + sum((x["kind"].isin(*kinds).cast("int") for kinds in reached), F.lit(0)))
-    stats = index.agg(F.count("*").alias("candidates_seen"), F.coalesce(F.sum(base * visible + more), F.lit(0)).alias("keys_seen"), F.lit(len(found)).cast("long").alias("variants_seen"))
-    stats = stats.withColumn("fuzzy_calls", F.col("keys_seen")).withColumn("quality_score_calls", F.lit(0).cast("long")).withColumn("reading_generation_calls", F.lit(0).cast("long"))
+    return (base * visible + more).cast("long")
+
+
+def _tried(index: DataFrame, query: str, config: SearchConfig, backend: Backend) -> tuple[DataFrame, int]:
+    """index with the number of pairs that are scored for each row, and the number of variants.
+
+    A plain query scores all pairs. In an extended one a group's terms are tried in turn until one fails, so that rows carry
+    each term's outcome; terms of the exact family score no pairs.
+    """
+    if config.disabled:
+        return index.withColumn("_calls", F.lit(0).cast("long")), len(_variants(query, backend, config))
+    if not (config.extended and language.is_extended(query)):
+        return index.withColumn("_calls", _pairs(query, config, backend)), len(_variants(query, backend, config))
+    loose = replace(config, exact=False)
+    fuzzy = _matcher(loose)
+    out, calls, variants, names = index, F.lit(0).cast("long"), 0, []
+    for g, group in enumerate(language.parse(query, config.exact)):
+        open_ = F.lit(True)
+        for t, term in enumerate(group):
+            last = t == len(group) - 1
+            if term.mode == "fuzzy":
+                variants += len(_variants(term.text, backend, loose))
+                calls = calls + F.when(open_, _pairs(term.text, loose, backend)).otherwise(0)
+            if last and term.mode != "fuzzy" or not any(x.mode == "fuzzy" for x in group[t + 1 :]):
+                break  # no later term of the group scores pairs
+            names.append(f"_tried_{g}_{t}")
+            out = out.withColumn(names[-1], (_fuzzy(term.text, backend, loose, fuzzy) if term.mode == "fuzzy" else _exact(term, config, backend)).isNotNull())
+            open_ = open_ & (~F.col(names[-1]) if term.negated else F.col(names[-1]))
+    return out.withColumn("_calls", calls).drop(*names), variants
+
+
+def _counts(variants: int) -> list[Column]:
+    calls = F.coalesce(F.sum("_calls"), F.lit(0))
+    nothing = F.lit(0).cast("long")
+    return [F.count("*").alias("candidates_seen"), calls.alias("keys_seen"), F.max(F.lit(variants).cast("long")).alias("variants_seen"), calls.alias("fuzzy_calls"), F.max(nothing).alias("quality_score_calls"), F.max(nothing).alias("reading_generation_calls")]
+
+
+def search_observed(index: DataFrame, query: str, *, config: SearchConfig = SearchConfig(), backend: Backend = BACKENDS["plain"]) -> tuple[DataFrame, Observation]:
+    """Results, and the counts of search_with_stats taken in the results' own scan: read them with .get after an action.
+
+    Over an empty index variants_seen and the two counters that stay 0 are null.
+    """
+    seen = Observation()
+    counted, variants = _tried(index, query, config, backend)
+    counted = counted.observe(seen, *_counts(variants)).drop("_calls")
+    return search(counted, query, config=config, backend=backend), seen
+
+
+def search_with_stats(index: DataFrame, query: str, *, config: SearchConfig = SearchConfig(), backend: Backend = BACKENDS["plain"]) -> tuple[DataFrame, DataFrame]:
+    """Results, and one row of counts: rows seen, variants, and pairs of variant and key that are scored."""
+    counted, variants = _tried(index, query, config, backend)
+    stats = counted.agg(*_counts(variants)).fillna({"variants_seen": variants, "quality_score_calls": 0, "reading_generation_calls": 0})
     return search(index, query, config=config, backend=backend), stats
 
 

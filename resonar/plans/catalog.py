@@ -222,6 +222,12 @@ def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_with_stats(_index(spark, sf_dir, "part"), "rd")[1]
 
 
+@_query("search_stats_extended", "SELECT count(*) AS candidates_seen, n AS keys_seen, CAST(3 AS BIGINT) AS variants_seen, n AS fuzzy_calls, CAST(0 AS BIGINT) AS quality_score_calls, CAST(0 AS BIGINT) AS reading_generation_calls FROM part, (SELECT 2 * count(*) + count(*) FILTER (lower(p_name) LIKE '%r%d%') AS n FROM part) GROUP BY n")
+def search_stats_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of a group are tried in turn, so the second is tried where the first holds."""
+    return search_with_stats(_index(spark, sf_dir, "part"), "rd bo | sm ^x")[1]
+
+
 @_query("explain_topk", f"SELECT id, score, 'Original' AS key_kind, 'ring' AS query, substr(display, k, 4) AS matched_text, CAST(k - 1 AS INTEGER) AS key_start, CAST(k + 3 AS INTEGER) AS key_end, display AS key_text, CAST(k - 1 AS INTEGER) AS source_start, CAST(k + 3 AS INTEGER) AS source_end, substr(display, k, 4) AS source_text FROM (SELECT *, instr(lower(display), 'ring') AS k FROM ({sql.ordered(sql.greedy(_source('part'), 'ring'), _BY_LENGTH, 10)}))")
 def explain_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _index(spark, sf_dir, "part")

@@ -1,18 +1,20 @@
 """A table of queries against the same queries searched one by one."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
-from resonar.config import SearchConfig
+from resonar.config import COMPATIBLE, SearchConfig
 from resonar.functions.batch import Texts, scores
 from resonar.functions.languages import BACKENDS
+from resonar.functions.scorers import greedy_python
 from resonar.functions.signatures import signatures
 from resonar.operators.index import build_index
-from resonar.operators.search import search_many
+from resonar.operators.search import search, search_many, search_observed, search_with_stats
 from resonar.operators.search_table import search_table
 
 TEXTS = [
@@ -100,3 +102,45 @@ def test_signatures_rule_out_no_match():
             assert set(rows.tolist()) <= set(on.tolist())
             kept += len(on)
     assert kept < 0.8 * 16 * len(texts)
+
+
+def _pairs_by_hand(row, text, config, backend):
+    """Pairs of a variant and a key that it meets, and whether some pair matches."""
+    calls, hit = 0, False
+    keys = [(row["display"], "Original")] + [(row["norm"], "Normalized")] * (config.normalize and not config.case_sensitive and not row["case_fold_only"]) + [(k["text"], k["kind"]) for k in row["keys"]]
+    for pattern, kind, _ in backend.variants(text, config):
+        if kind == "Normalized" and config.case_sensitive:
+            continue
+        for key, own in keys:
+            if own in COMPATIBLE[kind]:
+                calls += 1
+                hit |= greedy_python(pattern, key, config.case_sensitive) is not None
+    return calls, hit
+
+
+@pytest.mark.parametrize("language", ["plain", "all"])
+def test_counts_equal_a_count_of_the_pairs_tried(spark, texts, language):
+    backend, config = BACKENDS[language], SearchConfig(limit=3)
+    index = build_index(texts, backend=backend, config=config).cache()
+    rows = index.collect()
+    for query, groups in (("rd", [["rd"]]), ("foo rd | kamera a", [["foo", "rd"], ["kamera", "a"]])):
+        want = 0
+        for row in rows:
+            for group in groups:
+                for term in group:
+                    calls, hit = _pairs_by_hand(row, term, config, backend)
+                    want += calls
+                    if not hit:
+                        break
+        found, seen = search_observed(index, query, config=config, backend=backend)
+        assert [r.id for r in found.collect()] == [r.id for r in search(index, query, config=config, backend=backend).collect()]
+        counted = search_with_stats(index, query, config=config, backend=backend)[1].first().asDict()
+        assert seen.get == counted and counted["fuzzy_calls"] == counted["keys_seen"] == want and counted["candidates_seen"] == len(rows)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("CollectMetrics") == 1 and not re.search(r"^\W*(Join|Union)", plan, re.M)
+    # a negated term and terms of the exact family: no pairs behind a prefix that fails
+    _, seen = search_observed(index, "^src rd", config=config, backend=BACKENDS["plain"])
+    _.collect()
+    on = [r for r in rows if (r["norm"] or "").startswith("src")]
+    assert seen.get["fuzzy_calls"] == sum(_pairs_by_hand(r, "rd", config, BACKENDS["plain"])[0] for r in on)
+    assert search_with_stats(index.limit(0), "rd")[1].first().asDict() == {"candidates_seen": 0, "keys_seen": 0, "variants_seen": 1, "fuzzy_calls": 0, "quality_score_calls": 0, "reading_generation_calls": 0}
