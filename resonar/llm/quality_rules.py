@@ -112,7 +112,8 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed of each document.
 
     Words are runs of characters other than white space (space, 0x09-0x0D). A null text has no words and fails. Rows
-    with equal or null doc_id stay rows of their own; whole texts are measured; other columns are ignored.
+    with equal or null doc_id stay rows of their own; whole texts are measured; other columns are ignored. An empty table
+    gives an empty table.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = measure(base).withColumn("failed", F.expr(failed_expression(rules)))

@@ -283,12 +283,12 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and ids array<int> of each document; null and empty texts are the end id alone."""
+    """doc_id and ids array<int> of each document; null and empty texts are the end id alone. An empty table gives an empty table."""
     return _base(docs).mapInArrow(_encoded(model), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id and the text that ids stand for; null ids give an empty text."""
+    """doc_id and the text that ids stand for; null ids give an empty text. An empty table gives an empty table."""
 
     def run(batches):
         own = encoder(model)
@@ -302,7 +302,8 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, ids first encoded and then decoded.
 
     Null and empty texts are the end id alone. Whole texts are encoded, however long; chunks without a space are merged
-    in n log n steps. Rows with equal or null doc_id stay rows of their own; other columns are ignored. n_corrected
+    in n log n steps. Rows with equal or null doc_id stay rows of their own; other columns are ignored. An empty table
+    gives an empty table. n_corrected
     counts, on the first row of each Arrow batch, chunks for which the library's ids replaced the agenda's: 0 throughout
     unless the two differ.
     """

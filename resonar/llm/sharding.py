@@ -115,7 +115,7 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED)
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each document, under the law `rows`.
 
     size is the text's UTF-8 bytes plus 16; a null text has none and the checksum of the empty text. Rows with equal or
-    null doc_id are rows of their own.
+    null doc_id are rows of their own. An empty table gives an empty table.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
