@@ -62,6 +62,7 @@ _LOOSE_SIGNS = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")
 _CHUNKS = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 #: The tokenizer parts letters from these, where they follow.
 _TAIL = b".,;:!?*%$#&|"
+_IS_TAIL = np.isin(np.arange(256), list(_TAIL))
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Words in one call of the library, and words that a worker's caches keep at least.
 _RUN, _HALF = 4096, 500_000
@@ -104,6 +105,26 @@ class _Words:
             data = ids.tobytes()
             cache.update(zip(some, [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True))
 
+    def _values(self, chunks: pa.Array) -> list[bytes]:
+        """Ids of different chunks. Letters are parted from punctuation that ends a word, as the tokenizer does, so that
+        fewer words are kept."""
+        stems, tails, cache = chunks.to_pylist(), {}, self.cache
+        edges, points = (np.frombuffer(x, t) for x, t in zip(chunks.buffers()[1:], (np.int64, np.uint8), strict=True))
+        edges = edges[chunks.offset : chunks.offset + len(chunks) + 1]
+        for k in np.flatnonzero(_IS_TAIL[points[edges[1:] - 1]] & (points[edges[:-1]] == 32)).tolist():
+            stems[k], tail = _parted(stems[k])
+            if tail:
+                tails[k] = tail
+        cache.turn()
+        values = list(map(cache.get, stems))
+        lost = [k for k, v in enumerate(values) if v is None]
+        self._learn(cache.lacking([*(stems[k] for k in lost), *set(tails.values())]))
+        for k in lost:
+            values[k] = cache[stems[k]]
+        for k, tail in tails.items():
+            values[k] += cache[tail]
+        return values
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts of some megabytes: each different chunk is looked up once, and new ones are learnt together."""
         out: list[bytes | None] = [None] * len(texts)
@@ -120,13 +141,7 @@ class _Words:
         number = _starts(data, [texts[k] for k in known], ends)
         edges = pa.py_buffer(np.append(number, len(data)).astype(np.int64))
         chunks = pa.Array.from_buffers(pa.large_binary(), len(number), [None, edges, pa.py_buffer(data)]).dictionary_encode()
-        different = chunks.dictionary.to_pylist()
-        self.cache.turn()
-        # letters are parted from punctuation that ends a word, as the tokenizer does, so that fewer words are kept
-        cut = [_parted(c) if c[-1] in _TAIL and c[0] == 32 else (c, b"") for c in different]
-        cache = self.cache
-        self._learn(cache.lacking([x for both in cut for x in both if x]))
-        values = [cache[stem] + cache[tail] if tail else cache[stem] for stem, tail in cut]
+        values = self._values(chunks.dictionary)
         size = np.array(list(map(len, values)), np.int32) // 4
         first = np.cumsum(size, dtype=np.int32) - size
         which = chunks.indices.to_numpy()
@@ -198,7 +213,7 @@ def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, carry: t
         own = _tokenizer(tokenizer)
         for batch in batches:
             texts = binary_column(batch)
-            for a, b in in_chunks(texts, 1 << 23):
+            for a, b in in_chunks(texts, 1 << 24):
                 ids = [x + end for x in own.ids(texts[a:b])]
                 kept = [c.slice(a, b - a) for c in (batch.column(0), *batch.columns[2:])]
                 size = pa.array([len(x) // 4 for x in ids], pa.int64())
