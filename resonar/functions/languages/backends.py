@@ -22,8 +22,8 @@ class Backend:
     readings: bool = False
     polyphone: str = "common"
     zh_initials: bool = True
-    #: Readings of Chinese characters; build_index() puts in chinese.full_table() where there are none.
-    zh_table: dict[str, list[str]] | None = field(default=None, hash=False, compare=False, repr=False)
+    #: Readings of Chinese characters; build_index() puts in chinese.shared_table() where there are none.
+    zh_table: dict[str, list[str]] | chinese.SharedTable | None = field(default=None, hash=False, compare=False, repr=False)
     #: Reads runs of kanji, with readings; the small lexicon where there is none.
     tokenizer: japanese.Tokenizer | None = field(default=None, hash=False, compare=False, repr=False)
     #: Readings of Chinese phrases, for polyphone "phrase".

@@ -96,7 +96,27 @@ def full_table(spark) -> dict[str, list[str]]:
     return found | READINGS_TABLE
 
 
-def keys(text: str, most: int = 8, budget: int = 1024, polyphone: str = "common", initials: bool = True, table: dict[str, list[str]] | None = None, phrases: Phrases | None = None) -> list[Key]:
+class SharedTable:
+    """full_table, sent to the workers once for a session and not with each plan."""
+
+    def __init__(self, spark):
+        self.sent = spark.sparkContext.broadcast(full_table(spark))  # some 27,000 rows at most
+
+    def get(self, c: str) -> list[str] | None:
+        return self.sent.value.get(c)
+
+
+_shared: dict[str, SharedTable] = {}
+
+
+def shared_table(spark) -> SharedTable:
+    name = spark.sparkContext.applicationId
+    if name not in _shared:
+        _shared[name] = SharedTable(spark)
+    return _shared[name]
+
+
+def keys(text: str, most: int = 8, budget: int = 1024, polyphone: str = "common", initials: bool = True, table: dict[str, list[str]] | SharedTable | None = None, phrases: Phrases | None = None) -> list[Key]:
     """Keys of the characters that have a reading; others leave no trace.
 
     polyphone `none` uses first readings only; otherwise each further reading replaces one character's at a time. With

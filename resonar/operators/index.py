@@ -66,7 +66,7 @@ def _keys_udf(backend: Backend, config: SearchConfig):
 def build_index(items: DataFrame, text: str = "search_text", *, id: str = "id", backend: Backend = BACKENDS["plain"], config: SearchConfig = SearchConfig()) -> DataFrame:
     """id, display, norm, case_fold_only, keys. Only texts with characters outside ASCII reach a Python worker; null texts go."""
     if backend.name in ("zh", "all") and backend.zh_table is None:
-        backend = replace(backend, zh_table=chinese.full_table(items.sparkSession))
+        backend = replace(backend, zh_table=chinese.shared_table(items.sparkSession))
     own = F.col("display")
     base = items.where(F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("display"))
     keys = F.array().cast(EXTRA)
@@ -103,7 +103,7 @@ def build_index_by_runs(items: DataFrame, text: str = "search_text", *, id: str
     their own, so ids may repeat.
     """
     if backend.name in ("zh", "all") and backend.zh_table is None:
-        backend = replace(backend, zh_table=chinese.full_table(items.sparkSession))
+        backend = replace(backend, zh_table=chinese.shared_table(items.sparkSession))
     given = stored(items.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), F.col(text).alias("display")), "runs")
     some = given.where(~is_ascii(F.col("display")))
     held = some.select("row", "display").mapInArrow(_runs, "row long, run string")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..shared import stored
 from ..sources.text import ordered_bytes
 from .fields import Delimiter, accept
 
@@ -19,17 +21,18 @@ class Outcome:
 
 
 def filter_outcome(results: DataFrame, items: DataFrame, query: str, *, accept_nth: str | None = None, delimiter: Delimiter = Delimiter(), nul: bool = False, print_query: bool = False, explain: bool = False) -> Outcome:
-    """Results, which are ordered and few, as output. The query comes first where asked for; no result is code 1.
+    """Results, which are ordered, as output. The query comes first where asked for; no result is code 1.
+
+    Places are numbered where the rows are, and stored; the output's bytes alone come to the driver, a partition at a time.
 
     Where a caller would ask a person to choose, decide() says first whether there is anything to ask.
     """
     if explain and nul:
         raise ValueError("an explanation is lines of text and cannot be separated by NUL")
-    rank = results.select("id").toPandas()["id"].tolist()  # at most `limit` rows, in order
-    if not rank:
+    # ids of a sorted result grow with its order
+    order = stored(results.select("id").withColumn("place", F.monotonically_increasing_id()), "outcome")
+    if order.isEmpty():
         return Outcome(f"{query}\n".encode() if print_query else b"", NONE)
-    spark = results.sparkSession
-    order = spark.createDataFrame(list(enumerate(rank)), "place long, id long")
     out = ordered_bytes(accept(items, accept_nth, delimiter).join(order, "id").orderBy("place"), nul=nul)
     end = b"\0" if nul else b"\n"
     return Outcome((query.encode() + end if print_query else b"") + out, FOUND)
