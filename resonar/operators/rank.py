@@ -58,20 +58,19 @@ def sort_columns(query: str, tiebreaks: tuple[str, ...]) -> list[Column]:
 def exact_ranks(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
     """df with each row's place from 1 within its group, in an order that leaves no ties, however large a group is.
 
-    Rows are dealt out by ranges of group and order and stored; a row's place is that in its range, and what the group has
-    in earlier ranges. The table of counts has a row for each range and group that meet: about as many as there are
-    ranges and groups.
+    Rows are dealt out by ranges of group and order, sorted, numbered and stored; a row's place is its number from where its
+    group begins in the range, and what the group has in earlier ranges. The table of beginnings has a row for each range
+    and group that meet: about as many as there are ranges and groups.
     """
     keys = [f"_order{k}" for k in range(len(order))]
     keyed = df.withColumns({k: c for k, c in zip(keys, order, strict=True)})
-    dealt = keyed.repartitionByRange(*by, *keys).withColumn("_range", F.spark_partition_id())
-    dealt = stored(dealt, "ranks")
-    counts = dealt.groupBy("_range", *by).agg(F.count("*").alias("_n"))
+    sorted_ = keyed.repartitionByRange(*by, *keys).sortWithinPartitions(*by, *keys).drop(*keys)
+    dealt = stored(sorted_.withColumns({"_range": F.spark_partition_id(), "_nth": F.monotonically_increasing_id()}), "ranks")
+    counts = dealt.groupBy("_range", *by).agg(F.count("*").alias("_n"), F.min("_nth").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_range", *by, F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*keys))
-    both = dealt.withColumn("_own", own).join(starts, ["_range", *by])
-    return both.select(*df.columns, (F.col("_before") + F.col("_own")).cast("int").alias(name))
+    starts = counts.select("_range", *by, (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    both = dealt.join(starts, ["_range", *by])
+    return both.select(*df.columns, (F.col("_nth") + F.col("_offset")).cast("int").alias(name))
 
 
 RESULT = ("id", "display", "score", "key_kind", "key_index")

@@ -8,8 +8,9 @@ to one window, which cuts per partition before its shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,13 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import COMPATIBLE, KEY_WEIGHTS, SearchConfig
+from ..config import COMPATIBLE, KEY_WEIGHTS, SearchConfig, total_order
 from ..functions import scorers
 from ..functions.batch import Texts, scores
 from ..functions.languages import BACKENDS, Backend
 from ..functions.normalize import fold
 from ..functions.signatures import signatures
+from ..shared import spread
 from . import query as language
 from .rank import RESULT, exact_ranks, tie_columns, tiebreak_query
 from .search import _base_keys, _matcher, _spelt_at, _variants, comparable
@@ -33,6 +35,8 @@ from .search import _base_keys, _matcher, _spelt_at, _variants, comparable
 BLOCK = 20_000
 #: Pairs of signatures compared at once, and rows given on at once.
 PAIRS, ROWS = 1 << 22, 1 << 16
+#: Hits of terms kept for a batch, of 24 bytes each.
+HELD = 1 << 21
 
 
 @dataclass
@@ -141,6 +145,9 @@ class _Batch:
         self._keys: dict[tuple[bool, bool], _Keys] = {}
         self._allowed: dict[int, np.ndarray] = {}
         self._lists: dict[str, list] = {}
+        self._terms: dict[tuple, Hits] = {}
+        self._held = 0
+        self._ties: dict[str, np.ndarray] = {}
 
     def keys(self, cased: bool, folds: bool) -> _Keys:
         if (cased, folds) not in self._keys:
@@ -165,7 +172,24 @@ class _Batch:
             for j, at in zip(some.tolist(), lacks == 0, strict=True):
                 self._allowed[j] = np.flatnonzero(at)
 
-    def fuzzy(self, asked: _Fuzzy) -> Hits:
+    def _once(self, name: tuple, look: Callable[[], Hits]) -> Hits:
+        """A term's hits, kept for later queries of the batch; those not asked for longest go first."""
+        if (got := self._terms.pop(name, None)) is None:
+            got = look()
+            self._held += len(got[0]) + 1
+            while self._held > HELD and self._terms:
+                self._held -= len(self._terms.pop(next(iter(self._terms)))[0]) + 1
+        self._terms[name] = got
+        return got
+
+    def fuzzy(self, asked: _Fuzzy, again: bool = True) -> Hits:
+        """Hits of a text; those of a term, which may come again in other queries, are kept for the batch."""
+        name = (asked.scorer, asked.folds, asked.cased, *(v[3] for v in asked.variants))
+        if not again:
+            return self._fuzzy(asked)
+        return self._once(name, lambda: self._fuzzy(asked))
+
+    def _fuzzy(self, asked: _Fuzzy) -> Hits:
         keys = self.keys(asked.cased, asked.folds)
         found = []
         for v, (pattern, kinds, weight, nth) in enumerate(asked.variants):
@@ -180,13 +204,27 @@ class _Batch:
             return _NONE
         return _best_of(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
+    #: Tiebreaks that are known without the query.
+    known = ("length", "index")
+
+    def tie(self, name: str) -> np.ndarray:
+        """A tiebreak of all rows, ascending."""
+        if name not in self._ties:
+            own = self.batch.column(0) if name == "index" else pc.utf8_length(self.display)
+            self._ties[name] = own.to_numpy(zero_copy_only=False).astype(np.int64)
+        return self._ties[name]
+
     def values(self, name: str, column: pa.Array) -> list:
         if name not in self._lists:
             self._lists[name] = column.to_pylist()
         return self._lists[name]
 
     def exact(self, term: language.Term, cased: bool) -> Hits:
-        """Best key of each row for a term of the exact family, over keys of all kinds."""
+        """Best key of each row for a term of the exact family, over keys of all kinds; a term that other queries have too is
+        looked at once."""
+        return self._once((term.mode, term.text, cased), lambda: self._exact(term, cased))
+
+    def _exact(self, term: language.Term, cased: bool) -> Hits:
         config = replace(self.config, case_sensitive=cased)
         needle = comparable(term.text, config)
         counts = not cased and fold(term.text) == needle
@@ -224,7 +262,7 @@ class _Batch:
 
     def query(self, asked: _Query) -> Hits:
         if asked.whole is not None:
-            return self.fuzzy(asked.whole)
+            return self.fuzzy(asked.whole, again=False)
         everything = np.arange(self.n)
         if not asked.groups:
             return everything, np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
@@ -233,15 +271,23 @@ class _Batch:
             rows, total, last = everything, np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
             for term, fuzzy in sorted(group, key=lambda t: t[0].negated):
                 got, score, key = self.fuzzy(fuzzy) if fuzzy else self.exact(term, asked.cased)
+                if rows is everything and not term.negated:
+                    rows, total, last = got, score, key
+                    continue
+                place = np.full(self.n, -1)
+                place[got] = np.arange(len(got))
+                place = place[rows]
                 if term.negated:
-                    on = ~np.isin(rows, got)
+                    on = place < 0
                     rows, total, last = rows[on], total[on], last[on]
                 else:
-                    rows, a, b = np.intersect1d(rows, got, assume_unique=True, return_indices=True)
-                    total, last = total[a] + score[b], key[b]
+                    on = place >= 0
+                    rows, total, last = rows[on], total[on] + score[place[on]], key[place[on]]
                 if not len(rows):
                     break
             found.append((rows, total, np.full(len(rows), g), last))
+        if len(found) == 1:
+            return rows, total, last
         return _best_of(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
@@ -282,15 +328,22 @@ def _hits(mode: str, needle: str, hay: pa.Array) -> tuple[np.ndarray, np.ndarray
 _FORM = "query string, tie string, id long, display string, norm string, score long, key_kind string, key_index int"
 
 
-def _cut(hits: Hits, ids: np.ndarray, config: SearchConfig) -> Hits:
-    """What can be among a query's best `limit` rows, by this batch alone: all of equal scores stay."""
+def _cut(hits: Hits, own: _Batch) -> Hits:
+    """What can be among a query's best `limit` rows, by this batch alone: rows that are equal in all that is known here stay."""
     rows, score, key = hits
+    config = own.config
     if config.limit is None or len(rows) <= config.limit:
         return hits
     if not config.limit:
         return _NONE
-    by = ids[rows] if config.no_sort else -score
-    on = by <= np.partition(by, config.limit - 1)[config.limit - 1]
+    by = own.tie("index")[rows] if config.no_sort else -score
+    on = np.flatnonzero(by <= np.partition(by, config.limit - 1)[config.limit - 1])
+    if not config.no_sort and len(on) > config.limit:
+        known = [by[on], *(own.tie(name)[rows[on]] for name in takewhile(own.known.__contains__, total_order(config.tiebreaks)))]
+        order = np.lexsort(known[::-1])
+        last = order[config.limit - 1]
+        same = np.logical_and.reduce([k[order[config.limit :]] == k[last] for k in known])
+        on = on[np.concatenate((order[: config.limit], order[config.limit :][same]))]
     return rows[on], score[on], key[on]
 
 
@@ -301,10 +354,9 @@ def _meet(compiled):
         names = ["Original", "Normalized"][: _base_keys(config)]
         for batch in batches:
             own = _Batch(batch, asked)
-            ids = batch.column(0).to_numpy()
             waiting, held = [], 0
             for q in asked.queries:
-                rows, score, key = _cut(own.query(q), ids, config)
+                rows, score, key = _cut(own.query(q), own)
                 if len(rows):
                     waiting.append((q, rows, score, key))
                     held += len(rows)
@@ -322,11 +374,15 @@ def _rows(own: _Batch, waiting: list, names: list[str]) -> pa.RecordBatch:
     nth = pa.array(np.repeat(np.arange(len(waiting)), size))
     rows, score, key = (np.concatenate([w[k] for w in waiting]) for k in (1, 2, 3))
     take = pa.array(rows)
-    kind = np.array([*names, None], object)[np.minimum(key, len(names))]
-    for j in np.flatnonzero(key >= len(names)).tolist():
-        kind[j] = own.more[int(rows[j])][int(key[j]) - len(names)]["kind"].as_py()
+    further = key >= len(names)
+    kind = pa.array(names, pa.string()).take(pa.array(np.where(further, 0, key)))
+    if further.any():
+        whole = np.array(kind.to_pylist(), object)
+        for j in np.flatnonzero(further).tolist():
+            whole[j] = own.more[int(rows[j])][int(key[j]) - len(names)]["kind"].as_py()
+        kind = pa.array(whole.tolist(), pa.string())
     return pa.RecordBatch.from_arrays(
-        [pa.array([w[0].text for w in waiting], pa.string()).take(nth), pa.array([w[0].tie for w in waiting], pa.string()).take(nth), own.batch.column(0).take(take), own.display.take(take), own.norm.take(take), pa.array(score), pa.array(kind.tolist(), pa.string()), pa.array(key.astype(np.int32))],
+        [pa.array([w[0].text for w in waiting], pa.string()).take(nth), pa.array([w[0].tie for w in waiting], pa.string()).take(nth), own.batch.column(0).take(take), own.display.take(take), own.norm.take(take), pa.array(score), kind, pa.array(key.astype(np.int32))],
         names=[x.split()[0] for x in _FORM.split(", ")],
     )
 
@@ -356,7 +412,7 @@ def search_table(index: DataFrame, queries: DataFrame, *, id: str = "query_id",
     asked = queries.select(F.col(id).alias("query_id"), F.col(query).alias("query")).where("query IS NOT NULL")
     texts = asked.select("query").distinct()
     blocks = -(-texts.count() // block)
-    ready, parts = _ready(index, config, backend), []
+    ready, parts = spread(_ready(index, config, backend)), []
     for k in range(blocks):
         own = sorted(r[0] for r in texts.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).collect())  # about `block` texts
         compiled = spark.sparkContext.broadcast(Compiled(own, config, backend, case))
@@ -369,7 +425,9 @@ def search_table(index: DataFrame, queries: DataFrame, *, id: str = "query_id",
             found = found.union(part)
         order = order_of(config, F.col("tie"))
         if config.limit is None:
-            found = exact_ranks(found, ["query"], order, "rank")
+            held = [f"_by{k}" for k in range(len(order))]
+            found = found.withColumns(dict(zip(held, order, strict=True))).drop("tie", "norm")
+            found = exact_ranks(found, ["query"], [F.col(c) for c in held], "rank")
         else:
             found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= config.limit)
     return asked.join(found, "query").select("query_id", *RESULT, "rank")

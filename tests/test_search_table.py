@@ -144,3 +144,39 @@ def test_counts_equal_a_count_of_the_pairs_tried(spark, texts, language):
     on = [r for r in rows if (r["norm"] or "").startswith("src")]
     assert seen.get["fuzzy_calls"] == sum(_pairs_by_hand(r, "rd", config, BACKENDS["plain"])[0] for r in on)
     assert search_with_stats(index.limit(0), "rd")[1].first().asDict() == {"candidates_seen": 0, "keys_seen": 0, "variants_seen": 1, "fuzzy_calls": 0, "quality_score_calls": 0, "reading_generation_calls": 0}
+
+
+def _batch(texts: list[str]):
+    import pyarrow as pa
+
+    display, keys = pa.array(texts), pa.nulls(len(texts), pa.list_(pa.struct([("text", pa.string())])))
+    low = pa.array([t.lower() for t in texts])
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts))), display, low, pa.array([True] * len(texts)), low, keys], names=["id", "display", "norm", "case_fold_only", "hay", "keys"])
+
+
+def _met(texts: list[str], queries: list[str], limit: int | None):
+    from types import SimpleNamespace
+
+    from resonar.functions.languages import BACKENDS
+    from resonar.operators import search_table as table
+
+    sent = SimpleNamespace(value=table.Compiled(queries, SearchConfig(limit=limit), BACKENDS["plain"], None))
+    return [(r["query"], r["id"]) for b in table._meet(sent)(iter([_batch(texts)])) for r in b.to_pylist()]
+
+
+def test_rows_of_equal_scores_do_not_all_leave_their_batch():
+    texts = [f"red bolt_{k:04d}" for k in range(500)]
+    for query in ("rdbt", "^red 'bolt !x"):
+        assert sorted(_met(texts, [query], 3)) == [(query, k) for k in range(3)]
+
+
+def test_a_term_of_many_queries_is_looked_at_once_a_batch(monkeypatch):
+    from resonar.operators import search_table as table
+
+    seen = []
+    hits = table._hits
+    monkeypatch.setattr(table, "_hits", lambda mode, needle, hay: seen.append((mode, needle)) or hits(mode, needle, hay))
+    queries = [f"^{a} '{b} !{c}" for a in ("red", "hot") for b in ("bolt", "gear") for c in ("x1", "x2", "x3")]
+    texts = [f"{a} {b}/{c}" for a in ("red", "hot") for b in ("bolt", "gear") for c in ("x1", "x2")]
+    assert len(_met(texts, queries, None)) == 16
+    assert len(seen) == len(set(seen)) == 7
