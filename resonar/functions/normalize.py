@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,9 +63,11 @@ def has_hangul(text: str) -> bool:
     return any("가" <= c <= "힣" or "ᄀ" <= c <= "ᇿ" or "㄰" <= c <= "㆏" or "ꥠ" <= c <= "꥿" or "ힰ" <= c <= "퟿" for c in text)
 
 
-@F.pandas_udf(StringType())
-def _normalize_udf(text: pd.Series) -> pd.Series:
-    return text.map(normalize, na_action="ignore")
+def _normalized(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else normalize(t) for t in text.to_pylist()], pa.string())
+
+
+_normalize_udf = F.arrow_udf(_normalized, StringType())
 
 
 def is_ascii(text: Column) -> Column:

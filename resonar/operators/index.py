@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,7 @@ from ..functions.languages import BACKENDS, Backend, chinese, japanese
 from ..functions.languages.backends import cap_keys
 from ..functions.languages.mapped import Key
 from ..functions.normalize import fold_col, is_ascii, normalize, normalize_col
-from ..shared import stored
+from ..shared import spread, stored
 
 SPAN = "struct<start_char:int,end_char:int>"
 #: Keys other than the text and its normal form; norm is the key's own normal form.
@@ -41,36 +41,49 @@ def with_ids(df: DataFrame, name: str = "id") -> DataFrame:
     return numbered.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_start") + F.col("_nth")).alias(name))
 
 
-def _row(key: Key) -> dict:
-    spans = None if key.spans is None else [None if s is None else {"start_char": s[0], "end_char": s[1]} for s in key.spans]
-    return {"text": key.text, "kind": key.kind, "weight": KEY_WEIGHTS[key.kind], "norm": normalize(key.text), "source_map": spans}
-
-
 def extra_keys_of(text: str, backend: Backend, config: SearchConfig) -> list[Key]:
     base = [Key(text, "Original")] + [Key(normalize(text), "Normalized")] * config.normalize
     return cap_keys(base + backend.keys(text, config), config)[len(base) :]
 
 
-def _keys_udf(backend: Backend, config: SearchConfig):
-    from pyspark.sql.types import ArrayType, _parse_datatype_string
+def _key_array(rows: list[list[Key]]) -> pa.Array:
+    """Keys of rows as an array of EXTRA, made column by column."""
+    keys = [k for own in rows for k in own]
+    spans = [s for k in keys if k.spans is not None for s in k.spans]
+    none = pa.array([s is None for s in spans], pa.bool_())
+    span = pa.StructArray.from_arrays([pa.array([s and s[n] for s in spans], pa.int32()) for n in (0, 1)], fields=list(_SPAN_TYPE), mask=none)
+    ends = np.cumsum([0, *(0 if k.spans is None else len(k.spans) for k in keys)], dtype=np.int32)
+    source = pa.ListArray.from_arrays(pa.array(ends), span, mask=pa.array([k.spans is None for k in keys], pa.bool_()))
+    columns = [
+        pa.array([k.text for k in keys], pa.string()), pa.array([k.kind for k in keys], pa.string()), pa.array([KEY_WEIGHTS[k.kind] for k in keys], pa.int32()),
+        pa.array([normalize(k.text) for k in keys], pa.string()), source,
+    ]
+    flat = pa.StructArray.from_arrays(columns, fields=list(_KEY_TYPE.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)], dtype=np.int32)), flat)
+
 
-    kind: ArrayType = _parse_datatype_string(EXTRA)
+def _keys_udf(backend: Backend, config: SearchConfig):
+    def run(text: pa.Array) -> pa.Array:
+        return _key_array([[] if t is None else extra_keys_of(t, backend, config) for t in text.to_pylist()])
 
-    @F.pandas_udf(kind)
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [] if t is None else [_row(k) for k in extra_keys_of(t, backend, config)])
+    def call(text: pa.Array) -> pa.Array:
+        return run(text)
 
-    return run
+    return F.arrow_udf(call, EXTRA)
 
 
 def build_index(items: DataFrame, text: str = "search_text", *, id: str = "id", backend: Backend = BACKENDS["plain"], config: SearchConfig = SearchConfig()) -> DataFrame:
-    """id, display, norm, case_fold_only, keys. Only texts with characters outside ASCII reach a Python worker; null texts go."""
+    """id, display, norm, case_fold_only, keys. Only texts with characters outside ASCII reach a Python worker; null texts go.
+
+    Where a backend makes keys, rows are spread over all tasks first.
+    """
     if backend.name in ("zh", "all") and backend.zh_table is None:
         backend = replace(backend, zh_table=chinese.shared_table(items.sparkSession))
     own = F.col("display")
     base = items.where(F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("display"))
     keys = F.array().cast(EXTRA)
     if backend.has_keys:
+        base = spread(base)
         keys = F.when(is_ascii(own), keys).otherwise(_keys_udf(backend, config)(F.when(~is_ascii(own), own)))
     base = base.withColumn("norm", normalize_col(own)).withColumn("keys", keys)
     return base.select("id", "display", "norm", (fold_col(own) == F.col("norm")).alias("case_fold_only"), "keys")
@@ -116,8 +129,8 @@ def build_index_by_runs(items: DataFrame, text: str = "search_text", *, id: str
             out = []
             for own, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 known = {r["run"]: [(w["surface"], w["readings"], w["start"], w["end"]) for w in r["words"]] for r in runs or ()}
-                out.append([_row(k) for k in extra_keys_of(own, replace(backend, tokenizer=known.__getitem__), config)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _KEY_TYPE)], names=["row", "keys"])
+                out.append(extra_keys_of(own, replace(backend, tokenizer=known.__getitem__), config))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _key_array(out)], names=["row", "keys"])
 
     made = some.select("row", "display").join(per_row, "row", "left").select("row", "display", "runs").mapInArrow(keys, kind)
     both = given.join(made, "row", "left").withColumn("norm", normalize_col(F.col("display"))).withColumn("keys", F.coalesce("keys", F.array().cast(EXTRA)))

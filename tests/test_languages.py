@@ -36,3 +36,18 @@ def test_caps_and_variants():
 def test_detection():
     assert detect_language("한") == "ko" and detect_language("か") == "ja" and detect_language("é") == "plain"
     assert detect_language("a", ["北京"], "zh_CN") == "zh" and backend_for("auto", "a").name == "plain"
+
+
+def test_length_of_other_characters_leaves_the_kind_of_a_pinyin_key():
+    made = chinese.keys("重庆1000000", polyphone="none")
+    assert [(k.text, k.kind) for k in made] == [("chong qing", "PinyinFull"), ("chongqing", "PinyinJoined"), ("cq", "PinyinInitials")]
+
+
+def test_keys_of_a_small_file_are_made_in_more_than_one_task(spark):
+    from resonar.functions.languages import BACKENDS
+    from resonar.operators.index import build_index
+
+    one = spark.createDataFrame([(k, f"한글{k}") for k in range(40)], "id long, search_text string").coalesce(1)
+    own = build_index(one, backend=BACKENDS["ko"])
+    assert own.rdd.getNumPartitions() >= 4
+    assert {r["id"]: [k["text"] for k in r["keys"]] for r in own.collect()} == {k: ["han geul", "hangeul", "ㅎㄱ", "gksrmf"] for k in range(40)}
