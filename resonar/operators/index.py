@@ -69,7 +69,8 @@ def _keys_udf(backend: Backend, config: SearchConfig):
     def call(text: pa.Array) -> pa.Array:
         return run(text)
 
-    return F.arrow_udf(call, EXTRA)
+    # not deterministic, says the plan: else a filter on the keys would be pushed below the spread and make them twice
+    return F.arrow_udf(call, EXTRA).asNondeterministic()
 
 
 def build_index(items: DataFrame, text: str = "search_text", *, id: str = "id", backend: Backend = BACKENDS["plain"], config: SearchConfig = SearchConfig()) -> DataFrame:

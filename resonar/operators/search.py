@@ -17,6 +17,7 @@ from ..functions import optimal, scorers
 from ..functions.batch import best_column
 from ..functions.languages import BACKENDS, Backend
 from ..functions.normalize import fold, fold_col, normalize
+from ..shared import spread
 from . import query as language
 from .rank import RESULT, exact_ranks, ranked, sort_columns
 
@@ -176,7 +177,8 @@ def _typed_at(display: Column, start: Column, literal: str) -> Column:
     def call(text: pa.Array, k: pa.Array) -> pa.Array:
         return run(text, k)
 
-    return F.arrow_udf(call, "boolean")(display, F.when(display.isNotNull(), start))
+    # not deterministic, says the plan: else the filter on the score would call it a second time for every row
+    return F.arrow_udf(call, "boolean").asNondeterministic()(display, F.when(display.isNotNull(), start))
 
 
 _EDGE = r"(?:(?<![\p{IsAlphabetic}\p{N}])|(?![\p{IsAlphabetic}\p{N}]))"
@@ -288,7 +290,10 @@ def matches(index: DataFrame, query: str, *, config: SearchConfig = SearchConfig
 
 
 def search(index: DataFrame, query: str, *, config: SearchConfig = SearchConfig(), backend: Backend = BACKENDS["plain"]) -> DataFrame:
-    """id, display, score, key_kind, key_index of the best rows, in order."""
+    """id, display, score, key_kind, key_index of the best rows, in order. Where all are wanted, and so are sorted by all tasks,
+    they are also scored by all."""
+    if config.limit is None:
+        index = spread(index)
     return ranked(matches(index, query, config=config, backend=backend), query, config)
 
 

@@ -333,7 +333,7 @@ def _char(code) -> F.Column:
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and one character of each script; the SQL is _JOINED."""
     id = F.col("p_partkey").cast("long")
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(id.alias("id"), _char(12449 + id % 86).alias("kana"), _char(44032 + id * 7919 % 11172).alias("hangul"), _char(19968 + id * 91 % 20000).alias("han"))
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")).select(id.alias("id"), _char(12449 + id % 86).alias("kana"), _char(44032 + id * 7919 % 11172).alias("hangul"), _char(19968 + id * 91 % 20000).alias("han"))
 
 
 @_query("kana_tables", f"SELECT id, kana || 'x' AS katakana, chr(CAST(unicode(kana) - 96 AS INTEGER)) || 'x' AS hiragana, kana || 'x' AS again FROM ({_JOINED})")

@@ -51,3 +51,21 @@ def test_keys_of_a_small_file_are_made_in_more_than_one_task(spark):
     own = build_index(one, backend=BACKENDS["ko"])
     assert own.rdd.getNumPartitions() >= 4
     assert {r["id"]: [k["text"] for k in r["keys"]] for r in own.collect()} == {k: ["han geul", "hangeul", "ㅎㄱ", "gksrmf"] for k in range(40)}
+
+
+def _python_steps(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_keys_and_bonuses_are_made_once_though_filters_ask_for_them(spark):
+    from pyspark.sql import functions as F
+    from resonar.functions.languages import BACKENDS
+    from resonar.operators.index import build_index
+    from resonar.operators.search import search
+
+    texts = spark.createDataFrame([(k, f"한글{k}") for k in range(4)], "id long, search_text string")
+    exploded = build_index(texts, backend=BACKENDS["ko"]).select("id", F.explode("keys").alias("key"))
+    assert _python_steps(exploded) == 1
+    found = search(build_index(texts), "'글 '한", config=SearchConfig(limit=None))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[call(") == 1
+    assert [r["id"] for r in found.collect()] == [0, 1, 2, 3]
