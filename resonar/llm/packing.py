@@ -8,6 +8,7 @@ while its lengths last. Executors number the pieces of each length and look up t
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
 
@@ -17,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_column, fresh, numbered
+from .common import Scratch, binary_column, fresh, in_chunks, numbered
 from .wordcache import WordCache
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length that are numbered in one task, roughly.
 GROUP = 100_000
 #: Words and parts of words that a worker's cache keeps at least.
-HALF = 400_000
+HALF = 800_000
+#: Words learnt at once, and bytes of texts whose new words are learnt together.
+LEARN, TOGETHER = 50_000, 1 << 22
 _TAIL = b",.;:!?*%$#&|"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Letters below are letters to every version of Unicode in use.
@@ -57,15 +60,26 @@ def _ends_in_letter(stem: bytes) -> bool:
     return last.isalpha() and ord(last) < _OLD
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _all_old(text: str) -> bool:
+    low = unicodedata.normalize("NFC", text).lower()
+    return low.isalpha() and ord(max(low)) < _OLD
+
+
 def _split(word: bytes, marks: list[bytes]) -> tuple[bytes, bytes]:
     """A word without its closing punctuation, and that; the tokenizer's own splitting always parts a letter from it.
 
     ASCII words are lower-cased here, as the tokenizer will do; others keep their case, as it composes before that. Words
     that hold an added token stay as they are: those are found before letters are lower-cased.
     """
-    if any(m in word.lower() for m in marks):
+    if marks and any(m in word.lower() for m in marks):
         return word, b""
     stem = word.rstrip(_TAIL)
+    if len(stem) == len(word):
+        return word.lower() if word.isascii() else word, b""
     if len(stem) < len(word) and not (stem and _ends_in_letter(stem)):
         stem = word
     return stem.lower() if stem.isascii() else stem, word[len(stem) :]
@@ -74,14 +88,15 @@ def _split(word: bytes, marks: list[bytes]) -> tuple[bytes, bytes]:
 def _learn(path: str, words: list[bytes]) -> None:
     """Puts words into the cache; their parts, lower-cased, are kept there too."""
     own, cache, last, marks = _tokenizer(path)
+    low = b" ".join(words).lower()
+    marks = [m for m in marks if m in low]
     split = [_split(w, marks) for w in words]
     new = cache.lacking({p for both in split for p in both if p})
     # letters alone are one word to the tokenizer, and only a word's last token is marked, so many go in one text
     plain, other = [], []
     for p in new:
         text = p.decode()
-        alone = text.isalpha() and (p.isascii() or all(c.isalpha() and ord(c) < _OLD for c in unicodedata.normalize("NFC", text).lower()))
-        (plain if alone else other).append((p, text))
+        (plain if text.isalpha() and (p.isascii() or _all_old(text)) else other).append((p, text))
     runs = [plain[k : k + 4096] for k in range(0, len(plain), 4096)]
     for some, e in zip(runs, own.encode_batch_fast([" ".join([t for _, t in r]) for r in runs], add_special_tokens=False), strict=True):
         ids = np.array(e.ids, "<u4")
@@ -94,7 +109,7 @@ def _learn(path: str, words: list[bytes]) -> None:
             cache[p] = data[start:end]
             start = end
     for (p, _), e in zip(other, own.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
-        cache[p] = np.array(e.ids, "<u4").tobytes()
+        cache[p] = _packed(e.ids)
     for w, (stem, tail) in zip(words, split, strict=True):
         if tail:
             cache[w] = cache[stem] + cache[tail]
@@ -102,21 +117,32 @@ def _learn(path: str, words: list[bytes]) -> None:
             cache[w] = cache[stem]
 
 
-def token_bytes(path: str, text: bytes) -> bytes:
-    """Little-endian 32-bit ids of a text. The tokenizer drops white space and never joins over it, so words are encoded once each."""
+def tokens_of(path: str, texts: list[bytes]) -> list[bytes]:
+    """Little-endian 32-bit ids of texts of some megabytes. The tokenizer drops white space and never joins over it, so words
+    are encoded once each, those that are new in any of the texts together."""
     _, cache, _, marks = _tokenizer(path)
     cache.turn()
-    low = text.lower()
-    words = (low if text.isascii() and not any(m in low for m in marks) else text).split()
-    out = []
-    for k in range(0, len(words), 50_000):
-        some = words[k : k + 50_000]
+    out, waiting, new = [], [], set()
+    for k, text in enumerate(texts):
+        low = text.lower()
+        words = (low if text.isascii() and not any(m in low for m in marks) else text).split()
         try:
-            out.append(b"".join([cache[w] for w in some]))
+            out.append(b"".join([cache[w] for w in words]))
         except KeyError:
-            _learn(path, cache.lacking(some))
-            out.append(b"".join([cache[w] for w in some]))
-    return b"".join(out)
+            new.update([w for w in words if w not in cache])
+            waiting.append((k, words))
+            out.append(b"")
+    lacking = cache.lacking(new)
+    for k in range(0, len(lacking), LEARN):
+        _learn(path, lacking[k : k + LEARN])
+    for k, words in waiting:
+        out[k] = b"".join([cache[w] for w in words])
+    return out
+
+
+def token_bytes(path: str, text: bytes) -> bytes:
+    """Little-endian 32-bit ids of a text."""
+    return tokens_of(path, [text])[0]
 
 
 def _cut(path: str, capacity: int, end_id: int, keep_ids: bool):
@@ -127,12 +153,14 @@ def _cut(path: str, capacity: int, end_id: int, keep_ids: bool):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(ids, binary_column(batch), strict=True):
-                data = token_bytes(path, text) + end
-                for k in range(0, len(data), step):
-                    part = data[k : k + step]
-                    for to, value in zip(rows, (doc, k // step, k // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None), strict=True):
-                        to.append(value)
+            texts = binary_column(batch)
+            for a, b in in_chunks(texts, TOGETHER):
+                for doc, own in zip(ids[a:b], tokens_of(path, texts[a:b]), strict=True):
+                    data = own + end
+                    for k in range(0, len(data), step):
+                        part = data[k : k + step]
+                        for to, value in zip(rows, (doc, k // step, k // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None), strict=True):
+                            to.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)][: 6 if keep_ids else 5], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if keep_ids else 5])
 
