@@ -93,9 +93,10 @@ class _Words:
         """A space begins a token wherever it follows a word, so that many words go into one text, whose ids are parted
         where a token begins with a space."""
         cache = self.cache
-        bare = [c for c in chunks if c[0] != 32 or len(c) == 1 or c[1:2].isspace()]
+        bare, new = [], []
+        for c in chunks:
+            (bare if c[0] != 32 or len(c) == 1 or c[1:2].isspace() else new).append(c)
         cache.update(zip(bare, self.whole(bare), strict=True))
-        new = [c for c in chunks if not (c[0] != 32 or len(c) == 1 or c[1:2].isspace())]
         for k in range(0, len(new), _RUN):
             some = new[k : k + _RUN]
             ids = np.array(self.own.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -108,7 +109,7 @@ class _Words:
     def _values(self, chunks: pa.Array) -> list[bytes]:
         """Ids of different chunks. Letters are parted from punctuation that ends a word, as the tokenizer does, so that
         fewer words are kept."""
-        stems, tails, cache = chunks.to_pylist(), {}, self.cache
+        stems, tails, cache = chunks.to_numpy(zero_copy_only=False).tolist(), {}, self.cache
         edges, points = (np.frombuffer(x, t) for x, t in zip(chunks.buffers()[1:], (np.int64, np.uint8), strict=True))
         edges = edges[chunks.offset : chunks.offset + len(chunks) + 1]
         for k in np.flatnonzero(_IS_TAIL[points[edges[1:] - 1]] & (points[edges[:-1]] == 32)).tolist():
@@ -165,7 +166,11 @@ def _parted(chunk: bytes) -> tuple[bytes, bytes]:
 def _present(texts: list[bytes], signs) -> list[bytes]:
     """Those of signs that some text holds."""
     whole = b"\x00".join(texts)
-    return [x for x in signs if x in whole]
+    points, seen = np.frombuffer(whole, np.uint8), np.zeros(256, np.int64)
+    for k in range(0, len(points), 1 << 20):  # counting takes eight times the room
+        seen += np.bincount(points[k : k + (1 << 20)], minlength=256)
+    there = set(np.flatnonzero(seen).tolist())
+    return [x for x in signs if there.issuperset(x) and x in whole]
 
 
 def _starts(data: bytes, texts: list[bytes], ends: np.ndarray) -> np.ndarray:
