@@ -3,6 +3,9 @@
 A text's features are its distinct words, hashed, and one bin of each structure statistic. The model adds a weight for
 each feature and the inner product of latent vectors for each pair; by the sum-of-squares identity all pairs cost as
 much as the features themselves. Length is the only metadata used: labels, language, source and id are no inputs.
+
+All labelled documents are learnt from. They are dealt into groups by hash; each group is fitted from the same start, and
+each number of the model is the mean over the groups that have moved it.
 """
 
 from __future__ import annotations
@@ -16,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, crc_of_id, fresh
+from .common import Scratch, binary_column, crc_of_id, fresh
 
 WORD_BITS, LATENT = 16, 8
 BINS = 16
-#: At most so many labelled documents are fitted, those with the smallest hash of doc_id.
-MAX_TRAIN = 8000
+#: Labelled documents that one task learns from, roughly; models are summed in steps of 1 / FINE.
+GROUP, FINE = 8000, 1 << 32
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 64, 0.06, 2e-6, 5
 
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -92,10 +95,16 @@ class FactorisationMachine:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.logit(*features(text))))))
 
 
+def _latent(seed: int) -> tuple[np.random.Generator, np.ndarray]:
+    """Latent vectors before any row, and the generator that goes on from them."""
+    rng = np.random.default_rng(seed)
+    return rng, rng.normal(0, 0.05, (SIZE, LATENT))
+
+
 def fit(rows: list[tuple[np.ndarray, int, int]], seed: int = SEED) -> FactorisationMachine:
     """Logistic loss, AdaGrad, mini-batches in a seeded order. rows: (features, words, label). Without rows all scores are 0.5."""
-    rng = np.random.default_rng(seed)
-    weight, latent = np.zeros(SIZE), rng.normal(0, 0.05, (SIZE, LATENT))
+    rng, latent = _latent(seed)
+    weight = np.zeros(SIZE)
     grown_w, grown_v = np.full(SIZE, 1e-4), np.full(SIZE, 1e-4)
     bias, grown_b = 0.0, 1e-4
     if not rows:
@@ -130,32 +139,57 @@ def fit(rows: list[tuple[np.ndarray, int, int]], seed: int = SEED) -> Factorisat
 
 
 def _featurise(batches):
-    for batch in batches:
-        found = [features(t) for t in binary_column(batch)]
-        yield pa.RecordBatch.from_arrays([pa.array([f.astype("<i4").tobytes() for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int32()), batch.column(batch.schema.get_field_index("quality"))], names=["found", "n_words", "quality"])
+    for whole in batches:
+        for k in range(0, whole.num_rows, 512):
+            batch = whole.slice(k, 512)
+            found = [features(t) for t in binary_column(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([f.astype("<i4").tobytes() for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int32())], names=["doc_id", "found", "n_words"])
+
+
+def _moved(seed: int):
+    """How far one group moves each number of the model: bias, weights, latent vectors. Whole numbers, so that sums do not
+    depend on which task was first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("found", "n_words", "quality")), strict=True))
+        model = fit([(np.frombuffer(f, "<i4"), n, q) for f, n, q in rows], seed)
+        far = np.concatenate(([model.bias], model.weight, (model.latent - _latent(seed)[1]).ravel()))
+        place = np.flatnonzero(far)
+        return pa.table({"place": pa.array(place.astype(np.int32)), "value": pa.array(np.rint(far[place] * FINE).astype(np.int64))})
+
+    return run
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, seed: int = SEED) -> FactorisationMachine:
-    """Fits on at most max_train labelled documents, none of them held out (crc32 of doc_id modulo 3 of 1).
+def train(docs: DataFrame, labels: DataFrame, *, group: int = GROUP, seed: int = SEED) -> FactorisationMachine:
+    """Fits on all labelled documents that are not held out (crc32 of doc_id modulo 3 of 1), in groups of about `group`.
 
     Of repeated labels of one doc_id the smallest holds; null ids and labels are left out. Rows of one doc_id are each
-    fitted; where that makes more than max_train, those with the smallest hash of their features, so that which ones does
-    not depend on the table's layout. Empty tables give a model that scores 0.5.
+    fitted, those with the same features once. Groups follow from ids and features, not from the table's layout. What
+    comes to the driver is one model, whatever the table's size. Empty tables give a model that scores 0.5.
     """
-    fit_on = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(crc_of_id() % 3 != 1)
-    chosen = fit_on.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_train)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # chosen has at most max_train rows. Features first, so that texts stay where they are; then the cut, in hash order
-    found = text.join(F.broadcast(chosen), "doc_id").mapInArrow(_featurise, "found binary, n_words int, quality int")
-    got = found.orderBy(F.xxhash64(F.lit(seed), "found"), "found", "quality").limit(max_train).toArrow()
-    rows = sorted(zip(got.column("found").to_pylist(), got.column("n_words").to_pylist(), got.column("quality").to_pylist(), strict=True))
-    return fit([(np.frombuffer(f, "<i4").astype(np.int64), n, q) for f, n, q in rows], seed)
+    scratch = Scratch(docs.sparkSession, "quality")
+    taught = crc_of_id() % 3 != 1
+    label = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(taught).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(taught)
+    # features first, so that texts stay where they are
+    found = text.mapInArrow(_featurise, "doc_id long, found binary, n_words int").join(label, "doc_id")
+    found = scratch.save(found.distinct(), "found", "zstd")
+    groups = 1 + found.count() // group
+    dealt = found.withColumn("deal", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "found"), F.lit(groups)))
+    parts = dealt.groupBy("deal").applyInArrow(_moved(seed), "place int, value long")
+    got = parts.groupBy("place").agg(F.sum("value").alias("value"), F.count("*").alias("n")).toArrow()  # one model
+    scratch.drop(found)
+    if not got.num_rows:
+        return fit([], seed)
+    far = np.zeros(1 + SIZE * (1 + LATENT))
+    far[got.column("place").to_numpy()] = got.column("value").to_numpy() / got.column("n").to_numpy() / FINE
+    return FactorisationMachine(float(far[0]), far[1 : 1 + SIZE], _latent(seed)[1] + far[1 + SIZE :].reshape(SIZE, LATENT))
 
 
 def _score(model, name: str):
     def run(batches):
         own = model.value
-        for batch in batches:
+        for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
             got = [own.score(t) for t in binary_column(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, name])
 
@@ -170,20 +204,20 @@ def score(docs: DataFrame, model: FactorisationMachine, name: str = "score") ->
     return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), name), f"{kinds}, `{name}` double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, group: int = GROUP) -> DataFrame:
     """doc_id, held_out, score, predicted of each document, by a model trained on those that are not held out.
 
     Rows with equal or null doc_id stay rows of their own; other columns are ignored; an empty table gives an empty
     table. Without labels every score is 0.5.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = score(base, train(base, labels, max_train=max_train)).drop("text")
+    out = score(base, train(base, labels, group=group)).drop("text")
     return out.select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, *, group: int = GROUP, threshold: float = 0.5) -> DataFrame:
     """docs without those that score below threshold. Columns, of any name, and repeated rows stay as they are; null and
     empty texts are scored like others; an empty table gives an empty table."""
-    model = train(docs, labels, max_train=max_train)
+    model = train(docs, labels, group=group)
     (name,) = fresh(docs, "_quality_score")
     return score(docs, model, name).where(F.col(name) >= threshold).select(*docs.columns)
