@@ -16,6 +16,9 @@ from resonar.llm.packing import pack_documents
 from resonar.llm.quality_model import quality_filter
 from resonar.llm.secrets import redact
 
+#: Words that a worker remembers while packing: fewer than by default, as executors also hold what earlier stages left.
+KNOWN = 200_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; rows and columns stay as they are."""
@@ -49,7 +52,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of tokenised documents and their places in sequences; a null text is an empty one."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), known=KNOWN)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]

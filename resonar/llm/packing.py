@@ -28,6 +28,8 @@ GROUP = 100_000
 HALF = 800_000
 #: Words learnt at once, and bytes of texts whose new words are learnt together.
 LEARN, TOGETHER = 50_000, 1 << 22
+#: Rows of a batch whose texts are held as Python strings at once.
+ROWS = 1024
 _TAIL = b",.;:!?*%$#&|"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Letters below are letters to every version of Unicode in use.
@@ -123,20 +125,24 @@ def tokens_of(path: str, texts: list[bytes]) -> list[bytes]:
     _, cache, _, marks = _tokenizer(path)
     cache.turn()
     out, waiting, new = [], [], set()
-    for k, text in enumerate(texts):
+
+    def words(text: bytes) -> list[bytes]:
         low = text.lower()
-        words = (low if text.isascii() and not any(m in low for m in marks) else text).split()
+        return (low if text.isascii() and not any(m in low for m in marks) else text).split()
+
+    for k, text in enumerate(texts):
+        own = words(text)
         try:
-            out.append(b"".join([cache[w] for w in words]))
+            out.append(b"".join([cache[w] for w in own]))
         except KeyError:
-            new.update([w for w in words if w not in cache])
-            waiting.append((k, words))
+            new.update([w for w in own if w not in cache])
+            waiting.append(k)
             out.append(b"")
     lacking = cache.lacking(new)
     for k in range(0, len(lacking), LEARN):
         _learn(path, lacking[k : k + LEARN])
-    for k, words in waiting:
-        out[k] = b"".join([cache[w] for w in words])
+    for k in waiting:  # split again: all texts' words at once would take ten times the texts' room
+        out[k] = b"".join([cache[w] for w in words(texts[k])])
     return out
 
 
@@ -145,12 +151,13 @@ def token_bytes(path: str, text: bytes) -> bytes:
     return tokens_of(path, [text])[0]
 
 
-def _cut(path: str, capacity: int, end_id: int, keep_ids: bool):
+def _cut(path: str, capacity: int, end_id: int, keep_ids: bool, known: int = HALF):
     step = 4 * capacity
 
     def run(batches):
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        _tokenizer(path)[1].half = known
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             ids = batch.column(0).to_pylist()
             rows: list[list] = [[], [], [], [], [], []]
             texts = binary_column(batch)
@@ -167,10 +174,10 @@ def _cut(path: str, capacity: int, end_id: int, keep_ids: bool):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, known: int = HALF) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, little-endian, if kept) of each piece of each document."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(_cut(tokenizer, capacity, end_id, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return base.mapInArrow(_cut(tokenizer, capacity, end_id, keep_ids, known), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -274,12 +281,13 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) -> D
     return ranked.mapInArrow(_place(tables, rank), f"{kinds}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, known: int = HALF) -> DataFrame:
     """Tokenises documents and packs their pieces: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset.
 
     Null and empty texts are the end id alone. Long texts are tokenised whole and cut only into pieces of `capacity`.
     Rows with equal or null doc_id are documents of their own. An empty table gives an empty table. Other columns are
-    ignored. A sequence's ids are its pieces' ids joined by offset.
+    ignored. A sequence's ids are its pieces' ids joined by offset. `known` is how many words a worker remembers at least, some
+    200 bytes each for up to twice as many; fewer cost time alone.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    return pack(scratch.save(pieces(docs, tokenizer, capacity=capacity, end_id=end_id, keep_ids=keep_ids), "pieces"), capacity=capacity)
+    return pack(scratch.save(pieces(docs, tokenizer, capacity=capacity, end_id=end_id, keep_ids=keep_ids, known=known), "pieces"), capacity=capacity)
