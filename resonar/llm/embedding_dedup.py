@@ -141,9 +141,10 @@ def _windows(keys: DataFrame, window: int, scratch: Scratch) -> DataFrame:
         done = ready if done is None else done.union(ready)
         if count.where((F.col("n") > window) & (F.col("any") != F.col("all"))).isEmpty():
             return done
-        # the first bit by which the run differs, and as many more as its count would ask for if bits halved it
-        differs = F.lit(BITS) - F.ceil(F.log2(F.expr("cast(any ^ all AS double)") + 0.5)).cast("int")
-        deeper = F.least(F.lit(BITS), differs + F.ceil(F.log2(F.col("n") / window)).cast("int"))
+        # the first bit by which the run differs, and as many more as its count would ask for if bits halved it; counted in
+        # whole numbers, as a logarithm that comes out too large leaves a run at its depth for ever
+        differs = F.lit(BITS) - F.length(F.bin(F.expr("any ^ all")))
+        deeper = F.least(F.lit(BITS), differs + F.length(F.bin(F.expr(f"(n - 1) div {window}"))))
         now = scratch.save(both.where(~fits & ~whole).select("pass", "label", "size", "key", "node", deeper.alias("depth")).withColumn("start", start), "deeper")
 
 
